@@ -27,6 +27,8 @@ from .sessions import session_map, slice_length, slice_of, with_clock
 
 CLICK_WINDOW_S = 12
 ROWS_PER_SALT = 200_000
+# The square of a longer gap in microseconds would not fit 64 bits.
+MAX_TIMEOUT_S = 3000
 
 # Per-request flags that are simply counted.
 COUNTED = [
@@ -63,8 +65,20 @@ def request_flags() -> dict[str, Column]:
     }
 
 
-def _flagged(requests: DataFrame, keys) -> DataFrame:
+def _flag_bits() -> Column:
+    """All flags of a request in one number, which keeps shuffled rows narrow."""
     flags = request_flags()
+    bits = F.lit(0)
+    for i, name in enumerate(COUNTED):
+        bits = bits + F.when(flags[name], F.lit(1 << i)).otherwise(F.lit(0))
+    return bits
+
+
+def _bit(name: str) -> Column:
+    return F.col("flags").bitwiseAND(F.lit(1 << COUNTED.index(name))) != 0
+
+
+def _flagged(requests: DataFrame, keys) -> DataFrame:
     return with_clock(requests).select(
         *keys,
         "ts_us",
@@ -72,7 +86,7 @@ def _flagged(requests: DataFrame, keys) -> DataFrame:
         X.url_path(F.col("url")).alias("path"),
         F.col("user_agent").alias("agent"),
         F.col("status").cast("string").alias("status"),
-        *[flags[name].alias(name) for name in COUNTED],
+        _flag_bits().alias("flags"),
     )
 
 
@@ -95,18 +109,18 @@ def _with_bursts_and_gaps(flagged: DataFrame, smap: DataFrame, keys, length: int
     marker = entry(home, F.col("ts_us") + window_us, 2)
     early = F.col("ts_us") - home * F.lit(length * 1_000_000) <= window_us
     entries = (
-        F.when(~F.col("html"), F.array(request))
+        F.when(~_bit("html"), F.array(request))
         .when(early, F.array(request, echo, marker))
         .otherwise(F.array(request, marker))
     )
-    order = Window.partitionBy(*keys, "slice").orderBy("at_us", "kind", *SOURCE_ORDER)
+    order = Window.partitionBy("slice", *keys).orderBy("at_us", "kind", *SOURCE_ORDER)
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     is_request, is_marker = F.col("kind") == 0, F.col("kind") == 2
     one = lambda cond: F.when(cond, F.lit(1)).otherwise(F.lit(0))
     running = [
         F.max(F.when(is_request, F.col("at_us"))).over(earlier).alias("last_in_slice"),
-        F.sum(one(F.col("html") & ~is_marker)).over(so_far).alias("views"),
+        F.sum(one(_bit("html") & ~is_marker)).over(so_far).alias("views"),
         F.sum(one(is_marker)).over(so_far).alias("markers"),
         F.sum(one(is_request)).over(so_far).alias("rank_in_slice"),
     ]
@@ -147,18 +161,16 @@ def _session_counts(rows: DataFrame, keys) -> DataFrame:
         .groupBy(*keys, "slice", "session_no", "salt", "dim", "value")
         .agg(
             F.sum(is_request.cast("long")).alias("n"),
-            F.sum((is_request & F.col("night")).cast("long")).alias("night_n"),
+            F.sum((is_request & _bit("night")).cast("long")).alias("night_n"),
             F.min(F.when(is_request, F.col("pos"))).alias("first_pos"),
             F.max("clicks").alias("clicks"),
             F.max(gap).alias("max_gap"),
             F.min(gap).alias("min_gap"),
-            # Exact: squared microseconds do not fit a double.
-            F.sum(
-                (gap.cast("decimal(19,0)") * gap.cast("decimal(19,0)")).cast("decimal(38,0)")
-            ).alias("gap_sq"),
+            F.sum(F.shiftright(gap * gap, 32)).alias("gap_sq_high"),
+            F.sum((gap * gap).bitwiseAND(F.lit(0xFFFFFFFF))).alias("gap_sq_low"),
             F.sum(number(age_us <= 60_000_000)).alias("last_60s"),
             F.sum(number(age_us <= 300_000_000)).alias("last_300s"),
-            *[F.sum(number(F.col(f))).alias(f) for f in COUNTED],
+            *[F.sum(number(_bit(f))).alias(f) for f in COUNTED],
             F.first("session_start_us").alias("start_us"),
             F.first("session_end_us").alias("end_us"),
         )
@@ -174,7 +186,7 @@ def _merge_slices(counts: DataFrame, keys) -> DataFrame:
         counts.repartition(*keys, "session_no", "salt")
         .groupBy(*keys, "session_no", "salt", "dim", "value")
         .agg(
-            *[F.sum(c).alias(c) for c in ("n", "night_n", "gap_sq", *SUMMED)],
+            *[F.sum(c).alias(c) for c in ("n", "night_n", "gap_sq_high", "gap_sq_low", *SUMMED)],
             F.min("first_pos").alias("first_pos"),
             *[F.max(c).alias(c) for c in ("clicks", "max_gap", "end_us")],
             *[F.min(c).alias(c) for c in ("min_gap", "start_us")],
@@ -185,48 +197,65 @@ def _merge_slices(counts: DataFrame, keys) -> DataFrame:
 def _reduce_values(values: DataFrame, keys) -> DataFrame:
     """One row per session.  Patterns run once per distinct path or agent, not per request."""
     is_path, is_agent = F.col("dim") == "path", F.col("dim") == "agent"
-    n = F.col("n")
-    path = F.when(is_path, F.col("value"))
-    hits = lambda cond: F.sum(F.when(cond, n))
+    n, path = F.col("n"), F.col("path")
+    n_if = lambda cond: F.when(cond, n)
     n_log_n = n * F.log2(n.cast("double"))
-    flagged = (
-        values.withColumn("page", ~X.is_static_file(path))
-        .withColumn("grpc", X.is_grpc_path(path))
-        .withColumn("path_bits", n * X.char_entropy(path))
-        .withColumn("rank", F.struct((-n).alias("hits"), "first_pos"))
+    # Evaluated in projections, inside generated code, before the reduction.
+    facts = (
+        values.withColumn("path", F.when(is_path, F.col("value")))
+        .withColumn("page", ~X.is_static_file(path))
+        .withColumns(
+            {
+                "page_n": n_if(F.col("page")),
+                "page_night_n": F.when(F.col("page"), F.col("night_n")),
+                "page_like_n": n_if(F.col("page") & ~X.is_api_route(path)),
+                "scanner_n": n_if(X.is_scanner_path(path)),
+                "protected_n": n_if(X.is_protected_path(path)),
+                "botnet_n": n_if(X.is_botnet_path(path)),
+                "grpc": X.is_grpc_path(path).cast("long"),
+                "path_bits": n * X.char_entropy(path),
+                "path_nlogn": F.when(is_path, n_log_n),
+                "status_nlogn": F.when(F.col("dim") == "status", n_log_n),
+                "agent_n": n_if(is_agent),
+                "language": F.when(is_agent, X.sends_accept_language(F.col("value"))).cast("long"),
+                "top": F.when(
+                    is_path,
+                    F.struct((-n).alias("rank"), "first_pos", F.col("value").alias("path")),
+                ),
+                "opener": F.when(is_agent, F.struct("first_pos", F.col("value").alias("agent"))),
+            }
+        )
     )
-    per_salt = flagged.groupBy(*keys, "session_no", "salt").agg(
-        hits(is_agent).alias("requests"),
+    per_salt = facts.groupBy(*keys, "session_no", "salt").agg(
+        F.sum("agent_n").alias("requests"),
         F.min("start_us").alias("start_us"),
         F.max("end_us").alias("end_us"),
         F.min("min_gap").alias("min_gap_us"),
         F.max("max_gap").alias("max_gap_us"),
-        F.sum("gap_sq").alias("gap_sq"),
+        F.sum("gap_sq_high").alias("gap_sq_high"),
+        F.sum("gap_sq_low").alias("gap_sq_low"),
         F.max("clicks").alias("clicks"),
-        F.sum(is_path.cast("long")).alias("paths"),
-        F.sum(is_agent.cast("long")).alias("agents"),
-        F.sum(F.when(is_path, n_log_n)).alias("path_nlogn"),
-        F.sum(F.when(F.col("dim") == "status", n_log_n)).alias("status_nlogn"),
+        F.count("path").alias("paths"),
+        F.count("agent_n").alias("agents"),
+        F.sum("path_nlogn").alias("path_nlogn"),
+        F.sum("status_nlogn").alias("status_nlogn"),
         F.sum("path_bits").alias("path_bits"),
-        hits(F.col("page")).alias("pages"),
-        F.sum(F.when(F.col("page"), F.col("night_n"))).alias("night_pages"),
-        hits(X.is_scanner_path(path)).alias("scanner_hits"),
-        hits(X.is_protected_path(path)).alias("protected_hits"),
-        hits(X.is_botnet_path(path)).alias("botnet_hits"),
-        F.sum(F.col("grpc").cast("long")).alias("grpc_paths"),
-        hits(F.col("page") & ~X.is_api_route(path)).alias("page_like_hits"),
-        F.max(F.when(is_agent, X.sends_accept_language(F.col("value")).cast("long"))).alias(
-            "language_agents"
-        ),
-        F.min(F.when(is_path, F.struct("rank", F.col("value").alias("path")))).alias("top"),
-        F.min(F.when(is_agent, F.struct("first_pos", F.col("value").alias("agent")))).alias(
-            "opener"
-        ),
+        F.sum("page_n").alias("pages"),
+        F.sum("page_night_n").alias("night_pages"),
+        F.sum("scanner_n").alias("scanner_hits"),
+        F.sum("protected_n").alias("protected_hits"),
+        F.sum("botnet_n").alias("botnet_hits"),
+        F.sum("grpc").alias("grpc_paths"),
+        F.sum("page_like_n").alias("page_like_hits"),
+        F.max("language").alias("language_agents"),
+        F.min("top").alias("top"),
+        F.min("opener").alias("opener"),
         *[F.sum(c).alias(c) for c in SUMMED],
     )
     added = [
         "requests",
-        "gap_sq",
+        "gap_sq_high",
+        "gap_sq_low",
         "paths",
         "agents",
         "path_nlogn",
@@ -250,8 +279,8 @@ def _reduce_values(values: DataFrame, keys) -> DataFrame:
 
 def session_inputs(requests: DataFrame, keys=("ip",), timeout_s=P.SESSION_TIMEOUT_S) -> DataFrame:
     """One row per session with everything features and rules read."""
-    if timeout_s <= CLICK_WINDOW_S:
-        raise ValueError(f"timeout must exceed {CLICK_WINDOW_S} s")
+    if not CLICK_WINDOW_S < timeout_s <= MAX_TIMEOUT_S:
+        raise ValueError(f"timeout must lie between {CLICK_WINDOW_S} and {MAX_TIMEOUT_S} s")
     keys = list(keys)
     length = slice_length(timeout_s)
     smap = session_map(with_clock(requests), keys, timeout_s)
@@ -264,7 +293,7 @@ def session_inputs(requests: DataFrame, keys=("ip",), timeout_s=P.SESSION_TIMEOU
         "session_no",
         F.col("opener.agent").alias("user_agent"),
         F.col("top.path").alias("top_endpoint"),
-        (-F.col("top.rank.hits")).alias("top_hits"),
+        (-F.col("top.rank")).alias("top_hits"),
         *[c for c in reduced.columns if c not in (*keys, "session_no", "top", "opener")],
     ).withColumn("duration", (F.col("end_us") - F.col("start_us")) / 1e6)
 
@@ -291,6 +320,10 @@ def _n_log_n(values: Column, all_values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + count(v) * F.log2(count(v)))
 
 
+def _sum_of(array, value) -> Column:
+    return F.aggregate(array, F.lit(0).cast("long"), lambda acc, x: acc + value(x))
+
+
 def history_inputs(rows: DataFrame, agent_from="last") -> DataFrame:
     """Inputs per row from its ``history`` array (at most a few hundred structs).
 
@@ -377,15 +410,9 @@ def history_inputs(rows: DataFrame, agent_from="last") -> DataFrame:
         )
         .withColumn("min_gap_us", F.array_min("gaps"))
         .withColumn("max_gap_us", F.array_max("gaps"))
+        .withColumn("gap_sq_high", _sum_of("gaps", lambda g: F.shiftright(g * g, 32)))
         .withColumn(
-            "gap_sq",
-            F.aggregate(
-                "gaps",
-                F.lit(0).cast("decimal(38,0)"),
-                lambda acc, g: (
-                    acc + (g.cast("decimal(19,0)") * g.cast("decimal(19,0)"))
-                ).cast("decimal(38,0)"),
-            ),
+            "gap_sq_low", _sum_of("gaps", lambda g: (g * g).bitwiseAND(F.lit(0xFFFFFFFF)))
         )
         .withColumn(
             "clicks",
@@ -431,9 +458,13 @@ def gap_cv() -> Column:
     """Sample deviation over mean of the gaps; 0 for fewer than 2 gaps or a zero mean."""
     gaps = F.col("requests") - 1
     span = F.col("end_us") - F.col("start_us")
-    # gaps * sum(g^2) - (sum g)^2 in whole microseconds: no cancellation error.
+    # gaps * sum(g^2) - (sum g)^2 in whole microseconds: no cancellation error.  The sum
+    # of squares arrives as two exact 64-bit sums, of the high and the low 32 bits.
+    gap_sq = F.col("gap_sq_high").cast("decimal(20,0)") * F.lit(1 << 32).cast(
+        "decimal(10,0)"
+    ) + F.col("gap_sq_low")
     spread = (
-        gaps.cast("decimal(20,0)") * F.col("gap_sq")
+        (gaps.cast("decimal(18,0)") * gap_sq).cast("decimal(38,0)")
         - (span.cast("decimal(19,0)") * span.cast("decimal(19,0)"))
     ).cast("double")
     deviation = F.sqrt(F.greatest(spread, F.lit(0.0)) / gaps / (gaps - 1))
