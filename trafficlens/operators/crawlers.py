@@ -106,7 +106,9 @@ def request_stats(labels: DataFrame, of="human_proxy") -> DataFrame:
     Nearest rank: the value at index n // 2 and int(0.9 n) of the sorted counts.
     """
     spans = value_counts(labels.filter(F.col("label") == of).select("requests"), "requests")
-    total = spans.agg(F.sum("n").alias("actors"), F.max("requests").alias("max_requests"))
+    total = spans.agg(
+        F.struct(F.sum("n").alias("actors"), F.max("requests").alias("max_requests"))
+    ).scalar()
     at = lambda position: F.max(
         F.when(
             (F.col("upto") - F.col("n") <= position) & (position < F.col("upto")), F.col("requests")
@@ -114,7 +116,8 @@ def request_stats(labels: DataFrame, of="human_proxy") -> DataFrame:
     )
     n = F.col("actors")
     return (
-        spans.join(F.broadcast(total))  # one row
+        spans.withColumn("total", total)
+        .select("*", "total.*")
         .groupBy("actors", "max_requests")
         .agg(
             at(F.floor(n / 2)).alias("median"),
@@ -168,14 +171,14 @@ def permille_quantiles(values: DataFrame, value: str) -> DataFrame:
     into it, so nothing is sorted in one task.
     """
     spans = value_counts(values, value)
-    total = spans.agg(F.sum("n").alias("total"))
+    total = spans.agg(F.sum("n")).scalar()
     lo, hi, last = F.col("upto") - F.col("n"), F.col("upto") - 1, F.col("total") - 1
     clip = lambda c: F.greatest(F.lit(0), F.least(F.lit(1000), c)).cast("int")
     scale = F.greatest(last, F.lit(1))
     first = F.when(last == 0, F.lit(0)).otherwise(clip(F.floor((lo - 1) * 1000 / scale)))
     final = F.when(last == 0, F.lit(1000)).otherwise(clip(F.ceil((hi + 1) * 1000 / scale)))
     return (
-        spans.join(F.broadcast(total))  # one row
+        spans.withColumn("total", total)
         .select(value, lo.alias("lo"), hi.alias("hi"), last.alias("last"),
                 F.explode(F.sequence(first, final)).alias("permille"))
         .filter(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 RANGES = 200
 
 
-def _boundaries(df: DataFrame, order: str, ranges: int) -> list:
+def boundaries(df: DataFrame, order: str, ranges: int) -> list:
     """At most ``ranges`` values spread over the distinct values of ``order``.
 
     They only balance the work: any boundaries give the same result.  They are fixed
@@ -43,7 +43,7 @@ def running_totals(
     ``sums`` maps a value column to the name of its running total.  ``partition`` names
     columns (a detector, a replicate) with separate totals.
     """
-    cuts = _boundaries(grouped, order, ranges)
+    cuts = boundaries(grouped, order, ranges)
     keys = list(partition)
     number = F.lit(0)
     if cuts:
@@ -80,17 +80,3 @@ def value_counts(df: DataFrame, value: str) -> DataFrame:
     """(value, n, upto): distinct values, how often, and how many rows up to each."""
     counts = df.groupBy(value).agg(F.count("*").alias("n"))
     return running_totals(counts, value, {"n": "upto"})
-
-
-def nearest_rank(df: DataFrame, value: str, positions: DataFrame) -> DataFrame:
-    """Values at 0-based ``position``s of the sorted column; ``positions`` is a small table.
-
-    Each distinct value covers an interval of positions, so a join on intervals finds the
-    value: the positions are broadcast only as long as they are few.
-    """
-    spans = value_counts(df, value).select(
-        value, (F.col("upto") - F.col("n")).alias("lo"), (F.col("upto") - 1).alias("hi")
-    )
-    return positions.join(spans, F.col("position").between(F.col("lo"), F.col("hi"))).drop(
-        "lo", "hi"
-    )

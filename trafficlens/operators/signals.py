@@ -15,13 +15,13 @@ def in_blocks(addresses: DataFrame, blocks: DataFrame, carry=()) -> DataFrame:
     matched once per prefix length that occurs, by equality: no range comparison and no
     hot bucket.  Lengths are at most 33 + 129 numbers.
     """
-    lengths = blocks.select(
-        F.length("prefix").alias("len")
-    ).agg(F.collect_set("len").alias("lengths"))
+    lengths = (
+        blocks.select(F.length("prefix").alias("len")).agg(F.collect_set("len")).scalar()
+    )
     keyed = (
         addresses.select("ip", address_bits(F.col("ip")).alias("bits"))
         .filter(F.col("bits").isNotNull())
-        .join(F.broadcast(lengths))  # one row
+        .withColumn("lengths", lengths)
         .select("ip", "bits", F.explode("lengths").alias("len"))
         .filter(F.col("len") <= F.length("bits"))
         .select("ip", F.length("bits").alias("width"), F.expr("substring(bits, 1, len)").alias("prefix"))
