@@ -1,0 +1,8 @@
+"""Web traffic analysis on Spark: sessions, features, rules, scores, evaluation."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to executors travel by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -76,29 +76,60 @@ def normalise_array(vector: Column, mins: Column, maxs: Column) -> Column:
     )
 
 
-def _dot(weights, inputs, bias) -> Column:
-    total = F.lit(float(bias))
-    for w, x in zip(weights, inputs):
-        total = total + F.lit(float(w)) * x
-    return total
+def _folded(network: Network, weights, bias):
+    """Weights and bias acting on raw inputs: the scaling is folded in, which keeps the
+    generated code to one multiplication and addition per input."""
+    out, shift = [], bias
+    for i, (name, w) in enumerate(zip(FEATURES, weights)):
+        if name in network.neutral:
+            shift += 0.5 * w
+            out.append(0.0)
+        elif network.mins is None:
+            out.append(w)
+        elif network.maxs[i] > network.mins[i]:
+            span = network.maxs[i] - network.mins[i]
+            out.append(w / span)
+            shift -= w * network.mins[i] / span
+        else:
+            shift += 0.5 * w
+            out.append(0.0)
+    return out, shift
+
+
+def hidden_sums(network: Network, inputs=None) -> list[str]:
+    """SQL text of the weighted sum entering each hidden unit."""
+    names = list(inputs or FEATURES)
+    sums = []
+    for weights, bias in network.hidden_units():
+        folded, shift = _folded(network, weights, bias)
+        terms = [f"{w!r}D * {x}" for w, x in zip(folded, names) if w != 0.0]
+        sums.append(" + ".join([f"{shift!r}D", *terms]))
+    return sums
 
 
 def network_score(network: Network, inputs=None) -> Column:
-    """Probability of automation from 19 columns (the feature columns by default).
-
-    A plain arithmetic expression: 4 dot products inside generated code.
-    """
-    columns = [F.col(n) for n in FEATURES] if inputs is None else list(inputs)
-    x = normalised(columns, network)
-    hidden = [F.greatest(F.lit(0.0), _dot(w, x, b)) for w, b in network.hidden_units()]
+    """Probability of automation from 19 numbers, given as SQL texts (by default the
+    feature columns).  A plain arithmetic expression inside generated code."""
     out_w, out_b = network.output_unit()
-    logit = F.greatest(F.lit(-500.0), F.least(F.lit(500.0), _dot(out_w, hidden, out_b)))
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
+    units = [
+        f"{w!r}D * greatest(0D, {total})" for w, total in zip(out_w, hidden_sums(network, inputs))
+    ]
+    logit = " + ".join([f"{out_b!r}D", *units])
+    return F.expr(f"1D / (1D + exp(-greatest(-500D, least(500D, {logit}))))")
 
 
-def array_score(network: Network, vector: Column) -> Column:
+def array_score(network: Network, vector: str) -> Column:
     """The same over one array column, as archived decisions hold it."""
-    return network_score(network, [vector[i] for i in range(len(FEATURES))])
+    return network_score(network, [f"{vector}[{i}]" for i in range(len(FEATURES))])
+
+
+def once(value: Column) -> Column:
+    """Evaluate a large expression exactly once per row.
+
+    Without this the optimizer copies it into every filter on a column derived from it,
+    where it may appear dozens of times.  A one-element explode stops the copying.
+    """
+    return F.explode(F.array(value))
 
 
 def blend(label: Column, confidence: Column, model_score: Column) -> Column:

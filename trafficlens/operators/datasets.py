@@ -240,7 +240,7 @@ def masked_changes(dataset: DataFrame, network, masked, threshold=0.5) -> DataFr
     from ..functions.scoring import network_score
 
     full = network_score(network)
-    blind = network_score(network, [F.lit(0.0) if f in masked else F.col(f) for f in FEATURES])
+    blind = network_score(network, ["0D" if f in masked else f for f in FEATURES])
     return dataset.select((full > threshold).alias("full"), (blind > threshold).alias("blind")).agg(
         F.count("*").alias("rows_compared"),
         F.count_if(F.col("full") != F.col("blind")).alias("rows_changed"),

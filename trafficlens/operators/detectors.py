@@ -131,10 +131,10 @@ def from_scan(sessions: DataFrame, name="scan") -> DataFrame:
     )
 
 
-def rescored(decisions: DataFrame, predict: Callable[[Column], Column], threshold: float,
+def rescored(decisions: DataFrame, predict: Callable[[str], Column], threshold: float,
              name="rescored", blended=True) -> DataFrame:
     """Swap the model under archived decisions: same actors, same requests, same rules."""
-    model = predict(F.col("features"))
+    model = predict("features")
     value = model
     if blended:
         confidence = S.recovered_confidence(

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.scoring import HIDDEN, Network, network_score, normalised
+from ..functions.scoring import HIDDEN, Network, hidden_sums, network_score, normalised
 from ..schema import FEATURES, UA_FEATURES
 from ..sources.archive import require_feedback
 from .datasets import ranges
@@ -96,13 +96,7 @@ def check_not_degenerate(dataset: DataFrame, network: Network) -> None:
 
 def has_live_unit(dataset: DataFrame, network: Network) -> bool:
     """Whether any hidden unit fires on any row; silent ones have no gradient."""
-    x = normalised([F.col(f) for f in FEATURES], network)
-    fires = F.lit(False)
-    for weights, bias in network.hidden_units():
-        total = F.lit(float(bias))
-        for w, column in zip(weights, x):
-            total = total + F.lit(float(w)) * column
-        fires = fires | (total > 0)
+    fires = F.expr(" OR ".join(f"({total}) > 0" for total in hidden_sums(network)))
     return bool(dataset.agg(F.bool_or(fires)).first()[0])
 
 

@@ -1,8 +1,9 @@
 """All registered queries."""
 
 from .catalog_core import core
+from .catalog_sources import sources
 
-_PARTS = [core]
+_PARTS = [core, sources]
 
 QUERIES = {}
 ORACLES = {}

@@ -34,7 +34,7 @@ def with_score(
     ``human`` score 0 and the label human (live), ``blend`` no special case (tailing).
     ``strict`` compares with > instead of >=.
     """
-    model = S.network_score(network) if network is not None else F.lit(0.0)
+    model = S.once(S.network_score(network)) if network is not None else F.lit(0.0)
     blended = S.blend(F.col("heuristic_label"), F.col("heuristic_confidence"), F.col("raw_model"))
     spared = (F.col("heuristic_label") == "automated-integration") & F.lit(integrations != "blend")
     flagged = F.col("score") > threshold if strict else F.col("score") >= threshold
