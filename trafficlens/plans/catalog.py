@@ -1,9 +1,10 @@
 """All registered queries."""
 
 from .catalog_core import core
+from .catalog_signals import signals
 from .catalog_sources import sources
 
-_PARTS = [core, sources]
+_PARTS = [core, sources, signals]
 
 QUERIES = {}
 ORACLES = {}
