@@ -24,28 +24,49 @@ def _v4_bits(ip: Column) -> Column:
     return F.array_join(F.transform(F.split(ip, r"\."), lambda o: _bin(o, 10, 8)), "")
 
 
-def v6_groups(ip: Column) -> Column:
-    """The eight 4-digit groups of an IPv6 text, or NULL if it is not one."""
-    bare = F.lower(F.regexp_replace(ip, r"%[^%]+$", ""))
-    # A dotted tail stands for the last two groups.
-    dotted = F.regexp_extract(bare, r":([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$", 1)
-    octet = lambda i: F.lpad(F.conv(F.try_element_at(F.split(dotted, r"\."), F.lit(i)), 10, 16), 2, "0")
-    tail = F.concat(octet(1), octet(2), F.lit(":"), octet(3), octet(4))
-    text = (
-        F.when(dotted == "", bare)
-        .when(is_v4(dotted), F.concat(F.regexp_replace(bare, r"[0-9.]+$", ""), F.lower(tail)))
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is used."""
+    return F.try_element_at(F.transform(F.array(value), use), F.lit(1))
+
+
+def _undotted(text: Column) -> Column:
+    """A dotted tail (::ffff:1.2.3.4) rewritten as the two groups it stands for."""
+
+    def rewrite(parts):
+        octet = lambda i: F.lpad(F.conv(F.try_element_at(parts, F.lit(i)), 10, 16), 2, "0")
+        tail = F.concat(octet(1), octet(2), F.lit(":"), octet(3), octet(4))
+        return F.concat(F.regexp_replace(text, r"[0-9.]+$", ""), F.lower(tail))
+
+    tail = F.regexp_extract(text, r":([0-9.]+)$", 1)
+    return F.when(~text.contains("."), text).when(
+        tail.rlike(_V4), _let(F.split(tail, r"\."), rewrite)
     )
-    halves = F.split(text, "::")
+
+
+def _expanded(text: Column) -> Column:
+    """The groups of a well-formed text, with '::' filled up to eight."""
     groups = lambda t: F.filter(F.split(t, ":"), lambda g: g != "")
-    head = groups(F.try_element_at(halves, F.lit(1)))
-    rest = F.coalesce(groups(F.try_element_at(halves, F.lit(2))), F.array().cast("array<string>"))
-    missing = F.lit(8) - F.size(head) - F.size(rest)
-    filled = F.concat(head, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), rest)
+    head = groups(F.substring_index(text, "::", 1))
+    rest = F.when(text.contains("::"), groups(F.substring_index(text, "::", -1))).otherwise(
+        F.array().cast("array<string>")
+    )
+
+    def fill(sides):
+        used = F.size(sides["head"]) + F.size(sides["rest"])
+        gap = F.array_repeat(F.lit("0"), F.greatest(8 - used, F.lit(0)))
+        full = F.when(text.contains("::"), used <= 7).otherwise(used == 8)
+        return F.when(full, F.concat(sides["head"], gap, sides["rest"]))
+
     side = r"(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)"
-    ok = text.rlike(rf"^(?:{side}|{side}?::{side}?)$") & F.when(
-        F.size(halves) == 2, missing >= 1
-    ).otherwise(missing == 0)
-    return F.when(ok, F.transform(filled, lambda g: F.lpad(g, 4, "0")))
+    well_formed = text.rlike(rf"^(?:{side}|{side}?::{side}?)$")
+    return F.when(well_formed, _let(F.struct(head.alias("head"), rest.alias("rest")), fill))
+
+
+def v6_groups(ip: Column) -> Column:
+    """The eight 4-digit groups of an IPv6 text, or NULL if it is not one."""
+    bare = F.lower(F.regexp_replace(ip, r"%[^%]+$", ""))
+    groups = _let(bare, lambda t: _let(_undotted(t), _expanded))
+    return F.transform(groups, lambda g: F.lpad(g, 4, "0"))
 
 
 def address_bits(ip: Column) -> Column:
@@ -59,11 +80,14 @@ def block_prefix(cidr: Column) -> Column:
 
     A bare address is a block of one.
     """
-    bits = address_bits(F.substring_index(cidr, "/", 1))
-    plen = F.when(~cidr.contains("/"), F.length(bits)).otherwise(
-        F.regexp_extract(cidr, r"^[^/]+/([0-9]{1,3})$", 1).try_cast("int")
-    )
-    return F.when((plen >= 0) & (plen <= F.length(bits)), F.substring(bits, F.lit(1), plen))
+    plen = F.regexp_extract(cidr, r"^[^/]+/([0-9]{1,3})$", 1).try_cast("int")
+
+    def cut(bits):
+        return F.when(~cidr.contains("/"), bits).when(
+            plen <= F.length(bits), F.substring(bits, F.lit(1), plen)
+        )
+
+    return _let(address_bits(F.substring_index(cidr, "/", 1)), cut)
 
 
 def mask_ip(ip: Column) -> Column:

@@ -150,6 +150,7 @@ def bind(
             ~F.col("has_session"), "NO_SESSION"
         ),
     )
+    checked = cut_lineage(checked)  # read four times below
     valid = checked.filter(F.col("reject").isNull())
     segments = session_map(valid, ("ip",), ttl_s).select(
         "ip", "slice", F.col("session_no").alias("segment"), F.col("session_rows").alias("size")
@@ -212,7 +213,7 @@ def shared_ip_counts(accepted: DataFrame, window_s=P.FINGERPRINT_WINDOW_S) -> Da
     A distinct count in time order is a running count of first occurrences; both are
     computed in slices, so a hash used by very many addresses is not one task.
     """
-    keyed = accepted.select("ip", "hash", "ts_us", "seq")
+    keyed = cut_lineage(accepted.select("ip", "hash", "ts_us", "seq"))  # read twice
     windows = session_map(keyed, ("hash",), window_s).select("hash", "slice", "session_no")
     length = min(SLICE_S, window_s)
     rows = keyed.withColumn("slice", slice_of(F.col("ts_us"), length)).join(
@@ -267,6 +268,7 @@ def actor_registry(
     A pause longer than the time to live starts a new record; records not seen for that
     long are gone; of the rest the ``keep`` most recent stay.
     """
+    shared = cut_lineage(shared)  # read twice
     lives = session_map(shared, ("hash",), ttl_s).select("hash", "slice", "session_no")
     rows = shared.withColumn("slice", slice_of(F.col("ts_us"), min(SLICE_S, ttl_s))).join(
         lives, ["hash", "slice"]

@@ -8,6 +8,8 @@ few hundred rows), and each range counts on from what came before it.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 RANGES = 200
 
 
@@ -43,6 +45,8 @@ def running_totals(
     ``sums`` maps a value column to the name of its running total.  ``partition`` names
     columns (a detector, a replicate) with separate totals.
     """
+    # Read three times below; what led to these few rows should run once.
+    grouped = cut_lineage(grouped)
     cuts = boundaries(grouped, order, ranges)
     keys = list(partition)
     number = F.lit(0)

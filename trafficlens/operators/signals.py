@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.address import address_bits
+from ..functions.scoring import once
 
 
 def in_blocks(addresses: DataFrame, blocks: DataFrame, carry=()) -> DataFrame:
@@ -19,7 +20,7 @@ def in_blocks(addresses: DataFrame, blocks: DataFrame, carry=()) -> DataFrame:
         blocks.select(F.length("prefix").alias("len")).agg(F.collect_set("len")).scalar()
     )
     keyed = (
-        addresses.select("ip", address_bits(F.col("ip")).alias("bits"))
+        addresses.withColumn("bits", once(address_bits(F.col("ip"))))
         .filter(F.col("bits").isNotNull())
         .withColumn("lengths", lengths)
         .select("ip", "bits", F.explode("lengths").alias("len"))
@@ -66,7 +67,11 @@ def reputation(
     addresses: DataFrame, tor: DataFrame, hosting: DataFrame, abuse: DataFrame
 ) -> DataFrame:
     """Resolved signals per parseable address.  A missing abuse score stays NULL."""
-    known = addresses.filter(address_bits(F.col("ip")).isNotNull())
+    known = (
+        addresses.withColumn("bits", once(address_bits(F.col("ip"))))
+        .filter(F.col("bits").isNotNull())
+        .select("ip")
+    )
     exits = tor.select("ip").distinct().withColumn("tor_exit", F.lit(True))
     hosted = in_blocks(known, hosting).distinct().withColumn("hosting_range", F.lit(True))
     return (

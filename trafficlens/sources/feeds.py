@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.address import block_prefix
+from ..functions.scoring import once
 
 
 def parse_exit_list(lines: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ _RANGES = T.StructType(
 
 def cidr_table(cidrs: DataFrame) -> DataFrame:
     """Add ``prefix`` (the leading bits) to a table with ``cidr``; bad ones are skipped."""
-    return cidrs.withColumn("prefix", block_prefix(F.col("cidr"))).filter(
+    return cidrs.withColumn("prefix", once(block_prefix(F.col("cidr")))).filter(
         F.col("prefix").isNotNull()
     )
 
