@@ -1,10 +1,11 @@
 """All registered queries."""
 
 from .catalog_core import core
+from .catalog_evaluation import evaluation
 from .catalog_signals import signals
 from .catalog_sources import sources
 
-_PARTS = [core, sources, signals]
+_PARTS = [core, sources, signals, evaluation]
 
 QUERIES = {}
 ORACLES = {}
