@@ -1,11 +1,12 @@
 """All registered queries."""
 
 from .catalog_core import core
+from .catalog_datasets import datasets
 from .catalog_evaluation import evaluation
 from .catalog_signals import signals
 from .catalog_sources import sources
 
-_PARTS = [core, sources, signals, evaluation]
+_PARTS = [core, sources, signals, evaluation, datasets]
 
 QUERIES = {}
 ORACLES = {}
