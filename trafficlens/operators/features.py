@@ -432,8 +432,8 @@ def history_inputs(rows: DataFrame, agent_from="last") -> DataFrame:
         .withColumn("last_300s", count(lambda r: F.col("end_us") - r["ts_us"] <= 300_000_000))
         .withColumn("duration", (F.col("end_us") - F.col("start_us")) / 1e6)
     )
-    for name in COUNTED:
-        out = out.withColumn(name, count(lambda r, f=name: r[f]))
+    field = lambda name: lambda r: r[name]
+    out = out.withColumns({name: count(field(name)) for name in COUNTED})
     return out.drop(
         "paths_all",
         "status_all",

@@ -5,8 +5,9 @@ from .catalog_datasets import datasets
 from .catalog_evaluation import evaluation
 from .catalog_signals import signals
 from .catalog_sources import sources
+from .catalog_streaming import streaming
 
-_PARTS = [core, sources, signals, evaluation, datasets]
+_PARTS = [core, sources, signals, evaluation, datasets, streaming]
 
 QUERIES = {}
 ORACLES = {}

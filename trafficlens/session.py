@@ -1,6 +1,5 @@
 """A Spark session with the settings the operators assume."""
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,18 +21,22 @@ def spark_session(name="trafficlens", master=None, **conf) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder all executors share: the one the cluster names, else (one machine) our own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return tempfile.mkdtemp(prefix="trafficlens-")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder the cluster names, so lost executors cost nothing.
+    """Checkpoint to the shared folder, so later steps survive lost executors.
 
-    Only where none is configured (tests on one machine) a folder of our own is used.
+    A checkpoint folder already set on the session is kept.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            shared = os.path.join(tempfile.mkdtemp(prefix="trafficlens-"), "checkpoints")
-        context.setCheckpointDir(shared)
+        context.setCheckpointDir(f"{shared_folder(df.sparkSession)}/checkpoints")
     return df.checkpoint(eager=True)

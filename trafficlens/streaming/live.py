@@ -84,19 +84,13 @@ def keep_history(keep: int, timeout_s: int):
             last_us = int(ts_us)
         yield pd.DataFrame({"ip": [key[0]], "prior": [prior], "fresh": [fresh]})
         state.update((last_us, retained))
-        if state_has_watermark(state):
-            state.setTimeoutTimestamp(max(last_us // 1000 + timeout_s * 1000, state.getCurrentWatermarkMs() + 1))
+        # Forgotten once no request in time can still continue the session.
+        ends_ms = last_us // 1000 + timeout_s * 1000 + 1
+        state.setTimeoutTimestamp(max(ends_ms, state.getCurrentWatermarkMs() + 1))
 
     return update
 
 
-def state_has_watermark(state: GroupState) -> bool:
-    try:
-        return state.getCurrentWatermarkMs() >= 0
-    except Exception:  # no watermark on the stream: state then lives until it is replaced
-        return False
-
-
 def request_histories(requests: DataFrame, keep=P.RETAINED_REQUESTS, timeout_s=P.SESSION_TIMEOUT_S,
                       lateness="10 minutes") -> DataFrame:
     """Streaming: every request with the retained history up to and including itself."""
@@ -104,7 +98,7 @@ def request_histories(requests: DataFrame, keep=P.RETAINED_REQUESTS, timeout_s=P
     item = F.struct(F.col("line_no").alias("line_no"), *history_item())
     schema = rows.select(item.alias("p")).schema["p"].dataType
     keyed = rows.withWatermark("ts", lateness).select(
-        "ip", "ts_us", F.col("line_no").alias("request_id_no"), F.to_json(item).alias("payload")
+        "ip", "ts", "ts_us", F.col("line_no").alias("request_id_no"), F.to_json(item).alias("payload")
     )
     chunks = keyed.groupBy("ip").applyInPandasWithState(
         keep_history(keep, timeout_s),
@@ -317,8 +311,8 @@ def claim_holder(ttl_s: int):
             else:
                 outcomes.append("REPEAT" if value == held else "ALREADY_BOUND")
         state.update((held, since))
-        if state_has_watermark(state):
-            state.setTimeoutTimestamp(max(since // 1000 + ttl_s * 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        ends_ms = since // 1000 + ttl_s * 1000 + 1
+        state.setTimeoutTimestamp(max(ends_ms, state.getCurrentWatermarkMs() + 1))
         yield rows.assign(ip=key[0], outcome=outcomes)[["ip", "hash", "ts_us", "seq", "outcome"]]
 
     return update
