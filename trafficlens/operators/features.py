@@ -46,36 +46,45 @@ COUNTED = [
 ]
 
 
+def _suffix(column: str, suffixes) -> str:
+    return "(" + " OR ".join(f"endswith({column}, '{x}')" for x in suffixes) + ")"
+
+
+def _fragment(column: str, fragments) -> str:
+    found = [f"contains({column}, '{x}')" for x in P.minimal_fragments(fragments)]
+    return "(" + " OR ".join(found) + ")"
+
+
+_SIGN_IN = _fragment("lower(url)", P.SIGN_IN_FRAGMENTS)
+
+# Facts about one request as SQL texts, in the order of COUNTED.
+FLAG_SQL = {
+    "post_static": f"method = 'POST' AND {_suffix('url', P.POST_STATIC_SUFFIXES)}",
+    "image": _suffix("lower(url)", P.IMAGE_SUFFIXES),
+    "html": "endswith(url, '.html') OR endswith(url, '/')",
+    "night": "local_hour >= 2 AND local_hour < 6",
+    "error": "status >= 400",
+    "error_4xx": "status >= 400 AND status < 500",
+    "no_referer": f"referer IN {P.NO_REFERER_VALUES}",
+    "credential": f"contains(url, '=') AND url rlike r'(?iu){P.credential_pattern()}'",
+    "sign_in": _SIGN_IN,
+    "post_sign_in": f"method = 'POST' AND {_SIGN_IN}",
+    "http10": "contains(raw_line, 'HTTP/1.0')",
+}
+
+
 def request_flags() -> dict[str, Column]:
-    """Facts about one request, keyed by the names in COUNTED."""
-    url, method, status = F.col("url"), F.col("method"), F.col("status")
-    sign_in = X.is_sign_in_url(url)
-    return {
-        "post_static": X.is_post_to_static(method, url),
-        "image": X.is_image(url),
-        "html": X.is_html_view(url),
-        "night": X.is_night(F.col("local_hour")),
-        "error": status >= 400,
-        "error_4xx": (status >= 400) & (status < 500),
-        "no_referer": X.has_no_referer(F.col("referer")),
-        "credential": X.has_credential(url),
-        "sign_in": sign_in,
-        "post_sign_in": (method == "POST") & sign_in,
-        "http10": F.coalesce(F.col("raw_line"), F.lit("")).contains("HTTP/1.0"),
-    }
+    return {name: F.expr(f"coalesce({FLAG_SQL[name]}, false)") for name in COUNTED}
 
 
 def _flag_bits() -> Column:
     """All flags of a request in one number, which keeps shuffled rows narrow."""
-    flags = request_flags()
-    bits = F.lit(0)
-    for i, name in enumerate(COUNTED):
-        bits = bits + F.when(flags[name], F.lit(1 << i)).otherwise(F.lit(0))
-    return bits
+    bits = [f"IF({FLAG_SQL[name]}, {1 << i}, 0)" for i, name in enumerate(COUNTED)]
+    return F.expr(" + ".join(bits))
 
 
-def _bit(name: str) -> Column:
-    return F.col("flags").bitwiseAND(F.lit(1 << COUNTED.index(name))) != 0
+def _bit(name: str) -> str:
+    return f"flags & {1 << COUNTED.index(name)} <> 0"
 
 
 def _flagged(requests: DataFrame, keys) -> DataFrame:
@@ -109,74 +118,73 @@ def _with_bursts_and_gaps(flagged: DataFrame, smap: DataFrame, keys, length: int
     marker = entry(home, F.col("ts_us") + window_us, 2)
     early = F.col("ts_us") - home * F.lit(length * 1_000_000) <= window_us
     entries = (
-        F.when(~_bit("html"), F.array(request))
+        F.when(F.expr(f"NOT ({_bit('html')})"), F.array(request))
         .when(early, F.array(request, echo, marker))
         .otherwise(F.array(request, marker))
     )
     order = Window.partitionBy("slice", *keys).orderBy("at_us", "kind", *SOURCE_ORDER)
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    is_request, is_marker = F.col("kind") == 0, F.col("kind") == 2
-    one = lambda cond: F.when(cond, F.lit(1)).otherwise(F.lit(0))
     running = [
-        F.max(F.when(is_request, F.col("at_us"))).over(earlier).alias("last_in_slice"),
-        F.sum(one(_bit("html") & ~is_marker)).over(so_far).alias("views"),
-        F.sum(one(is_marker)).over(so_far).alias("markers"),
-        F.sum(one(is_request)).over(so_far).alias("rank_in_slice"),
+        F.expr("max(IF(kind = 0, at_us, NULL))").over(earlier).alias("last_in_slice"),
+        F.expr(f"sum(IF(kind <> 2 AND {_bit('html')}, 1, 0))").over(so_far).alias("views"),
+        F.expr("sum(IF(kind = 2, 1, 0))").over(so_far).alias("markers"),
+        F.expr("sum(IF(kind = 0, 1, 0))").over(so_far).alias("rank_in_slice"),
     ]
-    previous = F.coalesce(F.col("last_in_slice"), F.col("prev_end_us"))
     return (
         flagged.withColumn("entry", F.explode(entries))
         .select("*", "entry.*")
         .drop("entry", "ts_us")
         .join(smap, [*keys, "slice"])
         .select("*", *running)
-        .withColumn("gap_us", F.when(is_request, F.col("at_us") - previous))
-        .withColumn("clicks", F.when(is_marker, F.col("views") - F.col("markers") + 1))
-        .withColumn("pos", F.col("session_rows_before") + F.col("rank_in_slice"))
-        .filter(F.col("kind") != 1)
+        .selectExpr(
+            "*",
+            "IF(kind = 0, at_us - coalesce(last_in_slice, prev_end_us), NULL) AS gap_us",
+            "IF(kind = 2, views - markers + 1, NULL) AS clicks",
+            "session_rows_before + rank_in_slice AS pos",
+        )
+        .filter("kind <> 1")
     )
 
 
 def _session_counts(rows: DataFrame, keys) -> DataFrame:
     """Counts per (session, salt, dimension, value), still one row per slice."""
-    is_request = F.col("kind") == 0
-    dims = F.array(
-        *[
-            F.struct(F.lit(d).alias("dim"), F.col(d).alias("value"))
-            for d in ("agent", "path", "status")
-        ]
+    pairs = [f"named_struct('dim', '{d}', 'value', {d})" for d in ("agent", "path", "status")]
+    # A marker carries only its click count, on the agent row.
+    spread = rows.selectExpr(
+        "*",
+        f"explode(IF(kind = 0, array({', '.join(pairs)}), array({pairs[0]}))) AS dv",
+    ).selectExpr(
+        "*",
+        "dv.dim AS dim",
+        "dv.value AS value",
+        "kind = 0 AND dv.dim = 'agent' AS on_agent",
+        "IF(kind = 0 AND dv.dim = 'agent', gap_us, NULL) AS gap",
+        f"pmod(xxhash64(dv), ceil(session_rows / {ROWS_PER_SALT}D)) AS salt",
     )
-    agent_only = F.slice(dims, 1, 1)
-    spread = rows.withColumn("dv", F.explode(F.when(is_request, dims).otherwise(agent_only)))
-    on_agent = is_request & (F.col("dv.dim") == "agent")
-    number = lambda c: F.when(on_agent, c.cast("long"))
-    salts = F.ceil(F.col("session_rows") / ROWS_PER_SALT)
-    gap = F.when(on_agent, F.col("gap_us"))
-    age_us = F.col("session_end_us") - F.col("at_us")
-    return (
-        spread.withColumn("salt", F.pmod(F.xxhash64("dv"), salts))
-        .withColumn("dim", F.col("dv.dim"))
-        .withColumn("value", F.col("dv.value"))
-        .groupBy(*keys, "slice", "session_no", "salt", "dim", "value")
-        .agg(
-            F.sum(is_request.cast("long")).alias("n"),
-            F.sum((is_request & _bit("night")).cast("long")).alias("night_n"),
-            F.min(F.when(is_request, F.col("pos"))).alias("first_pos"),
-            F.max("clicks").alias("clicks"),
-            F.max(gap).alias("max_gap"),
-            F.min(gap).alias("min_gap"),
-            F.sum(F.shiftright(gap * gap, 32)).alias("gap_sq_high"),
-            F.sum((gap * gap).bitwiseAND(F.lit(0xFFFFFFFF))).alias("gap_sq_low"),
-            F.sum(number(age_us <= 60_000_000)).alias("last_60s"),
-            F.sum(number(age_us <= 300_000_000)).alias("last_300s"),
-            *[F.sum(number(_bit(f))).alias(f) for f in COUNTED],
-            F.first("session_start_us").alias("start_us"),
-            F.first("session_end_us").alias("end_us"),
+    return spread.groupBy(*keys, "slice", "session_no", "salt", "dim", "value").agg(
+        *_named(
+            "sum(IF(kind = 0, 1L, 0L)) AS n",
+            f"sum(IF(kind = 0 AND {_bit('night')}, 1L, 0L)) AS night_n",
+            "min(IF(kind = 0, pos, NULL)) AS first_pos",
+            "max(clicks) AS clicks",
+            "max(gap) AS max_gap",
+            "min(gap) AS min_gap",
+            "sum(shiftright(gap * gap, 32)) AS gap_sq_high",
+            "sum(gap * gap & 4294967295L) AS gap_sq_low",
+            "sum(IF(on_agent AND session_end_us - at_us <= 60000000, 1L, 0L)) AS last_60s",
+            "sum(IF(on_agent AND session_end_us - at_us <= 300000000, 1L, 0L)) AS last_300s",
+            *[f"sum(IF(on_agent AND {_bit(f)}, 1L, 0L)) AS {f}" for f in COUNTED],
+            "first(session_start_us) AS start_us",
+            "first(session_end_us) AS end_us",
         )
     )
 
 
+def _named(*texts: str) -> list[Column]:
+    return [F.expr(t) for t in texts]
+
+
 SUMMED = ["last_60s", "last_300s", *COUNTED]
 
 
@@ -186,71 +194,71 @@ def _merge_slices(counts: DataFrame, keys) -> DataFrame:
         counts.repartition(*keys, "session_no", "salt")
         .groupBy(*keys, "session_no", "salt", "dim", "value")
         .agg(
-            *[F.sum(c).alias(c) for c in ("n", "night_n", "gap_sq_high", "gap_sq_low", *SUMMED)],
-            F.min("first_pos").alias("first_pos"),
-            *[F.max(c).alias(c) for c in ("clicks", "max_gap", "end_us")],
-            *[F.min(c).alias(c) for c in ("min_gap", "start_us")],
+            *_named(
+                *[f"sum({c}) AS {c}" for c in ("n", "night_n", "gap_sq_high", "gap_sq_low", *SUMMED)],
+                "min(first_pos) AS first_pos",
+                *[f"max({c}) AS {c}" for c in ("clicks", "max_gap", "end_us")],
+                *[f"min({c}) AS {c}" for c in ("min_gap", "start_us")],
+            )
         )
     )
 
 
+def _found(column: str, patterns) -> str:
+    return f"{column} rlike r'(?iu){P.alternation(patterns)}'"
+
+
 def _reduce_values(values: DataFrame, keys) -> DataFrame:
     """One row per session.  Patterns run once per distinct path or agent, not per request."""
-    is_path, is_agent = F.col("dim") == "path", F.col("dim") == "agent"
-    n, path = F.col("n"), F.col("path")
-    n_if = lambda cond: F.when(cond, n)
-    n_log_n = n * F.log2(n.cast("double"))
+    language = f"contains(lower(value), 'accept-language') OR {_found('value', P.BROWSER_AGENT_PATTERNS)}"
     # Evaluated in projections, inside generated code, before the reduction.
     facts = (
-        values.withColumn("path", F.when(is_path, F.col("value")))
-        .withColumn("page", ~X.is_static_file(path))
-        .withColumns(
-            {
-                "page_n": n_if(F.col("page")),
-                "page_night_n": F.when(F.col("page"), F.col("night_n")),
-                "page_like_n": n_if(F.col("page") & ~X.is_api_route(path)),
-                "scanner_n": n_if(X.is_scanner_path(path)),
-                "protected_n": n_if(X.is_protected_path(path)),
-                "botnet_n": n_if(X.is_botnet_path(path)),
-                "grpc": X.is_grpc_path(path).cast("long"),
-                "path_bits": n * X.char_entropy(path),
-                "path_nlogn": F.when(is_path, n_log_n),
-                "status_nlogn": F.when(F.col("dim") == "status", n_log_n),
-                "agent_n": n_if(is_agent),
-                "language": F.when(is_agent, X.sends_accept_language(F.col("value"))).cast("long"),
-                "top": F.when(
-                    is_path,
-                    F.struct((-n).alias("rank"), "first_pos", F.col("value").alias("path")),
-                ),
-                "opener": F.when(is_agent, F.struct("first_pos", F.col("value").alias("agent"))),
-            }
+        values.selectExpr("*", "IF(dim = 'path', value, NULL) AS path")
+        .selectExpr("*", f"NOT ({_found('path', P.STATIC_FILE_PATTERNS)}) AS page")
+        .withColumn("path_bits", F.col("n") * X.char_entropy(F.col("path")))
+        .selectExpr(
+            "*",
+            "IF(page, n, NULL) AS page_n",
+            "IF(page, night_n, NULL) AS page_night_n",
+            f"IF(page AND NOT ({_found('path', P.API_ROUTE_PATTERNS)}), n, NULL) AS page_like_n",
+            f"IF({_fragment('lower(path)', P.SCANNER_FRAGMENTS)}, n, NULL) AS scanner_n",
+            f"IF({_fragment('lower(path)', P.PROTECTED_FRAGMENTS)}, n, NULL) AS protected_n",
+            f"IF({_found('path', P.BOTNET_PATH_PATTERNS)}, n, NULL) AS botnet_n",
+            f"CAST(path rlike r'{P.GRPC_PATH_PATTERN}' AS long) AS grpc",
+            "IF(dim = 'path', n * log2(CAST(n AS double)), NULL) AS path_nlogn",
+            "IF(dim = 'status', n * log2(CAST(n AS double)), NULL) AS status_nlogn",
+            "IF(dim = 'agent', n, NULL) AS agent_n",
+            f"IF(dim = 'agent', CAST({language} AS long), NULL) AS language",
+            "IF(dim = 'path', named_struct('rank', -n, 'first_pos', first_pos, 'path', value), NULL)"
+            " AS top",
+            "IF(dim = 'agent', named_struct('first_pos', first_pos, 'agent', value), NULL) AS opener",
         )
     )
     per_salt = facts.groupBy(*keys, "session_no", "salt").agg(
-        F.sum("agent_n").alias("requests"),
-        F.min("start_us").alias("start_us"),
-        F.max("end_us").alias("end_us"),
-        F.min("min_gap").alias("min_gap_us"),
-        F.max("max_gap").alias("max_gap_us"),
-        F.sum("gap_sq_high").alias("gap_sq_high"),
-        F.sum("gap_sq_low").alias("gap_sq_low"),
-        F.max("clicks").alias("clicks"),
-        F.count("path").alias("paths"),
-        F.count("agent_n").alias("agents"),
-        F.sum("path_nlogn").alias("path_nlogn"),
-        F.sum("status_nlogn").alias("status_nlogn"),
-        F.sum("path_bits").alias("path_bits"),
-        F.sum("page_n").alias("pages"),
-        F.sum("page_night_n").alias("night_pages"),
-        F.sum("scanner_n").alias("scanner_hits"),
-        F.sum("protected_n").alias("protected_hits"),
-        F.sum("botnet_n").alias("botnet_hits"),
-        F.sum("grpc").alias("grpc_paths"),
-        F.sum("page_like_n").alias("page_like_hits"),
-        F.max("language").alias("language_agents"),
-        F.min("top").alias("top"),
-        F.min("opener").alias("opener"),
-        *[F.sum(c).alias(c) for c in SUMMED],
+        *_named(
+            "sum(agent_n) AS requests",
+            "min(start_us) AS start_us",
+            "max(end_us) AS end_us",
+            "min(min_gap) AS min_gap_us",
+            "max(max_gap) AS max_gap_us",
+            "count(path) AS paths",
+            "count(agent_n) AS agents",
+            "sum(page_n) AS pages",
+            "sum(page_night_n) AS night_pages",
+            "sum(scanner_n) AS scanner_hits",
+            "sum(protected_n) AS protected_hits",
+            "sum(botnet_n) AS botnet_hits",
+            "sum(grpc) AS grpc_paths",
+            "sum(page_like_n) AS page_like_hits",
+            "max(language) AS language_agents",
+            "max(clicks) AS clicks",
+            "min(top) AS top",
+            "min(opener) AS opener",
+            *[
+                f"sum({c}) AS {c}"
+                for c in ("gap_sq_high", "gap_sq_low", "path_nlogn", "status_nlogn", "path_bits", *SUMMED)
+            ],
+        )
     )
     added = [
         "requests",
@@ -271,9 +279,11 @@ def _reduce_values(values: DataFrame, keys) -> DataFrame:
         *SUMMED,
     ]
     return per_salt.groupBy(*keys, "session_no").agg(
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in added],
-        *[F.max(c).alias(c) for c in ("end_us", "max_gap_us", "clicks", "language_agents")],
-        *[F.min(c).alias(c) for c in ("start_us", "min_gap_us", "top", "opener")],
+        *_named(
+            *[f"coalesce(sum({c}), 0) AS {c}" for c in added],
+            *[f"max({c}) AS {c}" for c in ("end_us", "max_gap_us", "clicks", "language_agents")],
+            *[f"min({c}) AS {c}" for c in ("start_us", "min_gap_us", "top", "opener")],
+        )
     )
 
 
@@ -450,55 +460,55 @@ def history_inputs(rows: DataFrame, agent_from="last") -> DataFrame:
 # --- features ------------------------------------------------------------------------------
 
 
-def _entropy(n_log_n: Column, n: Column) -> Column:
-    return F.greatest(F.log2(n.cast("double")) - n_log_n / n, F.lit(0.0))
-
-
-def gap_cv() -> Column:
-    """Sample deviation over mean of the gaps; 0 for fewer than 2 gaps or a zero mean."""
-    gaps = F.col("requests") - 1
-    span = F.col("end_us") - F.col("start_us")
-    # gaps * sum(g^2) - (sum g)^2 in whole microseconds: no cancellation error.  The sum
-    # of squares arrives as two exact 64-bit sums, of the high and the low 32 bits.
-    gap_sq = F.col("gap_sq_high").cast("decimal(20,0)") * F.lit(1 << 32).cast(
-        "decimal(10,0)"
-    ) + F.col("gap_sq_low")
-    spread = (
-        (gaps.cast("decimal(18,0)") * gap_sq).cast("decimal(38,0)")
-        - (span.cast("decimal(19,0)") * span.cast("decimal(19,0)"))
-    ).cast("double")
-    deviation = F.sqrt(F.greatest(spread, F.lit(0.0)) / gaps / (gaps - 1))
-    return F.when((gaps >= 2) & (span > 0), deviation / (span / gaps)).otherwise(0.0)
+# gaps * sum(g^2) - (sum g)^2 in whole microseconds: no cancellation error.  The sum of
+# squares arrives as two exact 64-bit sums, of the high and the low 32 bits.
+_GAPS = "(requests - 1)"
+_SPAN = "(end_us - start_us)"
+_GAP_SQ = "(CAST(gap_sq_high AS decimal(20,0)) * 4294967296BD + gap_sq_low)"
+_SPREAD = (
+    f"CAST(CAST(CAST({_GAPS} AS decimal(18,0)) * {_GAP_SQ} AS decimal(38,0))"
+    f" - CAST({_SPAN} AS decimal(19,0)) * CAST({_SPAN} AS decimal(19,0)) AS double)"
+)
+
+
+def _entropy(n_log_n: str) -> str:
+    return f"greatest(log2(CAST(requests AS double)) - {n_log_n} / requests, 0D)"
+
+
+# The features as SQL texts over the session inputs.
+FEATURE_SQL = {
+    "time_since_last_request": f"IF(requests > 1, duration / {_GAPS}, 0D)",
+    "requests_per_minute_1m": "CAST(last_60s AS double)",
+    "requests_per_minute_5m": "CAST(last_300s AS double)",
+    # Sample deviation over mean of the gaps; 0 below two gaps or for a zero mean.
+    "inter_request_time_cv": (
+        f"IF(requests > 2 AND {_SPAN} > 0, sqrt(greatest({_SPREAD}, 0D) / {_GAPS}"
+        f" / nullif({_GAPS} - 1, 0)) / ({_SPAN} / {_GAPS}), 0D)"
+    ),
+    "time_since_session_start": "duration",
+    "endpoint_count": "CAST(paths AS double)",
+    "endpoint_sequence_entropy": _entropy("path_nlogn"),
+    "unique_endpoint_ratio": "paths / requests",
+    "method_mismatch_count": "CAST(post_static AS double)",
+    "header_consistency_score": "1D / agents",
+    "has_accept_language": "CAST(language_agents AS double)",
+    "ua_category": (
+        "CASE WHEN user_agent IN ('', '-') THEN 2D"
+        f" WHEN {_found('user_agent', P.BOT_AGENT_PATTERNS)} THEN 1D"
+        f" WHEN {_found('user_agent', P.BROWSER_AGENT_PATTERNS)} THEN 0D ELSE 2D END"
+    ),
+    "payload_entropy": "greatest(path_bits / requests, 0D)",
+    "status_code_entropy": _entropy("status_nlogn"),
+    "same_endpoint_hits": "CAST(top_hits AS double)",
+    "error_rate": "error / requests",
+    "image_ratio": "image / requests",
+    "night_ratio": "night / requests",
+    "max_sustained_click_rate": f"IF(html >= 2, clicks / {CLICK_WINDOW_S}D, 0D)",
+}
 
 
 def feature_columns() -> dict[str, Column]:
-    n = F.col("requests")
-    gaps = n - 1
-    share = lambda c: F.col(c) / n
-    number = lambda c: F.col(c).cast("double")
-    return {
-        "time_since_last_request": F.when(gaps > 0, F.col("duration") / gaps).otherwise(0.0),
-        "requests_per_minute_1m": number("last_60s"),
-        "requests_per_minute_5m": number("last_300s"),
-        "inter_request_time_cv": gap_cv(),
-        "time_since_session_start": F.col("duration"),
-        "endpoint_count": number("paths"),
-        "endpoint_sequence_entropy": _entropy(F.col("path_nlogn"), n),
-        "unique_endpoint_ratio": share("paths"),
-        "method_mismatch_count": number("post_static"),
-        "header_consistency_score": F.lit(1.0) / F.col("agents"),
-        "has_accept_language": number("language_agents"),
-        "ua_category": X.ua_category(F.col("user_agent")),
-        "payload_entropy": F.greatest(F.col("path_bits") / n, F.lit(0.0)),
-        "status_code_entropy": _entropy(F.col("status_nlogn"), n),
-        "same_endpoint_hits": number("top_hits"),
-        "error_rate": share("error"),
-        "image_ratio": share("image"),
-        "night_ratio": share("night"),
-        "max_sustained_click_rate": F.when(
-            F.col("html") >= 2, F.col("clicks") / F.lit(float(CLICK_WINDOW_S))
-        ).otherwise(0.0),
-    }
+    return {name: F.expr(text) for name, text in FEATURE_SQL.items()}
 
 
 def with_features(inputs: DataFrame) -> DataFrame:
