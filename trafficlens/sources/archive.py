@@ -1,9 +1,10 @@
 """Decision archives and operator corrections: JSON lines that may be damaged."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scoring import once
 from ..schema import ARCHIVE, CORRECTION, FEATURES
 
 _BAD = "_corrupt_record"
@@ -27,7 +28,7 @@ def append_archive(decisions: DataFrame, path: str, fmt="json") -> None:
 
 def _parsed(lines: DataFrame, schema: T.StructType) -> DataFrame:
     return lines.filter(F.trim("value") != "").withColumn(
-        "row", F.from_json("value", _with_bad(schema), {"columnNameOfCorruptRecord": _BAD})
+        "row", once(F.from_json("value", _with_bad(schema), {"columnNameOfCorruptRecord": _BAD}))
     )
 
 

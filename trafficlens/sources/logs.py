@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scoring import once
 from ..schema import REQUEST
 
 # The combined format, one pass: nine fields separated by a character no log line holds.
@@ -44,11 +45,6 @@ def read_log_lines(spark: SparkSession, paths) -> DataFrame:
     )
 
 
-def _clean(value: Column) -> Column:
-    # Unicode strip, as the lines may end in any blank.
-    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
-
-
 def _log_time(text: Column) -> Column:
     """'24/Mar/2023:17:07:41 +0530'; without a usable zone it is UTC; else NULL."""
     zoned = F.try_to_timestamp(text, F.lit("d/MMM/yyyy:H:m:s [XXX][XX]"))
@@ -71,13 +67,13 @@ def parse_nginx(lines: DataFrame) -> DataFrame:
     groups = _SEP.join(f"${i}" for i in range(1, 9))
     parts = (
         lines.withColumn("raw_line", F.trim(F.rtrim("value")))
-        .withColumn("fields", F.split(F.regexp_replace(line, _COMBINED, groups), _SEP))
+        .withColumn("fields", once(F.split(F.regexp_replace(line, _COMBINED, groups), _SEP)))
         .filter(F.size("fields") == 8)
     )
     field = lambda i: F.col("fields")[i]
     stamp = field(1)
     return (
-        parts.withColumn("ts", _log_time(stamp))
+        parts.withColumn("ts", once(_log_time(stamp)))
         .filter(F.col("ts").isNotNull())
         .select(
             field(0).alias("ip"),
@@ -155,12 +151,12 @@ def parse_json(lines: DataFrame, default_ts: Column | None = None) -> DataFrame:
     fallback = F.current_timestamp() if default_ts is None else default_ts
     docs = (
         lines.withColumn("raw_line", F.trim(F.rtrim("value")))
-        .withColumn("doc", F.try_parse_json("raw_line"))
+        .withColumn("doc", once(F.try_parse_json("raw_line")))
         .filter(F.schema_of_variant("doc").startswith("OBJECT"))
     )
     picked = docs.select(
         "*", *[_first_truthy(names).alias(f"v_{f}") for f, names in JSON_ALIASES.items()]
-    ).withColumn("stamp", _text_of(F.col("v_time")))
+    ).withColumn("stamp", once(_text_of(F.col("v_time"))))
     text = lambda f, default: F.coalesce(_text_of(F.col(f"v_{f}")), F.lit(default))
     stamp = F.col("stamp")
     is_log_style = stamp.contains("/")
@@ -171,7 +167,7 @@ def parse_json(lines: DataFrame, default_ts: Column | None = None) -> DataFrame:
         F.to_date(F.try_to_timestamp(F.regexp_extract(stamp, r"^[0-9-]+", 0), F.lit("yyyy-M-d")))
     )
     return (
-        picked.withColumn("parsed_ts", _json_time(stamp))
+        picked.withColumn("parsed_ts", once(_json_time(stamp)))
         .withColumn("ts", F.coalesce("parsed_ts", fallback))
         .select(
             text("ip", "").alias("ip"),
