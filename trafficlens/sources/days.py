@@ -1,5 +1,7 @@
 """Day-partitioned request tables and subsets of them."""
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,9 @@ def write_days(requests: DataFrame, path: str, mode="overwrite") -> None:
 def read_days(spark: SparkSession, path: str, days=None) -> DataFrame:
     """``days`` prunes directories."""
     table = spark.read.parquet(path)
-    return table if days is None else table.filter(F.col("local_date").isin(list(days)))
+    if days is None:
+        return table
+    return table.filter(F.col("local_date").isin([date.fromisoformat(str(d)) for d in days]))
 
 
 def lines_per_day(requests: DataFrame) -> DataFrame:
