@@ -112,7 +112,7 @@ def test_archive_and_days_round_trip(spark, small, tmp_path):
     days.write_days(requests, str(tmp_path / "d"))
     assert days.read_days(spark, str(tmp_path / "d")).count() == requests.count()
     plan = days.read_days(spark, str(tmp_path / "d"), ["2024-01-01"])._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [local_date" in plan
+    assert "PartitionFilters: [isnotnull(local_date" in plan
 
 
 def test_denylist_and_rules_hold_every_danger_ip_once(spark, small):
