@@ -1,8 +1,12 @@
 """The registered queries of this package: each applies one operator to its whole table."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import packed_sequences
+from .quality_rank import quality_scores
 from .shingle_join import similar_documents
+from .surrogates import replace_entities
 
 QUERIES = {}
 ORACLES = {}
@@ -22,6 +26,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query("op4_quality_rank")
+def op4_quality_rank(spark, sf_dir):
+    """Quality of every document, learned from preferences between labelled ones."""
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query("op7_packing")
+def op7_packing(spark, sf_dir):
+    """All documents in sequences of 2048 ids."""
+    docs = _table(spark, sf_dir, "documents")
+    return packed_sequences(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 @_query(
     "op8_shingle_join",
     oracle=r"""
@@ -58,3 +75,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op8_shingle_join(spark, sf_dir):
     """Components of near copies among all documents: five-word shingles, Jaccard 0.75."""
     return similar_documents(_table(spark, sf_dir, "documents"))
+
+
+#: The key of surrogates in the registered queries; in production it is a secret.
+SURROGATE_KEY = "registered-queries"
+
+
+@_query("op9_surrogates")
+def op9_surrogates(spark, sf_dir):
+    """All documents with personal data and secrets replaced, and how many entities were."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return replace_entities(docs, SURROGATE_KEY, count="n_replaced")

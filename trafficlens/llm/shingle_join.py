@@ -262,15 +262,18 @@ def _enough(pairs: DataFrame) -> DataFrame:
 
 
 def _blocks(lists: DataFrame) -> DataFrame:
-    """(cls, block): classes that share lists come into one block, ``BLOCK`` of them or fewer.
+    """(cls, block): classes that share much come into one block, ``BLOCK`` of them or fewer.
 
-    A class takes as its label the class of smallest hash that it shares a list with; equal
-    labels are cut by hash into blocks. The choice of blocks never decides whether a pair meets.
+    Each list names its class of smallest hash. A class takes as its label the one that its lists
+    name most often, if that is as often as half its L; else it is alone. Equal labels are cut by
+    hash into blocks. The choice of blocks never decides whether a pair meets.
     """
     near = F.struct(F.xxhash64("cls").alias("hash"), "cls")
-    per = lists.groupBy("shingle").agg(F.min(near).alias("near"))
-    of = lists.join(per, "shingle").groupBy("cls").agg(F.min("near").alias("near"))
-    of = of.select("cls", F.col("near.cls").alias("label"))
+    per = lists.groupBy("shingle").agg(F.min(near)["cls"].alias("near"))
+    of = lists.join(per, "shingle").groupBy("cls", "near").agg(F.count("*").alias("times"), F.max("need").alias("need"))
+    of = of.where("2 * times >= need and times > 1 or cls = near")
+    of = of.groupBy("cls").agg(F.max(F.struct("times", "near"))["near"].alias("label"))
+    of = lists.select("cls").distinct().join(of, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     sizes = of.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     part = F.pmod(F.xxhash64("cls", F.lit(7)), F.col("parts"))
     return of.join(sizes, "label").select("cls", F.xxhash64("label", part).alias("block"))
