@@ -4,6 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .content_archive import parsed_records, read_archive, write_archive
+from .interpolated_lm import document_scores
 from .kd_search import top_inner_products
 from .packing import packed_sequences
 from .quality_rank import quality_scores
@@ -78,6 +79,12 @@ def op2_url_filter(spark, sf_dir):
     return judged_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+@_query("op3_interpolated_lm")
+def op3_interpolated_lm(spark, sf_dir):
+    """log10 probabilities of all documents under a bigram model of six sevenths of them."""
+    return document_scores(_table(spark, sf_dir, "documents"))
+
+
 @_query("op4_quality_rank")
 def op4_quality_rank(spark, sf_dir):
     """Quality of every document, learned from preferences between labelled ones."""
