@@ -3,6 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .chunk_bpe import encoded_documents
 from .content_archive import parsed_records, read_archive, write_archive
 from .interpolated_lm import document_scores
 from .kd_search import top_inner_products
@@ -187,3 +188,9 @@ def op9_surrogates(spark, sf_dir):
     """All documents with personal data and secrets replaced, and how many entities were."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return replace_entities(docs, SURROGATE_KEY, count="n_replaced")
+
+
+@_query("op10_chunk_bpe")
+def op10_chunk_bpe(spark, sf_dir):
+    """Digests of the ids of all documents, and of the texts decoded from them."""
+    return encoded_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
