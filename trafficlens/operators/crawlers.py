@@ -31,8 +31,11 @@ def verified_engines(addresses: DataFrame, ranges: DataFrame, dns: DataFrame) ->
     for engine, _, suffixes in P.CRAWLER_ENGINES:
         fits = reduce(or_, [(host == s) | host.endswith("." + s) for s in suffixes])
         named = F.when(fits, engine) if named is None else named.when(fits, engine)
-    by_name = dns.filter(F.array_contains("addresses", F.col("ip"))).select(
-        "ip", named.alias("name_engine")
+    # several names of one address: the greatest one decides
+    by_name = (
+        dns.filter(F.array_contains("addresses", F.col("ip")))
+        .groupBy("ip")
+        .agg(F.max_by(named, host).alias("name_engine"))
     )
     return (
         addresses.join(by_range, "ip", "left")

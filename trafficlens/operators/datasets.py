@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..schema import FEATURES
 from .features import session_features
 from .groundtruth import label_sessions as forensic_labels
+from .ranks import running_totals
 from .rules import with_verdict
 
 COLUMNS = [*FEATURES, "label", "group_id", "provenance", "day"]
@@ -115,13 +116,19 @@ def top_up_size(bots: int, humans: int, fraction=P.MAX_TOPUP_FRACTION) -> int:
 
 
 def top_up(dataset: DataFrame, supplement: DataFrame) -> DataFrame:
-    """Union with the first allowed supplementary rows (by group_id)."""
+    """Union with the first allowed supplementary rows, by group_id, then by a hash of the row."""
     row = dataset.agg(
         F.count_if(F.col("label") > 0.5).alias("bots"),
         F.count_if(F.col("label") <= 0.5).alias("humans"),
     ).first()
     allowed = top_up_size(row.bots, row.humans)
-    return combine(dataset, supplement.orderBy("group_id").limit(allowed))
+    rows = supplement.select(*COLUMNS)
+    place = F.concat_ws("\u0000", F.coalesce("group_id", F.lit("")), F.hex(F.xxhash64(*COLUMNS)))
+    same = rows.groupBy(*COLUMNS).agg(F.count("*").alias("same")).withColumn("place", place)
+    same = running_totals(same, "place", {"same": "upto"})
+    taken = F.least(F.col("same"), allowed - (F.col("upto") - F.col("same")))
+    first = same.filter(taken > 0).select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), taken)))
+    return combine(dataset, first)
 
 
 # --- splits ---------------------------------------------------------------------------------
@@ -143,8 +150,6 @@ def group_holdout(dataset: DataFrame, row_no: Column, order: Column, fraction=0.
     Counting groups below a group's hash would need a sort per class; the ranks come from
     running totals over the hash instead, so no class is one task.
     """
-    from .ranks import running_totals
-
     groups = (
         dataset.withColumn("_row", row_no)
         .groupBy("group_id")

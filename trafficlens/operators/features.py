@@ -27,8 +27,6 @@ from .sessions import session_map, slice_length, slice_of, with_clock
 
 CLICK_WINDOW_S = 12
 ROWS_PER_SALT = 200_000
-# The square of a longer gap in microseconds would not fit 64 bits.
-MAX_TIMEOUT_S = 3000
 
 # Per-request flags that are simply counted.
 COUNTED = [
@@ -114,14 +112,15 @@ def _with_bursts_and_gaps(flagged: DataFrame, smap: DataFrame, keys, length: int
         at.alias("slice"), when_us.alias("at_us"), F.lit(kind).alias("kind")
     )
     request = entry(home, F.col("ts_us"), 0)
-    echo = entry(home - 1, F.col("ts_us"), 1)
     marker = entry(home, F.col("ts_us") + window_us, 2)
-    early = F.col("ts_us") - home * F.lit(length * 1_000_000) <= window_us
-    entries = (
-        F.when(F.expr(f"NOT ({_bit('html')})"), F.array(request))
-        .when(early, F.array(request, echo, marker))
-        .otherwise(F.array(request, marker))
-    )
+    since = F.col("ts_us") - home * F.lit(length * 1_000_000)
+    entries = F.when(F.expr(f"NOT ({_bit('html')})"), F.array(request))
+    # a short slice is echoed into as many slices before it as the window covers
+    for back in range(-(-CLICK_WINDOW_S // length), 0, -1):
+        echoes = [entry(home - k, F.col("ts_us"), 1) for k in range(1, back + 1)]
+        near = since + (back - 1) * length * 1_000_000 <= window_us
+        entries = entries.when(near, F.array(request, *echoes, marker))
+    entries = entries.otherwise(F.array(request, marker))
     order = Window.partitionBy("slice", *keys).orderBy("at_us", "kind", *SOURCE_ORDER)
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -147,6 +146,9 @@ def _with_bursts_and_gaps(flagged: DataFrame, smap: DataFrame, keys, length: int
     )
 
 
+_HIGH, _LOW = "shiftright(gap, 16)", "(gap & 65535L)"
+
+
 def _session_counts(rows: DataFrame, keys) -> DataFrame:
     """Counts per (session, salt, dimension, value), still one row per slice."""
     pairs = [f"named_struct('dim', '{d}', 'value', {d})" for d in ("agent", "path", "status")]
@@ -170,8 +172,9 @@ def _session_counts(rows: DataFrame, keys) -> DataFrame:
             "max(clicks) AS clicks",
             "max(gap) AS max_gap",
             "min(gap) AS min_gap",
-            "sum(shiftright(gap * gap, 32)) AS gap_sq_high",
-            "sum(gap * gap & 4294967295L) AS gap_sq_low",
+            # the square in two parts, from 16-bit halves, so that no gap overflows
+            f"sum({_HIGH} * {_HIGH} + shiftright({_HIGH} * {_LOW}, 15)) AS gap_sq_high",
+            f"sum(shiftleft({_HIGH} * {_LOW} & 32767L, 17) + {_LOW} * {_LOW}) AS gap_sq_low",
             "sum(IF(on_agent AND session_end_us - at_us <= 60000000, 1L, 0L)) AS last_60s",
             "sum(IF(on_agent AND session_end_us - at_us <= 300000000, 1L, 0L)) AS last_300s",
             *[f"sum(IF(on_agent AND {_bit(f)}, 1L, 0L)) AS {f}" for f in COUNTED],
@@ -289,8 +292,8 @@ def _reduce_values(values: DataFrame, keys) -> DataFrame:
 
 def session_inputs(requests: DataFrame, keys=("ip",), timeout_s=P.SESSION_TIMEOUT_S) -> DataFrame:
     """One row per session with everything features and rules read."""
-    if not CLICK_WINDOW_S < timeout_s <= MAX_TIMEOUT_S:
-        raise ValueError(f"timeout must lie between {CLICK_WINDOW_S} and {MAX_TIMEOUT_S} s")
+    if timeout_s <= 0:
+        raise ValueError("timeout must be positive")
     keys = list(keys)
     length = slice_length(timeout_s)
     smap = session_map(with_clock(requests), keys, timeout_s)

@@ -196,7 +196,6 @@ def model_spread(archive: DataFrame, by=()) -> DataFrame:
     n = F.count("model_score")
     base = archive.groupBy(*by).agg(
         n.alias("n"),
-        F.percentile("model_score", 0.5).alias("median"),
         F.min("model_score").alias("lo"),
         F.max("model_score").alias("hi"),
     )
@@ -227,12 +226,18 @@ def model_spread(archive: DataFrame, by=()) -> DataFrame:
             at(j).alias(f"above{i}"),
             F.max(delta).alias(f"delta{i}"),
         ]
-    quartiles = keyed.groupBy(*by).agg(*parts)
+    last = F.col("n") - 1
+    middle = (at(F.floor(last / 2)) + at(F.ceil(last / 2))) / 2
+    quartiles = keyed.groupBy(*by).agg(*parts, middle.alias("median"))
     value = lambda i: (
         F.col(f"below{i}") * (4 - F.col(f"delta{i}")) + F.col(f"above{i}") * F.col(f"delta{i}")
     ) / 4
-    iqr = quartiles.select(*by, (value(3) - value(1)).alias("iqr"))
-    joined = base.join(iqr, list(by)) if by else base.withColumn("iqr", iqr.scalar())
+    found = quartiles.select(*by, (value(3) - value(1)).alias("iqr"), "median")
+    if by:
+        joined = base.join(found, list(by))
+    else:
+        both = found.select(F.struct("iqr", "median")).scalar()
+        joined = base.withColumn("both", both).select("*", "both.*").drop("both")
     spread = F.when(F.col("n") > 1, F.col("iqr")).otherwise(0.0)
     return joined.withColumn("iqr", spread).withColumn("near_constant", F.col("iqr") < 0.05)
 

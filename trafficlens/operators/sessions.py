@@ -25,8 +25,13 @@ def micros(ts: Column) -> Column:
 
 
 def with_clock(requests: DataFrame) -> DataFrame:
-    """Add ``ts_us`` (epoch microseconds) and any missing source-order column."""
-    out = requests
+    """Add ``ts_us`` (epoch microseconds) and any missing source-order column.
+
+    A request without an address or agent counts as one of the empty address or agent: NULL keys
+    would be lost in the joins on the client.
+    """
+    names = [c for c in ("ip", "user_agent") if c in requests.columns]
+    out = requests.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in names})
     if "ts_us" not in out.columns:
         out = out.withColumn("ts_us", micros(F.col("ts")))
     for name, value in (("src_file", ""), ("src_block", 0), ("line_no", 0)):
@@ -152,12 +157,12 @@ def rate_limited(
     into the next slice to serve as its history.
     """
     keys = list(keys)
-    if window_s > SLICE_S:
-        raise ValueError(f"window may not exceed {SLICE_S} s")
+    # a window then reaches back into one slice at most
+    length = max(SLICE_S, window_s)
     window_us = window_s * 1_000_000
     rows = with_clock(requests).select(*keys, "ts_us", *SOURCE_ORDER)
-    home = slice_of(F.col("ts_us"), SLICE_S)
-    late = F.col("ts_us") > (home + 1) * F.lit(SLICE_S * 1_000_000) - window_us
+    home = slice_of(F.col("ts_us"), length)
+    late = F.col("ts_us") > (home + 1) * F.lit(length * 1_000_000) - window_us
     copies = F.when(late, F.array(home, home + 1)).otherwise(F.array(home))
     spread = rows.withColumn("slice", F.explode(copies)).withColumn(
         "copy", F.col("slice") != home
@@ -171,7 +176,12 @@ def rate_limited(
         .groupBy(*keys, "slice")
         .agg(F.min("rank_in_slice").alias("rank_in_slice"))
     )
-    totals = session_map(rows, keys, P.SESSION_TIMEOUT_S).select(*keys, "slice", "rows_before")
+    earlier = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = (
+        rows.groupBy(*keys, home.alias("slice"))
+        .agg(F.count("*").alias("n"))
+        .select(*keys, "slice", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("rows_before"))
+    )
     return (
         over.join(totals, [*keys, "slice"])
         .groupBy(*keys)

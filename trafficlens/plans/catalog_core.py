@@ -71,6 +71,26 @@ def _(spark, sf):
     return rounded(rows.select("ip", "session_no", "requests", *FEATURES), *FEATURES)
 
 
+def _features_at(timeout_s):
+    """session_features with another timeout: longer and shorter than any window inside."""
+
+    def oracle():
+        return B.with_ctes(
+            f"""SELECT ip, session_no::BIGINT AS session_no, requests, {ROUNDED_FEATURES_SQL}
+            FROM feats""",
+            B.REQ, B.sessions_cte(timeout_s=timeout_s), B.FLAG, B.CHAR_ENTROPY, B.INPUTS, B.FEATS,
+        )
+
+    @core.query(f"session_features_{timeout_s}s", oracle(), "D1-D19 C4 C5 C6")
+    def _(spark, sf):
+        rows = session_features(requests_of(spark, sf), timeout_s=timeout_s)
+        return rounded(rows.select("ip", "session_no", "requests", *FEATURES), *FEATURES)
+
+
+_features_at(7200)
+_features_at(5)
+
+
 @core.query(
     "session_rules",
     B.over_labelled(
@@ -159,6 +179,28 @@ def _(spark, sf):
     return O.rate_limited(requests_of(spark, sf), limit=5, window_s=120)
 
 
+@core.query(
+    "rate_limits_first_flag",
+    B.over_requests(
+        " UNION ALL ".join(
+            f"""SELECT {n} AS most, {s} AS seconds, ip, min(pos)::BIGINT AS first_flag FROM (
+            SELECT ip, row_number() OVER w AS pos, ts_us - lag(ts_us, {n}) OVER w AS back FROM req
+            WINDOW w AS (PARTITION BY ip ORDER BY ts_us, line_no)) WHERE back < {s}000000 GROUP BY ip"""
+            for n, s in ((1, 60), (3, 600), (4, 3600))
+        )
+    ),
+    "C7",
+)
+def _(spark, sf):
+    """Three limits, one with a window longer than a slice of time."""
+    out = None
+    for n, s in ((1, 60), (3, 600), (4, 3600)):
+        found = O.rate_limited(requests_of(spark, sf), limit=n, window_s=s)
+        found = found.select(F.lit(n).alias("most"), F.lit(s).alias("seconds"), "ip", "first_flag")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @core.query(
     "url_facts",
     B.over_requests(

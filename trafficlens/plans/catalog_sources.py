@@ -1,11 +1,14 @@
 """Registered queries: parsers, archives, feeds, day tables, exports."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import scoring as S
+from ..session import shared_folder
 from ..sources import archive, days, derived, exports, feeds, logs
-from ..sources.adapters import requests_of
+from ..sources.adapters import combined_line, requests_of
 from ..sources.derived import DECISIONS_SQL
 from . import oracle_base as B
 from .registry import Registry, rounded
@@ -50,6 +53,54 @@ def _(spark, sf):
     return parsed_columns(logs.parse_nginx(as_lines(requests_of(spark, sf), value)))
 
 
+@sources.query(
+    "scanned_log_files",
+    B.over_requests(
+        """SELECT line_no % 4 AS kind, count(*)::BIGINT AS requests, count(DISTINCT ip)::BIGINT AS clients,
+        sum(status)::BIGINT AS status_sum, sum(size)::BIGINT AS size_sum,
+        sum(length(user_agent) + CASE WHEN line_no % 4 = 3 THEN 2 ELSE 0 END)::BIGINT AS agent_chars,
+        min(ts_us // 1000000 * 1000000) AS first_us, max(ts_us // 1000000 * 1000000) AS last_us
+        FROM req GROUP BY ALL"""
+    ),
+    "A1 A2 A3 A4 A5",
+)
+def _(spark, sf):
+    """All requests written to log files of four kinds and read back without naming a format.
+
+    Plain lines; gzipped ones with white space around; JSON; agents that hold the byte 1, among
+    forged lines that hold nothing but fields parted by it.
+    """
+    rows = requests_of(spark, sf)
+    folder = f"{shared_folder(spark)}/logs-{uuid.uuid4().hex}"
+    as_json = F.to_json(
+        F.struct(
+            F.col("ip").alias("remote_addr"), F.col("method").alias("request_method"),
+            F.col("url").alias("request_uri"), "status", F.col("size").alias("body_bytes_sent"),
+            F.col("referer").alias("http_referer"), F.col("user_agent").alias("http_user_agent"),
+            F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss +0000").alias("time_local"),
+        )
+    )
+    odd = rows.withColumn("user_agent", F.concat("user_agent", F.lit("\x01x")))
+    forged = F.concat_ws("\x01", "ip", F.lit("01/Jan/2024:00:00:00 +0000"), F.lit("GET"), "url", F.lit("200"), F.lit("1"), F.lit("-"), F.lit("-"))
+    lines = [
+        rows.select("line_no", combined_line().alias("value")),
+        rows.select("line_no", F.concat(F.lit("\t "), combined_line(), F.lit("\u00a0")).alias("value")),
+        rows.select("line_no", as_json.alias("value")),
+        odd.select("line_no", F.explode(F.array(combined_line(), forged)).alias("value")),
+    ]
+    paths = [f"{folder}/kind{kind}" for kind in range(4)]
+    for kind, (part, path) in enumerate(zip(lines, paths, strict=True)):
+        part = part.where(F.col("line_no") % 4 == kind).select("value")
+        part.write.text(path, compression="gzip" if kind == 1 else "none")
+    read = logs.read_access_log(spark, paths)
+    return read.groupBy(F.regexp_extract("src_file", "/kind([0-9])/", 1).cast("long").alias("kind")).agg(
+        F.count("*").alias("requests"), F.countDistinct("ip").alias("clients"),
+        F.sum("status").alias("status_sum"), F.sum("size").alias("size_sum"),
+        F.sum(F.length("user_agent")).alias("agent_chars"),
+        F.min(F.unix_micros("ts")).alias("first_us"), F.max(F.unix_micros("ts")).alias("last_us"),
+    )
+
+
 @sources.query(
     "parsed_json_lines",
     B.over_requests(

@@ -75,7 +75,7 @@ def sessions_cte(key="ip", timeout_s=1800, source="req", out="ses"):
   SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY {key} ORDER BY ts_us, line_no) AS raw_gap
   FROM {source}),
 {out}_no AS (
-  SELECT *, sum(CASE WHEN raw_gap IS NULL OR raw_gap > {timeout_s} * 1000000 THEN 1 ELSE 0 END)
+  SELECT *, sum(CASE WHEN raw_gap IS NULL OR raw_gap > {timeout_s}::BIGINT * 1000000 THEN 1 ELSE 0 END)
     OVER (PARTITION BY {key} ORDER BY ts_us, line_no ROWS UNBOUNDED PRECEDING) AS session_no,
     row_number() OVER (PARTITION BY {key} ORDER BY ts_us, line_no) AS pos
   FROM {out}_gap),

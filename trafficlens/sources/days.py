@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
-from .logs import _COMBINED
+from .logs import _COMBINED, stripped
 
 
 def write_days(requests: DataFrame, path: str, mode="overwrite") -> None:
@@ -31,7 +31,7 @@ def lines_per_day(requests: DataFrame) -> DataFrame:
 def parse_rate(lines: DataFrame, sampled: Column, minimum=0.95) -> DataFrame:
     """Share of the sampled lines that are dated and match the combined format."""
     dated = F.col("value").rlike(r"\[([0-9]{2})/(\w{3})/([0-9]{4}):")
-    good = dated & F.trim("value").rlike(_COMBINED)
+    good = dated & stripped(F.col("value")).rlike(_COMBINED)
     n = F.count_if(sampled)
     return lines.agg(
         F.count("*").alias("total"),

@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from ..functions.scoring import once
 from ..schema import REQUEST
 
-# The combined format, one pass: nine fields separated by a character no log line holds.
-# Unicode classes, since \s and \S must treat non-ASCII blanks as blanks.
+# The combined format. Unicode classes, since \s and \S must treat non-ASCII blanks as blanks.
 _COMBINED = (
     r"(?Us)^(\S+)\s+\S+\s+\S+\s+\[([^\]]+)\]\s+\"(\S+)\s+(\S+)\s+\S+\"\s+"
     r"([0-9]{3})\s+(\S+)\s+\"([^\"]*)\"\s+\"([^\"]*)\".*$"
 )
 _SEP = "\x01"
 NGINX_PATTERN = _COMBINED
+# All white space that a line may begin or end with.
+_BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 # The accepted names of each field, first truthy one wins.
 JSON_ALIASES = {
@@ -61,13 +65,28 @@ def _log_date(text: Column) -> Column:
     return F.to_date(F.try_to_timestamp(day, F.lit("d/MMM/yyyy")))
 
 
+def stripped(line: Column) -> Column:
+    """Without the white space at either end."""
+    return F.btrim(line, F.lit(_BLANKS))
+
+
+def _fields(line: Column) -> Column:
+    """The eight fields of a line in the combined format, NULL for other lines.
+
+    One pass puts a separator between the fields. A line that itself holds the separator, which a
+    client may send, gets its fields one by one instead.
+    """
+    groups = _SEP.join(f"${i}" for i in range(1, 9))
+    cut = F.split(F.regexp_replace(line, _COMBINED, groups), _SEP)
+    each = F.array(*[F.regexp_extract(line, _COMBINED, i) for i in range(1, 9)])
+    return F.when(~line.contains(_SEP), cut).when(line.rlike(_COMBINED), each)
+
+
 def parse_nginx(lines: DataFrame) -> DataFrame:
     """REQUEST rows of the lines that match; others, and undated ones, are dropped."""
-    line = F.col("raw_line")
-    groups = _SEP.join(f"${i}" for i in range(1, 9))
     parts = (
-        lines.withColumn("raw_line", F.trim(F.rtrim("value")))
-        .withColumn("fields", once(F.split(F.regexp_replace(line, _COMBINED, groups), _SEP)))
+        lines.withColumn("raw_line", stripped(F.col("value")))
+        .withColumn("fields", once(_fields(F.col("raw_line"))))
         .filter(F.size("fields") == 8)
     )
     field = lambda i: F.col("fields")[i]
@@ -150,7 +169,7 @@ def parse_json(lines: DataFrame, default_ts: Column | None = None) -> DataFrame:
     """
     fallback = F.current_timestamp() if default_ts is None else default_ts
     docs = (
-        lines.withColumn("raw_line", F.trim(F.rtrim("value")))
+        lines.withColumn("raw_line", stripped(F.col("value")))
         .withColumn("doc", once(F.try_parse_json("raw_line")))
         .filter(F.schema_of_variant("doc").startswith("OBJECT"))
     )
@@ -198,7 +217,7 @@ def detect_formats(lines: DataFrame) -> DataFrame:
     head = (
         lines.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= 10)
-        .withColumn("line", F.trim(F.rtrim("value")))
+        .withColumn("line", stripped(F.col("value")))
     )
     kind = F.when(
         F.col("line").startswith("{") & F.try_parse_json("line").isNotNull(), "json"
