@@ -177,3 +177,47 @@ def test_registry_is_complete():
 
     assert len(QUERIES) >= 100 and set(ORACLES) <= set(QUERIES)
     assert all(COVERS[name] for name in QUERIES)
+
+
+def test_log_lines_keep_bytes_that_clients_choose(spark):
+    from trafficlens.sources import logs
+
+    good = '1.2.3.4 - - [24/Mar/2023:17:07:41 +0000] "GET /a HTTP/1.1" 200 7 "-" "agent{}"'
+    values = [
+        good.format(""),
+        "\t" + good.format("b") + " ",
+        good.format("\x01c\x01"),
+        good.format("d").replace("/a", "/\x01a"),
+        "\x01".join(["1.2.3.4", "24/Mar/2023:17:07:41 +0000", "GET", "/forged", "200", "1", "-", "x"]),
+        "\x01" * 7,
+        "noise",
+    ]
+    lines = spark.createDataFrame(
+        [(v, "f", 0, i) for i, v in enumerate(values)], "value string, src_file string, src_block long, line_no long"
+    )
+    rows = {r.line_no: r for r in logs.parse_nginx(lines).collect()}
+    assert sorted(rows) == [0, 1, 2, 3]
+    assert rows[1].user_agent == "agentb" and rows[2].user_agent == "agent\x01c\x01" and rows[3].url == "/\x01a"
+    assert logs.detect_formats(lines.filter("line_no = 1")).first().fmt == "nginx"
+
+
+def test_requests_without_address_are_kept(spark, log):
+    table = log.add(0).add(10).add(20, ip=None).add(30, ip=None, ua=None).table(spark)
+    from trafficlens.operators.features import session_features
+    from trafficlens.operators.sessions import sessionize
+
+    assert sessionize(table).count() == 4
+    assert sessionize(table, ("ip", "user_agent")).count() == 4
+    assert {r.ip: r.requests for r in session_features(table).collect()} == {"192.168.1.1": 2, "": 2}
+
+
+def test_detectors_share_their_passes(spark, small):
+    import re
+
+    from trafficlens.plans.catalog import QUERIES
+
+    limits = {"detector_verdicts": (11, 6), "ladder_cells": (16, 8)}
+    for name, (exchanges, scans) in limits.items():
+        plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"Exchange hashpartitioning", plan)) <= exchanges
+        assert len(re.findall(r"FileScan", plan)) <= scans

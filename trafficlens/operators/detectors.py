@@ -5,6 +5,7 @@ A detector is a function of the request table and the decision table.  Positions
 """
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,39 +16,48 @@ from ..functions import text as X
 from .metrics import clearly_above, detection_delay, with_rate
 from .sessions import rate_limited, sessionize
 
-Detector = Callable[[DataFrame, DataFrame], DataFrame]
-DETECTORS: dict[str, Detector] = {}
-
-
-def detector(name: str):
-    def register(function: Detector) -> Detector:
-        DETECTORS[name] = function
-        return function
-
-    return register
-
-
-def _verdict(rows: DataFrame, name: str, first: Column, score: Column | None = None) -> DataFrame:
-    table = rows.groupBy("ip").agg(
-        first.alias("first_flag"),
-        (F.lit(None).cast("double") if score is None else score).alias("score"),
-    )
-    return table.select(
-        "ip",
-        F.lit(name).alias("detector"),
-        F.col("first_flag").isNotNull().alias("flagged"),
-        F.col("first_flag").cast("long").alias("first_flag"),
-        F.col("score").cast("double").alias("score"),
-    )
-
-
-def first_where(rows: DataFrame, hit: Column, name: str) -> DataFrame:
-    return _verdict(rows, name, F.min(F.when(hit, F.col("pos"))))
-
-
-def first_above(rows: DataFrame, value: Column, threshold: float, name: str) -> DataFrame:
-    """First decision strictly above the threshold, and the best value."""
-    return _verdict(rows, name, F.min(F.when(value > threshold, F.col("pos"))), F.max(value))
+#: name -> (what flags a row, score or None), over requests and over decisions. Columns are made
+#: when they are used: at import there is no session.
+REQUEST_HITS: dict[str, Callable[[], tuple[Column, Column | None]]] = {
+    "ua_regex": lambda: (X.is_baseline_bot_agent(F.col("user_agent")), None),
+    "path_blocklist": lambda: (X.is_blocked_url(F.col("url")), None),
+}
+DECISION_HITS: dict[str, Callable[[], tuple[Column, Column | None]]] = {
+    "rules": lambda: (F.col("heuristic_label") == "bot", None),
+    "blend": lambda: (F.col("score") > P.BLOCK_THRESHOLD, F.col("score")),
+    "model": lambda: (F.col("model_score") > 0.5, F.col("model_score")),
+}
+DETECTORS = (*REQUEST_HITS, "rate_limit", *DECISION_HITS)
+
+
+def first_hits(rows: DataFrame, hits: dict[str, tuple[Column, Column | None]], also=None) -> DataFrame:
+    """VERDICT rows of several detectors over one pass of ``rows`` (ip, pos and more).
+
+    A detector flags a client at the first position where its condition holds; its score is the
+    best one. ``also`` is (name, table of ip and first_flag) to be joined to the same clients.
+    """
+    found = []
+    for name, (hit, score) in hits.items():
+        found.append(F.min(F.when(hit, F.col("pos"))).cast("long").alias(f"first_{name}"))
+        best = F.lit(None) if score is None else F.max(score)
+        found.append(best.cast("double").alias(f"score_{name}"))
+    table = rows.groupBy("ip").agg(*found)
+    names = list(hits)
+    if also is not None:
+        name, flags = also
+        flags = flags.select("ip", F.col("first_flag").cast("long").alias(f"first_{name}"))
+        table = table.join(flags, "ip", "left").withColumn(f"score_{name}", F.lit(None).cast("double"))
+        names.append(name)
+    cells = [
+        F.struct(
+            F.lit(name).alias("detector"),
+            F.col(f"first_{name}").isNotNull().alias("flagged"),
+            F.col(f"first_{name}").alias("first_flag"),
+            F.col(f"score_{name}").alias("score"),
+        )
+        for name in names
+    ]
+    return table.select("ip", F.explode(F.array(*cells)).alias("v")).select("ip", "v.*")
 
 
 def ordered_decisions(decisions: DataFrame) -> DataFrame:
@@ -55,52 +65,6 @@ def ordered_decisions(decisions: DataFrame) -> DataFrame:
     return sessionize(decisions)
 
 
-@detector("ua_regex")
-def by_agent(requests: DataFrame, decisions: DataFrame) -> DataFrame:
-    rows = sessionize(requests)
-    return first_where(rows, X.is_baseline_bot_agent(F.col("user_agent")), "ua_regex")
-
-
-@detector("rate_limit")
-def by_rate(requests: DataFrame, decisions: DataFrame, limit=P.RATE_LIMIT_REQUESTS,
-            window_s=P.RATE_LIMIT_WINDOW_S) -> DataFrame:
-    over = rate_limited(requests, limit, window_s)
-    return (
-        requests.select("ip")
-        .distinct()
-        .join(over, "ip", "left")
-        .select(
-            "ip",
-            F.lit("rate_limit").alias("detector"),
-            F.col("first_flag").isNotNull().alias("flagged"),
-            "first_flag",
-            F.lit(None).cast("double").alias("score"),
-        )
-    )
-
-
-@detector("path_blocklist")
-def by_path(requests: DataFrame, decisions: DataFrame) -> DataFrame:
-    return first_where(sessionize(requests), X.is_blocked_url(F.col("url")), "path_blocklist")
-
-
-@detector("rules")
-def by_rules(requests: DataFrame, decisions: DataFrame) -> DataFrame:
-    return first_where(
-        ordered_decisions(decisions), F.col("heuristic_label") == "bot", "rules"
-    )
-
-
-@detector("blend")
-def by_blend(requests: DataFrame, decisions: DataFrame, threshold=P.BLOCK_THRESHOLD) -> DataFrame:
-    return first_above(ordered_decisions(decisions), F.col("score"), threshold, "blend")
-
-
-@detector("model")
-def by_model(requests: DataFrame, decisions: DataFrame, threshold=0.5) -> DataFrame:
-    return first_above(ordered_decisions(decisions), F.col("model_score"), threshold, "model")
-
-
 def from_ip_set(requests: DataFrame, flagged_ips: DataFrame, name: str) -> DataFrame:
     """Verdicts computed elsewhere: an address is flagged if it is in the set."""
     marked = flagged_ips.select("ip").distinct().withColumn("hit", F.lit(True))
@@ -144,15 +108,30 @@ def rescored(decisions: DataFrame, predict: Callable[[str], Column], threshold:
             S.blend(F.col("heuristic_label"), confidence, model)
         )
     rows = ordered_decisions(decisions.filter(F.col("features").isNotNull()))
-    return first_above(rows, value, threshold, name)
+    return first_hits(rows.withColumn("_value", value), {name: (F.col("_value") > threshold, F.col("_value"))})
 
 
 def run_detectors(requests: DataFrame, decisions: DataFrame, names=None) -> DataFrame:
-    out = None
-    for name in names or DETECTORS:
-        table = DETECTORS[name](requests, decisions)
-        out = table if out is None else out.unionByName(table)
-    return out
+    """All verdicts: requests and decisions are put in order once each."""
+    names = list(DETECTORS if names is None else names)
+    on_requests = {n: REQUEST_HITS[n]() for n in names if n in REQUEST_HITS}
+    on_decisions = {n: DECISION_HITS[n]() for n in names if n in DECISION_HITS}
+    parts = []
+    if "rate_limit" in names:
+        over = ("rate_limit", rate_limited(requests))
+        parts.append(first_hits(sessionize(requests), on_requests, over))
+    elif on_requests:
+        parts.append(first_hits(sessionize(requests), on_requests))
+    if on_decisions:
+        parts.append(first_hits(ordered_decisions(decisions), on_decisions))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _names(verdicts: DataFrame, names) -> Column:
+    """The detectors: those given, else those that occur, which costs a pass over the verdicts."""
+    if names is not None:
+        return F.array(*[F.lit(n) for n in names])
+    return verdicts.agg(F.collect_set("detector")).scalar()
 
 
 def for_actors(table: DataFrame, truth: DataFrame) -> DataFrame:
@@ -160,7 +139,7 @@ def for_actors(table: DataFrame, truth: DataFrame) -> DataFrame:
     return table.join(truth.select("ip").distinct(), "ip", "left_semi")
 
 
-def rates_by_class(truth: DataFrame, verdicts: DataFrame, by=()) -> DataFrame:
+def rates_by_class(truth: DataFrame, verdicts: DataFrame, by=(), detectors=None) -> DataFrame:
     """Per detector and class: flagged k of n with interval.
 
     Every actor counts for every detector, flagged or not, so counts come from the truth
@@ -173,10 +152,7 @@ def rates_by_class(truth: DataFrame, verdicts: DataFrame, by=()) -> DataFrame:
         .groupBy(*names, "detector", "class")
         .agg(F.count("*").alias("k"))
     )
-    detectors = verdicts.select("detector").distinct()
-    cells = totals.withColumn(
-        "detector", F.explode(detectors.agg(F.collect_set("detector")).scalar())
-    )
+    cells = totals.withColumn("detector", F.explode(_names(verdicts, detectors)))
     return with_rate(
         cells.join(hits, [*names, "detector", "class"], "left").withColumn(
             "k", F.coalesce("k", F.lit(0))
@@ -184,17 +160,16 @@ def rates_by_class(truth: DataFrame, verdicts: DataFrame, by=()) -> DataFrame:
     )
 
 
-def ladder(truth: DataFrame, verdicts: DataFrame) -> DataFrame:
+def ladder(truth: DataFrame, verdicts: DataFrame, detectors=None) -> DataFrame:
     """Recall per (config, level, detector), pooled over seeds (seed NULL) and per seed.
 
     ``truth`` is (config, seed, ip, class, level), ``verdicts`` (config, seed, ip,
     detector, flagged).  Humans are one level of their own.
     """
     level = F.when(F.col("class") == "human", "humans").otherwise(F.col("level"))
-    names = verdicts.agg(F.collect_set("detector")).scalar()
     rows = (
         truth.withColumn("level", level)
-        .withColumn("detector", F.explode(names))
+        .withColumn("detector", F.explode(_names(verdicts, detectors)))
         .join(verdicts, ["config", "seed", "ip", "detector"], "left")
         .withColumn("hit", F.coalesce("flagged", F.lit(False)).cast("long"))
     )
@@ -227,10 +202,10 @@ def beats(cells: DataFrame, subject: str, baselines) -> DataFrame:
     )
 
 
-def delays(truth: DataFrame, verdicts: DataFrame) -> DataFrame:
+def delays(truth: DataFrame, verdicts: DataFrame, detectors=None) -> DataFrame:
     """Detection delay of the bots per detector; a bot without verdict is missed."""
-    names = verdicts.agg(F.collect_set("detector")).scalar()
-    bots = truth.filter(F.col("class") == "bot").select("ip", F.explode(names).alias("detector"))
+    names = F.explode(_names(verdicts, detectors)).alias("detector")
+    bots = truth.filter(F.col("class") == "bot").select("ip", names)
     return detection_delay(bots.join(verdicts, ["ip", "detector"], "left"), by=("detector",))
 
 

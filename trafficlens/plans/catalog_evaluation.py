@@ -389,14 +389,14 @@ cells AS (SELECT *, {WILSON} FROM cells0, {Z})"""
     "E15 B34 J2",
 )
 def _(spark, sf):
-    rates = T.rates_by_class(D.truth(spark, sf), verdicts_of(spark, sf))
+    rates = T.rates_by_class(D.truth(spark, sf), verdicts_of(spark, sf), detectors=T.DETECTORS)
     return rounded(rates, "rate", "ci_low", "ci_high")
 
 
 def ladder_of(spark, sf):
     truth = D.truth(spark, sf)
     verdicts = verdicts_of(spark, sf).join(truth.select("ip", "config", "seed"), "ip")
-    return T.ladder(truth, verdicts)
+    return T.ladder(truth, verdicts, T.DETECTORS)
 
 
 @evaluation.query(
@@ -449,7 +449,7 @@ def _(spark, sf):
     "E18",
 )
 def _(spark, sf):
-    rows = T.delays(D.truth(spark, sf), verdicts_of(spark, sf))
+    rows = T.delays(D.truth(spark, sf), verdicts_of(spark, sf), T.DETECTORS)
     return rounded(rows, "median_request", "p90_request")
 
 
@@ -465,7 +465,7 @@ def _(spark, sf):
     "E25",
 )
 def _(spark, sf):
-    blend = T.by_blend(None, D.decisions(spark, sf)).select("ip", "flagged")
+    blend = T.run_detectors(None, D.decisions(spark, sf), ["blend"]).select("ip", "flagged")
     rows = M.confusion_of_verdicts(D.truth(spark, sf).select("ip", "is_bot"), blend)
     return rows.select("tp", "fp", "fn", "tn")
 
