@@ -107,17 +107,20 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
     return table
 
 
-def prefix_of(shingles: np.ndarray, estimate: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
-    """The prefix of one set, rare shingles first, and its L.
-
-    ``estimate`` is how many sets a shingle is thought to be in beyond the usual; it is a function
-    of the shingle alone, so all documents order alike. The cost of L is that of reading the
-    prefix's lists and of verifying the sets that can meet L times in them.
+def prefix_of(
+    shingles: np.ndarray, counts: np.ndarray, usual: float, percent: int = PERCENT
+) -> tuple[np.ndarray, int]:
+    """The prefix of one set, shingles of emptier buckets first, and its L.
+
+    ``counts`` are those of the shingles' buckets, functions of the shingle alone, so all documents
+    order alike. What is above the ``usual`` count is taken for the shingle's own frequency. The
+    cost of L is that of reading the prefix's lists and of verifying the sets that can meet L
+    times in them.
     """
     n = len(shingles)
-    order = np.lexsort((shingles, estimate))
+    order = np.lexsort((shingles, counts))
     least = -(-percent * n // 100)
-    load = np.cumsum(estimate[order] + 1.0)
+    load = np.cumsum(np.maximum(counts[order] - usual, 0) + 1.0)
     best, cost = 1, math.inf
     for match in MATCHES:
         if match > least:
@@ -132,10 +135,8 @@ def prefix_of(shingles: np.ndarray, estimate: np.ndarray, percent: int = PERCENT
 def prefixes(docs: DataFrame, counts: np.ndarray, percent: int = PERCENT) -> DataFrame:
     """(cls, n, need, shingles): the prefix of every set, one row per set and batch."""
     spark = docs.sparkSession
-    usual = counts.mean()
-    # 0 for all buckets of ordinary load, so that ordinary shingles are ordered by hash alone
-    excess = np.where(counts > 1.5 * usual + 8, counts - usual, 0).astype(np.int64)
-    shared = spark.sparkContext.broadcast(excess)
+    usual = float(counts.mean() + math.sqrt(counts.mean()))
+    shared = spark.sparkContext.broadcast(counts)
 
     def rows(batches):
         import pyarrow as pa
@@ -152,7 +153,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, percent: int = PERCENT) -> Dat
                     if digest in known:
                         continue
                     known.add(digest)
-                    prefix, need = prefix_of(s, table[(s % np.uint64(BUCKETS)).astype(np.int64)], percent)
+                    prefix, need = prefix_of(s, table[(s % np.uint64(BUCKETS)).astype(np.int64)], usual, percent)
                     out["cls"].append(_class_key(digest))
                     out["n"].append(len(s))
                     out["need"].append(need)
