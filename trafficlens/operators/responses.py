@@ -132,22 +132,22 @@ def profile_responses(features: DataFrame) -> DataFrame:
     time, status, cv = c("response_time"), c("status"), c("timing_cv")
     rules = [
         (c("error").isNotNull() & (c("error") != ""), 0.6, "ERROR",
-         fmt("connection error: %s", F.substring("error", 1, 50))),
-        (time < 0.05, 0.3, "FAST", fmt("extremely fast response (%.3fs) — likely cached", time)),
-        (time > 5.0, 0.5, "SLOW", fmt("slow response (%.3fs) — possible rate limiting", time)),
-        (status == 429, 0.8, "RATE_LIMITED", "rate limited (HTTP 429)"),
-        (status == 403, 0.7, "FORBIDDEN", "forbidden (HTTP 403) — might be blocking"),
-        (status >= 500, 0.5, "SERVER_ERROR", fmt("server error (HTTP %d)", status)),
+         fmt("no response: %s", F.substring("error", 1, 50))),
+        (time < 0.05, 0.3, "FAST", fmt("answered in %.3f s, as from a cache", time)),
+        (time > 5.0, 0.5, "SLOW", fmt("took %.3f s, perhaps throttled", time)),
+        (status == 429, 0.8, "RATE_LIMITED", "status 429: too many requests"),
+        (status == 403, 0.7, "FORBIDDEN", "status 403: access denied"),
+        (status >= 500, 0.5, "SERVER_ERROR", fmt("status %d: failure of the server", status)),
         (c("security_headers") >= 3, 0.2, "PROTECTED",
-         fmt("well-protected site (%d security headers)", c("security_headers"))),
+         fmt("%d protective headers are set", c("security_headers"))),
         ((c("responses") > 2) & (cv < 0.05) & (cv > 0), 0.7, "STEADY",
-         fmt("very consistent timing (CV=%.3f) — likely automated", cv)),
+         fmt("times hardly vary (%.3f of their mean)", cv)),
         ((c("body_entropy") < 1.0) & (c("body_bytes") > 0), 0.4, "LOW_ENTROPY",
-         fmt("low response entropy (%.2f)", c("body_entropy"))),
+         fmt("body of few different bytes (%.2f bits)", c("body_entropy"))),
         (c("body_entropy") > 7.5, 0.3, "HIGH_ENTROPY",
-         fmt("high response entropy (%.2f) — likely encrypted/compressed", c("body_entropy"))),
+         fmt("body looks packed or ciphered (%.2f bits)", c("body_entropy"))),
     ]
-    return features.withColumns(_chain(rules, (0.3, "DEFAULT", "no strong bot signals detected")))
+    return features.withColumns(_chain(rules, (0.3, "DEFAULT", "nothing stands out")))
 
 
 def handshake_features(handshakes: DataFrame) -> DataFrame:
@@ -182,19 +182,19 @@ def profile_handshakes(features: DataFrame) -> DataFrame:
     cv = c("handshake_timing_cv")
     rules = [
         (~c("connected"), 0.6, "NOT_CONNECTED",
-         fmt("connection failed: %s", F.substring(F.coalesce(F.nullif("error", F.lit("")), F.lit("unknown")), 1, 50))),
+         fmt("not connected: %s", F.substring(F.coalesce(F.nullif("error", F.lit("")), F.lit("unknown")), 1, 50))),
         (~c("handshake_ok"), 0.7, "REJECTED",
-         fmt("WebSocket handshake rejected/malformed (HTTP %d) — likely blocked or not a WS endpoint", c("status"))),
+         fmt("upgrade refused with status %d", c("status"))),
         (c("handshake_time") < 0.01, 0.3, "FAST",
-         fmt("extremely fast handshake (%.3fs) — likely local/cached", c("handshake_time"))),
+         fmt("upgraded in %.3f s, as from nearby", c("handshake_time"))),
         ((c("responses") > 2) & (cv > 0) & (cv < 0.05), 0.7, "STEADY",
-         fmt("very consistent handshake timing (CV=%.3f) — likely automated", cv)),
+         fmt("upgrade times hardly vary (%.3f of their mean)", cv)),
         (c("got_response_frame") == 0, 0.4, "SILENT",
-         "clean handshake, no unsolicited server frame — normal for most WS servers"),
+         "upgraded, then silent, as most servers are"),
     ]
     return features.withColumns(
         _chain(
             rules,
-            (0.3, "DEFAULT", "clean handshake with server response — no strong automation signal"),
+            (0.3, "DEFAULT", "upgraded and answered; nothing stands out"),
         )
     )

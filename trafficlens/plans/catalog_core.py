@@ -1,5 +1,7 @@
 """Registered queries: sessions, features, rules, scan and the columns they rest on."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import address as A
@@ -10,6 +12,8 @@ from ..operators import sessions as O
 from ..operators.features import session_features
 from ..schema import FEATURES
 from ..sources.adapters import requests_of
+from ..session import shared_folder
+from ..sources.exports import write_scan
 from . import oracle_base as B
 from .registry import Registry, rounded
 from .scan import scan_sessions, scan_summary
@@ -39,6 +43,26 @@ def _(spark, sf):
     return rounded(scan_summary(scored(spark, sf)), "bot_rate")
 
 
+@core.query(
+    "scan_document",
+    B.over_scored(
+        """SELECT label, risk, count(*) AS sessions, sum(requests)::BIGINT AS requests,
+        (SELECT count(*) FROM scored) AS total_sessions,
+        (SELECT sum(requests)::BIGINT FROM scored) AS total_entries FROM scored GROUP BY label, risk"""
+    ),
+    "A19",
+)
+def _(spark, sf):
+    """The scan written as a document and read back: its sessions, and its one-row summary."""
+    path = f"{shared_folder(spark)}/scan-{uuid.uuid4().hex}"
+    sessions = scored(spark, sf)
+    write_scan(sessions, scan_summary(sessions), path)
+    summary = spark.read.json(f"{path}/summary").select(F.struct("total_sessions", "total_entries")).scalar()
+    read = spark.read.json(f"{path}/sessions").groupBy("label", "risk")
+    counts = read.agg(F.count("*").alias("sessions"), F.sum("requests").alias("requests"))
+    return counts.withColumn("s", summary).select("label", "risk", "sessions", "requests", "s.*")
+
+
 @core.query(
     "scan_sessions",
     B.over_scored(

@@ -480,7 +480,10 @@ def _(spark, sf):
     "A20",
 )
 def _(spark, sf):
-    return days.dataset_counts(derived.feature_rows(spark, sf))
+    path = f"{shared_folder(spark)}/dataset-{uuid.uuid4().hex}"
+    days.write_dataset(derived.feature_rows(spark, sf), path)
+    stored = spark.read.parquet(path).withColumn("day", F.col("day").cast("string"))
+    return days.dataset_counts(stored)
 
 
 @sources.query(
