@@ -26,9 +26,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: that of the smallest id. Null ids stay."""
-    of = similar_documents(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(of, "doc_id", "left_anti").select(docs.columns)
+    """One document of each component stays: that of the smallest id.
+
+    Of rows that repeat that id one stays, the first by n_chars and text. Null ids and wordless
+    texts have no component and stay.
+    """
+    of = stored(similar_documents(docs), "components")
+    gone = of.where("doc_id <> component_id").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    twice = of.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1")
+    if twice.isEmpty():
+        return left
+    once = left.join(twice.select("doc_id"), "doc_id", "left_anti")
+    again = left.join(twice.select("doc_id"), "doc_id", "left_semi")
+    order = sorted(docs.columns, key=lambda c: (c not in ("n_chars", "text"), c))
+    first = again.groupBy("doc_id").agg(F.min(F.struct(*order)).alias("row"))
+    return once.select(docs.columns).unionByName(first.select([F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -206,5 +206,14 @@ def test_pipeline_stages(spark, small):
     assert sorted(whole.collect()) == sorted(rows.select("doc_id", "piece", "ids_crc32").collect())
 
 
+def test_pipeline_keeps_one_row_of_a_repeated_id(spark, small):
+    rows = [(1, "a b c d e f", 11), (1, "a b c d e f", 11), (2, "a b c d e f", 11), (3, "", 0), (3, "", 0), (None, "x", 1), (4, "other words", 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = dict(corpus_pipeline.STAGES)["near_copies"](spark, docs, small)
+    assert got.columns == docs.columns
+    ids = sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect())
+    assert ids == [(False, 1), (False, 3), (False, 3), (False, 4), (True, 0)]
+
+
 def test_every_operator_has_one_query():
     assert sorted(int(q.split("_")[0][2:]) for q in QUERIES) == list(range(1, 11))
