@@ -19,11 +19,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, stored, text_batches, word_hashes
+from .common import TEXT_BYTES, mixed, slices, stored, text_batches, word_hashes
 
 #: Text of a block, on average, and n-grams that one task counts.
-BLOCK_BYTES = 6 << 20
-GRAMS = 3_000_000
+BLOCK_BYTES = 4 << 20
+GRAMS = 800_000
 #: Counters of the table that estimates frequencies for the weights: a fixed size.
 COUNTERS = 1 << 18
 #: Contexts by log2 of their count; ratios of the two estimates in steps of 1/32 octave.
@@ -38,9 +38,13 @@ _JOIN = np.uint64(0x9E3779B97F4A7C15)
 def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all tokens and of what comes before each, and where each text's tokens begin.
 
-    The tokens of a text are its words and one end.
+    The tokens of a text are its words and one end. Texts are hashed a slice at a time, which
+    bounds the memory that is needed beside the tokens.
     """
-    words, bounds = word_hashes(texts)
+    found = [word_hashes(texts[a:b]) for a, b in slices(list(map(len, texts)), TEXT_BYTES)]
+    words = np.concatenate([w for w, _ in found] or [np.zeros(0, dtype=np.uint64)])
+    counts = np.concatenate([np.diff(b) for _, b in found] or [np.zeros(0, dtype=np.int64)])
+    bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
     n = len(texts)
     bounds = bounds + np.arange(n + 1)
     tokens = np.empty(bounds[-1], dtype=np.uint64)
@@ -185,7 +189,7 @@ def _requests(docs: DataFrame, ranges: int, counts: np.ndarray) -> DataFrame:
                     held[0].append(text)
                     held[1].append(parts[k])
                     size += len(text)
-                if size > 3 * BLOCK_BYTES:
+                if size > 2 * BLOCK_BYTES:
                     yield from flush()
                     size = 0
         yield from flush()
