@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.llm.common import stored
+from trafficlens.llm.common import stored, without_keys
 from trafficlens.llm.packing import packed_sequences
 from trafficlens.llm.quality_rank import keep_good
 from trafficlens.llm.queries import SURROGATE_KEY
@@ -33,11 +33,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     of = stored(similar_documents(docs), "components")
     gone = of.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    left = without_keys(docs, gone, "doc_id")
     twice = of.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1")
     if twice.isEmpty():
         return left
-    once = left.join(twice.select("doc_id"), "doc_id", "left_anti")
+    once = without_keys(left, twice.select("doc_id"), "doc_id")
     again = left.join(twice.select("doc_id"), "doc_id", "left_semi")
     order = sorted(docs.columns, key=lambda c: (c not in ("n_chars", "text"), c))
     first = again.groupBy("doc_id").agg(F.min(F.struct(*order)).alias("row"))

@@ -88,6 +88,30 @@ def maybe_in(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return hit
 
 
+def without_keys(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows whose ``column`` is not among ``keys`` (distinct, not null); null ones stay.
+
+    Only rows that a filter of fixed size can't rule out are shuffled for the exact join.
+    """
+    table = rows.sparkSession.sparkContext.broadcast(key_filter(keys.select(F.xxhash64(column).alias("key")), "key"))
+    names = rows.columns
+
+    def part(hits):
+        def chosen(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                found = maybe_in(table.value, batch.column(len(names)).to_numpy())
+                kept = batch.filter(pa.array(found == hits))
+                yield pa.record_batch(kept.columns[:-1], names=names)
+
+        return chosen
+
+    marked = rows.withColumn("key of the row", F.xxhash64(column))
+    sure, open_ = (marked.mapInArrow(part(hits), rows.schema) for hits in (False, True))
+    return sure.unionByName(open_.join(keys.select(column), column, "left_anti").select(names))
+
+
 # --- components ------------------------------------------------------------------------------
 
 
@@ -175,7 +199,14 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
     Equal words have equal hashes in every task. Two given words differ but for odds near 2**-60.
     """
-    joined = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    _, _, _, hashes, bounds = word_places(texts)
+    return hashes, bounds
+
+
+def word_places(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The joined texts, begins and ends of their words in them, and what word_hashes gives."""
+    whole = b"\n".join(texts) + b"\n"
+    joined = np.frombuffer(whole, dtype=np.uint8)
     lower = _LOWER[joined]
     white = _IS_WHITE[joined]
     edge = np.flatnonzero(white[1:] != white[:-1]) + 1
@@ -188,7 +219,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum(_BYTE[lower] * up[: len(joined)], out=sums[1:])
     hashes = mixed((sums[ends] - sums[starts]) * down[starts])
     first = np.cumsum([0] + [len(t) + 1 for t in texts])
-    return hashes, np.searchsorted(starts, first)
+    return whole, starts, ends, hashes, np.searchsorted(starts, first)
 
 
 def shingle_hashes(texts: list[bytes], size: int) -> list[np.ndarray]:
