@@ -224,6 +224,18 @@ def test_joins_in_the_middle_of_words_are_repaired():
             assert bpe.joined(data, ends, parts) == whole
 
 
+def test_words_are_the_librarys():
+    bpe = chunk_bpe.WordBpe(CLIP)
+    texts = ["Straße, İstanbul. naïve ﬁne Ω'mega it's don't. a,b x1 ,, . cafe\u0301 ǅ", "<|startoftext|>, Hello<|endoftext|>. tab\there \x1c \x85", "ÀÉÎ, a\u0307 ſ K ", "", " ", "<|ENDOFTEXT|> x"]
+    for _ in range(2):
+        for text, ids in zip(texts, bpe.encode_batch([t.encode() for t in texts]), strict=True):
+            assert ids == bpe.library.encode(text, add_special_tokens=False).ids
+            assert bpe.decode(ids) == bpe.library.decode(ids, skip_special_tokens=False)
+    old, chunk_bpe.WORDS = chunk_bpe.WORDS, 0
+    assert bpe.encode_batch([b"new words, after all were forgotten"])[0] == bpe.library.encode("new words, after all were forgotten", add_special_tokens=False).ids
+    chunk_bpe.WORDS = old
+
+
 def test_cuts_depend_on_content():
     draw = np.random.default_rng(2)
     passage = bytes(draw.integers(97, 123, 60_000).astype(np.uint8))

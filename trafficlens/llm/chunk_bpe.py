@@ -16,12 +16,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _powers, key_filter, maybe_in, mixed, once_per_worker, stored, text_batches
+from .common import _BYTE, _powers, key_filter, maybe_in, mixed, once_per_worker, stored, text_batches, word_places
 
 #: Bytes that the rolling hash sees; mean, least and greatest size of a chunk.
 WINDOW, MEAN, LEAST, MOST = 32, 2048, 256, 16_384
-#: Words whose ids a worker remembers at most.
-REMEMBERED = 300_000
+#: Words whose ids a worker remembers at most: of chunks, by hash, and around joins.
+WORDS, REMEMBERED = 1_500_000, 50_000
 #: Documents with shared chunks that one task puts together, on average.
 TOGETHER = 512
 #: Bytes of a document that one step of cutting works on.
@@ -68,7 +68,10 @@ def chunk_name(chunk: bytes) -> bytes:
 
 
 class WordBpe:
-    """A tokenizers file whose splitting never joins what blanks or line ends part."""
+    """A tokenizers file that takes A to Z as a to z and never joins what ASCII white space parts.
+
+    Ids of chunks are put together from those of their words; a worker keeps words by 64-bit hash.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -79,6 +82,15 @@ class WordBpe:
         self.library.no_truncation()
         self.known = {}
         self.blank = re.compile("[ \n]+")
+        if self._ids("AbC x") != self._ids("abc") + self._ids("X"):
+            raise ValueError(f"{path} tells letter cases apart or joins words")
+        self.special = [t.content.lower().encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.tokens = [self.library.id_to_token(i) for i in range(self.library.get_vocab_size())]
+        self.ends = np.array([t.endswith("</w>") for t in self.tokens])
+        self._forget()
+
+    def _ids(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
 
     def encode(self, text: str) -> list[int]:
         """Ids as the library gives them for the whole text; frequent words are looked up."""
@@ -98,14 +110,68 @@ class WordBpe:
             out += known[w] if w in known else ids[w]
         return out
 
-    def learn(self, texts: list[str]) -> None:
-        """Encode the words of a batch that aren't known in one call."""
-        if len(self.known) < REMEMBERED:
-            words = set()
-            for t in texts:
-                words.update(self.blank.split(t))
-            new = [w for w in words if w not in self.known and len(w) < 40]
-            self.known.update(zip(new, (e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+    def encode_batch(self, texts: list[bytes]) -> list[list[int]]:
+        """Ids of many texts: their words are looked up by hash, all at once.
+
+        Hashes take A to Z as a to z, special tokens don't: a text that may hold one goes by itself.
+        """
+        odd = {k: self.encode(t.decode()) for k, t in enumerate(texts) if any(s in t.lower() for s in self.special)}
+        if odd:
+            rest = iter(self.encode_batch([t for k, t in enumerate(texts) if k not in odd]))
+            return [odd[k] if k in odd else next(rest) for k in range(len(texts))]
+        whole, starts, ends, hashes, bounds = word_places(texts)
+        unique, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.hashes) > WORDS:
+            self._forget()
+        at = np.searchsorted(self.hashes, unique)
+        new = np.ones(len(unique), dtype=bool)
+        inside = at < len(self.hashes)
+        new[inside] = self.hashes[at[inside]] != unique[inside]
+        if new.any():
+            spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)
+            self._add(unique[new], at[new], [whole[i:j].decode() for i, j in spans])
+        row = self.rows[np.searchsorted(self.hashes, unique)][place]
+        size = self.sizes[row]
+        total = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat[np.arange(total[-1]) + np.repeat(self.begins[row] - total[:-1], size)]
+        edges = total[bounds].tolist()
+        ids = ids.tolist()
+        return [ids[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True)]
+
+    def _forget(self) -> None:
+        self.hashes = np.zeros(0, dtype=np.uint64)
+        self.rows = self.begins = self.sizes = np.zeros(0, dtype=np.int64)
+        self.flat = np.zeros(0, dtype=np.uint32)
+
+    def _add(self, hashes, at, words: list[str]) -> None:
+        """Put new words with their ids in the order of hashes."""
+        latin = [k for k, w in enumerate(words) if w.lower().isalpha() and max(w) < "\u0250"]
+        ids = dict(zip(latin, self._latin([words[k] for k in latin]), strict=True))
+        other = [k for k in range(len(words)) if k not in ids]
+        ids.update(zip(other, (e.ids for e in self.library.encode_batch_fast([words[k] for k in other], add_special_tokens=False)), strict=True))
+        sizes = np.array([len(ids[k]) for k in range(len(words))], dtype=np.int64)
+        flat = np.fromiter((i for k in range(len(words)) for i in ids[k]), dtype=np.uint32)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.rows = np.insert(self.rows, at, len(self.sizes) + np.arange(len(words)))
+        self.begins = np.concatenate([self.begins, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, flat])
+
+    def _latin(self, words: list[str]) -> list[list[int]]:
+        """Ids of words of Latin letters: encoded in one text, in which the file marks their ends."""
+        if not words:
+            return []
+        ids = self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
+        ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(ends) != len(words):
+            return [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        return [ids[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+    def decode(self, ids: list[int]) -> str:
+        """The library's decode; a file without a decoder puts blanks between its tokens."""
+        if self.library.decoder is None:
+            return " ".join(map(self.tokens.__getitem__, ids))
+        return self.library.decode(ids, skip_special_tokens=False)
 
     def joined(self, text: bytes, ends: list[int], ids: list) -> list[int]:
         """Ids of a whole text from those of its chunks, joins repaired."""
@@ -148,7 +214,7 @@ def _results(ids_of, doc_ids, bpe):
     import pyarrow as pa
 
     ids = [np.array(x, dtype="<u4") for x in ids_of]
-    decoded = bpe.library.decode_batch(ids_of, skip_special_tokens=False)
+    decoded = map(bpe.decode, ids_of)
     return pa.record_batch(
         {
             "doc_id": doc_ids,
@@ -208,9 +274,7 @@ def _encoded(docs: DataFrame, shared, path: str) -> DataFrame:
 
         bpe = once_per_worker(("word_bpe", path), lambda: WordBpe(path))
         for batch in batches:
-            texts = [c.as_py().decode() for c in batch.column("chunk")]
-            bpe.learn(texts)
-            ids = [np.array(bpe.encode(t), dtype="<u4").tobytes() for t in texts]
+            ids = [np.array(i, dtype="<u4").tobytes() for i in bpe.encode_batch(batch.column("chunk").to_pylist())]
             yield pa.record_batch({"name": batch.column("name"), "ids": pa.array(ids, pa.binary())})
 
     once = docs.select("text").mapInArrow(texts_of, "name binary, chunk binary").groupBy("name").agg(F.first("chunk").alias("chunk"))
@@ -237,8 +301,8 @@ def encoded_documents(docs: DataFrame, path: str) -> DataFrame:
             for a, _, texts in text_batches(batch, "text"):
                 cut = [_chunks(t) for t in texts]
                 own = [i for i, (_, c) in enumerate(cut) if not _any_shared(c)]
-                bpe.learn([texts[i].decode() for i in own])
-                ids = [bpe.joined(texts[i], cut[i][0], [bpe.encode(c.decode()) for c in cut[i][1]]) for i in own]
+                of = iter(bpe.encode_batch([c for i in own for c in cut[i][1]]))
+                ids = [bpe.joined(texts[i], cut[i][0], [next(of) for _ in cut[i][1]]) for i in own]
                 yield _results(ids, batch.column("doc_id").take([a + i for i in own]) if own else batch.column("doc_id").slice(0, 0), bpe)
 
     def _any_shared(chunks):
@@ -272,10 +336,9 @@ def encoded_documents(docs: DataFrame, path: str) -> DataFrame:
         for text in texts.column("text").cast(pa.large_binary()):
             text = text.as_py()
             ends, chunks = _chunks(text)
-            ids = []
-            for c in chunks:
-                have = known.get(chunk_name(c))
-                ids.append(bpe.encode(c.decode()) if have is None else np.frombuffer(have, dtype="<u4").tolist())
+            ids = [known.get(chunk_name(c)) for c in chunks]
+            own = iter(bpe.encode_batch([c for c, have in zip(chunks, ids, strict=True) if have is None]))
+            ids = [next(own) if have is None else np.frombuffer(have, dtype="<u4").tolist() for have in ids]
             out.append(bpe.joined(text, ends, ids))
         return pa.Table.from_batches([_results(out, texts.column("doc_id").combine_chunks(), bpe)])
 
