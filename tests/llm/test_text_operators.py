@@ -115,6 +115,45 @@ def test_weights_by_plain_em():
     assert weights[4] == 0 and weights[6] == weights[5]
 
 
+def test_weights_come_from_exact_counts(spark):
+    # rare pairs among so many types that a table of a few hundred thousand counters would be full
+    draw = np.random.default_rng(7)
+    texts = [(i, " ".join(f"x{i}y{k}" for k in range(2000))) for i in range(400)]
+    texts += [(i, " ".join(f"u{j} v{j}" for j in draw.integers(0, 3000, 60))) for i in range(400, 700)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    part = dict(interpolated_lm._parts(docs, 7, 2).select("doc_id", "part").collect())
+    tokens = {i: ["\0start", *t.split(), "\0end"] for i, t in texts}
+
+    def counted(parts):
+        rows = [t for i, t in tokens.items() if part[i] in parts]
+        return collections.Counter(w for t in rows for w in t), collections.Counter(p for t in rows for p in zip(t, t[1:], strict=False))
+
+    def lower(c):
+        bottom = sum(c.values()) - c["\0start"] + len(c)  # all but the start, and one for new words
+        return lambda w: (c[w] + 1) / bottom
+
+    (c, both), (_, held) = counted({1}), counted({2})
+    low = lower(c)
+    by_bucket = collections.defaultdict(list)
+    for (u, w), n in held.items():
+        by_bucket[int(math.log2(c[u] + 1))].append((n, both[u, w] / max(c[u], 1) / low(w)))
+    weights = [0.0] * 48
+    for k in range(48):
+        weights[k] = weights[k - 1] if k else 0.0
+        if k in by_bucket:
+            n, r = np.array(by_bucket[k]).T
+            weights[k] = 0.5
+            for _ in range(60):
+                weights[k] = min(float((n * weights[k] * r / (weights[k] * r + 1 - weights[k])).sum() / n.sum()), 0.999)
+    c, both = counted({1, 2})
+    low = lower(c)
+    share = lambda u: weights[int(math.log2(c[u] + 1))] if c[u] else 0.0
+    for r in interpolated_lm.document_scores(docs).where("doc_id >= 400").collect():
+        t = tokens[r["doc_id"]]
+        want = sum(math.log10(share(u) * both[u, w] / max(c[u], 1) + (1 - share(u)) * low(w)) for u, w in zip(t, t[1:], strict=False))
+        assert r["score"] == pytest.approx(want, rel=2e-3)
+
+
 def test_quality_on_held_out_labels(spark, small):
     docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
     scored = quality_rank.quality_scores(docs, labels).join(labels, "doc_id").where("held_out").collect()

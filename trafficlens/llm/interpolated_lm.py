@@ -9,8 +9,8 @@ that training has not seen share the one extra type of the lower order.
 Documents are put in blocks. A block asks for the counts of its distinct n-grams, all blocks'
 requests meet by hash range, and the answers go back to the block, which then scores its texts. So
 what is shuffled are distinct n-grams of blocks and each text once, and no task holds a table of
-the whole corpus. The counts of part A of the training documents and the held-out ones of part B
-give the weights; scores use both parts.
+the whole corpus. The weights come from the held-out bigrams of part B of the training documents
+and the exact counts of part A, which the same answers carry; scores use both parts.
 """
 
 import math
@@ -24,8 +24,6 @@ from .common import TEXT_BYTES, mixed, slices, stored, text_batches, word_hashes
 #: Text of a block, on average, and n-grams that one task counts.
 BLOCK_BYTES = 4 << 20
 GRAMS = 800_000
-#: Counters of the table that estimates frequencies for the weights: a fixed size.
-COUNTERS = 1 << 18
 #: Contexts by log2 of their count; ratios of the two estimates in steps of 1/32 octave.
 BUCKETS, STEP, RATIOS = 48, 32, 4096
 ROUNDS = 60
@@ -62,10 +60,6 @@ def pairs_of(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return mixed(before * _JOIN + tokens)
 
 
-def _counter(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - 18)).astype(np.int64)
-
-
 def _packed(hashes: np.ndarray) -> bytes:
     """Sorted hashes as differences, high bytes together, so that shuffles compress them."""
     gaps = np.diff(hashes, prepend=np.uint64(0))
@@ -94,34 +88,6 @@ def _parts(docs: DataFrame, folds: int, held_out: int) -> DataFrame:
     return docs.withColumn("part", part.cast("int"))
 
 
-def _frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Counts of tokens of part A by hash range, and the bytes of all texts."""
-
-    def rows(batches):
-        import pyarrow as pa
-
-        counts, size = np.zeros(COUNTERS, dtype=np.int64), 0
-        for batch in batches:
-            parts = batch.column("part").to_numpy()
-            for a, b, texts in text_batches(batch, "text"):
-                size += sum(map(len, texts))
-                tokens, _, bounds = token_hashes(texts)
-                learned = np.repeat(parts[a:b] == 1, np.diff(bounds))
-                counts += np.bincount(_counter(tokens[learned]), minlength=COUNTERS)
-                counts[_counter(_START.reshape(1))] += int((parts[a:b] == 1).sum())
-        used = np.flatnonzero(counts)
-        yield pa.record_batch(
-            {"at": pa.array([-1, *used.tolist()], pa.int64()), "n": pa.array([size, *counts[used].tolist()], pa.int64())}
-        )
-
-    sums = docs.select("text", "part").mapInArrow(rows, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    found = sums.toArrow()  # at most COUNTERS + 1 rows
-    at, n = found["at"].to_numpy(), found["n"].to_numpy()
-    counts = np.zeros(COUNTERS, dtype=np.int64)
-    counts[at[at >= 0]] = n[at >= 0]
-    return counts, int(n[at < 0].sum())
-
-
 def _block(docs: DataFrame, size: int) -> Column:
     """The block of a row: its file, or none, cut by hash."""
     files = max(1, len(docs.inputFiles()))
@@ -129,22 +95,18 @@ def _block(docs: DataFrame, size: int) -> Column:
     return F.xxhash64(F.input_file_name(), F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(parts)))
 
 
-REQUEST = "block long, kind int, range int, grams binary, a binary, b binary, ctx binary, low binary"
+REQUEST = "block long, kind int, range int, grams binary, a binary, b binary"
 
 
-def _requests(docs: DataFrame, ranges: int, counts: np.ndarray) -> DataFrame:
+def _requests(docs: DataFrame, ranges: int) -> DataFrame:
     """REQUEST rows: a block's distinct words (kind 1) and bigrams (kind 2) of a hash range.
 
-    ``a`` and ``b`` count them in parts A and B. Bigrams with a count in B also carry the bucket of
-    their context and the estimated product of the context's count and the lower order.
+    ``a`` and ``b`` count them in parts A and B.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
-    total = float(counts.sum() + 2)
 
     def rows(batches):
         import pyarrow as pa
 
-        table = shared.value
         waiting, size = {}, 0
 
         def flush():
@@ -157,27 +119,21 @@ def _requests(docs: DataFrame, ranges: int, counts: np.ndarray) -> DataFrame:
             part = np.repeat(parts, np.diff(bounds))
             starts = np.full(len(parts), _START, dtype=np.uint64)
             pairs = pairs_of(before, tokens)
-            out = {k: [] for k in ("block", "kind", "range", "grams", "a", "b", "ctx", "low")}
+            out = {k: [] for k in ("block", "kind", "range", "grams", "a", "b")}
             for kind, grams, of in ((1, np.concatenate([tokens, starts]), np.concatenate([part, parts])), (2, pairs, part)):
-                unique, first, place = np.unique(grams, return_index=True, return_inverse=True)
+                unique, place = np.unique(grams, return_inverse=True)
                 a = np.bincount(place[of == 1], minlength=len(unique))
                 b = np.bincount(place[of == 2], minlength=len(unique))
                 edges = np.searchsorted((unique >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1))
-                if kind == 2:
-                    context = table[_counter(before[first])]
-                    product = np.log2(np.maximum(context, 1) * ((table[_counter(tokens[first])] + 1) / total))
                 for r in range(ranges):
                     i, j = int(edges[r]), int(edges[r + 1])
                     if i == j:
                         continue
                     for name, value in zip(out, (block, kind, r, _packed(unique[i:j]), _small(a[i:j]), _small(b[i:j])), strict=False):
                         out[name].append(value)
-                    held = np.flatnonzero(b[i:j] > 0) + i if kind == 2 else np.zeros(0, dtype=int)
-                    out["ctx"].append(np.log2(context[held] + 1).astype(np.uint8).tobytes() if len(held) else b"")
-                    out["low"].append(product[held].astype("<f4").tobytes() if len(held) else b"")
             yield pa.record_batch(
                 [pa.array(out["block"], pa.int64()), pa.array(out["kind"], pa.int32()), pa.array(out["range"], pa.int32())]
-                + [pa.array(out[k], pa.binary()) for k in ("grams", "a", "b", "ctx", "low")],
+                + [pa.array(out[k], pa.binary()) for k in ("grams", "a", "b")],
                 names=list(out),
             )
 
@@ -197,14 +153,14 @@ def _requests(docs: DataFrame, ranges: int, counts: np.ndarray) -> DataFrame:
     return docs.select("block", "text", "part").mapInArrow(rows, REQUEST)
 
 
-ANSWER = "block long, kind int, range int, totals binary, tokens long, types long, cells array<long>, times array<long>"
+ANSWER = "block long, kind int, range int, totals binary, held binary, tokens long, types long, tokens_a long, types_a long"
 
 
 def _answers(requests: DataFrame) -> DataFrame:
     """ANSWER rows: for each block the training counts of its n-grams of a range, in order.
 
-    Rows without a block hold what the range adds to N and V and, for the weights, how many
-    held-out bigrams have which context bucket and ratio of estimates.
+    ``held`` has the counts in part A of those that the block has in part B, in order. Rows without
+    a block hold what the range adds to N and V, of both parts and of part A alone.
     """
 
     def rows(key, table):
@@ -214,39 +170,72 @@ def _answers(requests: DataFrame) -> DataFrame:
         blocks = table.column("block").to_numpy()
         grams = [_unpacked(g.as_py()) for g in table.column("grams")]
         a = np.concatenate([_large(x.as_py()) for x in table.column("a")])
-        b = np.concatenate([_large(x.as_py()) for x in table.column("b")])
+        b = [_large(x.as_py()) for x in table.column("b")]
         unique, place = np.unique(np.concatenate(grams), return_inverse=True)
-        in_a = np.bincount(place, weights=a, minlength=len(unique))
-        total = (in_a + np.bincount(place, weights=b, minlength=len(unique))).astype(np.int64)
+        in_a = np.bincount(place, weights=a, minlength=len(unique)).astype(np.int64)
+        total = in_a + np.bincount(place, weights=np.concatenate(b), minlength=len(unique)).astype(np.int64)
         out = []
         order = np.argsort(blocks, kind="stable")
         edges = np.flatnonzero(np.diff(blocks[order], prepend=blocks[order[:1]] - 1)).tolist() + [len(order)]
         for i, j in zip(edges[:-1], edges[1:], strict=True):
-            of = [grams[k] for k in order[i:j]]
-            mine = of[0] if len(of) == 1 else np.unique(np.concatenate(of))
-            out.append((int(blocks[order[i]]), kind, r, _small(total[np.searchsorted(unique, mine)]), None, None, None, None))
+            of, held = [grams[k] for k in order[i:j]], [grams[k][b[k] > 0] for k in order[i:j]]
+            mine, held = (x[0] if len(x) == 1 else np.unique(np.concatenate(x)) for x in (of, held))
+            counts = (_small(n[np.searchsorted(unique, x)]) for n, x in ((total, mine), (in_a, held)))
+            out.append((int(blocks[order[i]]), kind, r, *counts, None, None, None, None))
         if kind == 1:
             real = unique != _START
-            out.append((None, kind, r, None, int(total[real].sum()), int((total[real] > 0).sum()), None, None))
-        else:
-            held = b > 0
-            bucket = np.frombuffer(b"".join(x.as_py() for x in table.column("ctx")), dtype=np.uint8).astype(np.int64)
-            low = np.frombuffer(b"".join(x.as_py() for x in table.column("low")), dtype="<f4")
-            count = in_a[place[held]]
-            with np.errstate(divide="ignore"):
-                ratio = np.log2(count) - low
-            step = np.where(count > 0, np.clip(np.rint(ratio * STEP) + RATIOS // 2, 1, RATIOS - 1), 0).astype(np.int64)
-            cell = np.minimum(bucket, BUCKETS - 1) * RATIOS + step
-            cells, at = np.unique(cell, return_inverse=True)
-            n = np.bincount(at, weights=b[held])
-            out.append((None, kind, r, None, None, None, cells.tolist(), n.astype(np.int64).tolist()))
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        names = ("block", "kind", "range", "totals", "tokens", "types", "cells", "times")
+            sums = [int(f(n[real])) for n in (total, in_a) for f in (np.sum, np.count_nonzero)]
+            out.append((None, kind, r, None, None, *sums))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 4)
+        names = ("block", "kind", "range", "totals", "held", "tokens", "types", "tokens_a", "types_a")
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=list(names))
 
     return requests.groupBy("kind", "range").applyInArrow(rows, ANSWER)
 
 
+def _in_order(answered, column: str) -> dict[int, np.ndarray]:
+    """Counts of a block's words (1) and bigrams (2) from its answers, in order of their hashes."""
+    held = {1: [], 2: []}
+    answered = answered.sort_by([("kind", "ascending"), ("range", "ascending")])
+    for kind, counts in zip(answered.column("kind").to_pylist(), answered.column(column), strict=True):
+        held[kind].append(_large(counts.as_py()))
+    return {kind: np.concatenate(counts) for kind, counts in held.items()}
+
+
+def _cells(docs: DataFrame, answers: DataFrame, n: int, v: int) -> DataFrame:
+    """(cell, times): how many held-out bigrams have which context bucket and ratio of estimates.
+
+    The estimates are those of part A, of ``n`` tokens and ``v`` types. Only texts of part B are read.
+    """
+
+    def rows(key, texts, answered):
+        import pyarrow as pa
+
+        cells = times = np.zeros(0, dtype=np.int64)
+        if texts.num_rows:
+            tokens, before, _ = token_hashes([t.as_py() or b"" for t in texts.column("text").cast(pa.large_binary())])
+            counts = _in_order(answered, "held")
+            unique, first, b = np.unique(pairs_of(before, tokens), return_index=True, return_counts=True)
+            words = np.unique(np.concatenate([tokens, _START.reshape(1)]))
+            c, context = (counts[1][np.searchsorted(words, x[first])] for x in (tokens, before))
+            both = counts[2]
+            low = (c + 1) / (n + v + 1)
+            with np.errstate(divide="ignore"):
+                ratio = np.log2(both) - np.log2(np.maximum(context, 1) * low)
+            step = np.where(both > 0, np.clip(np.rint(ratio * STEP) + RATIOS // 2, 1, RATIOS - 1), 0).astype(np.int64)
+            cells, at = np.unique(_bucket(context) * RATIOS + step, return_inverse=True)
+            times = np.bincount(at, weights=b).astype(np.int64)
+        return pa.table({"cell": pa.array(cells, pa.int64()), "times": pa.array(times, pa.int64())})
+
+    held = docs.where("part = 2").select("block", "text").groupBy("block")
+    answers = answers.select("block", "kind", "range", "held").groupBy("block")
+    return held.cogroup(answers).applyInArrow(rows, "cell long, times long")
+
+
+def _bucket(context: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(context + 1).astype(np.int64), BUCKETS - 1)
+
+
 def mixture_weights(cells: dict[int, float]) -> np.ndarray:
     """L of every context bucket by EM on held-out counts by cell (bucket, step of the ratio).
 
@@ -285,17 +274,13 @@ def _scores(docs: DataFrame, answers: DataFrame, n: int, v: int, weights: np.nda
         data = [t.as_py() or b"" for t in texts.column("text").cast(pa.large_binary())]
         tokens, before, bounds = token_hashes(data)
         pairs = pairs_of(before, tokens)
-        held = {1: [], 2: []}
-        answered = answered.sort_by([("kind", "ascending"), ("range", "ascending")])
-        for kind, total in zip(answered.column("kind").to_pylist(), answered.column("totals"), strict=True):
-            held[kind].append(_large(total.as_py()))
+        totals = _in_order(answered, "totals")
         words = np.unique(np.concatenate([tokens, _START.reshape(1)]))
-        word_totals = np.concatenate(held[1])
-        c = word_totals[np.searchsorted(words, tokens)]
-        context = word_totals[np.searchsorted(words, before)]
-        both = np.concatenate(held[2])[np.searchsorted(np.unique(pairs), pairs)]
+        c = totals[1][np.searchsorted(words, tokens)]
+        context = totals[1][np.searchsorted(words, before)]
+        both = totals[2][np.searchsorted(np.unique(pairs), pairs)]
         low = (c + 1) / (n + v + 1)
-        weight = np.where(context > 0, weights[np.minimum(np.log2(context + 1).astype(np.int64), BUCKETS - 1)], 0.0)
+        weight = np.where(context > 0, weights[_bucket(context)], 0.0)
         p = weight * both / np.maximum(context, 1) + (1 - weight) * low
         sums = lambda x: np.add.reduceat(x, bounds[:-1])
         return pa.table(
@@ -324,15 +309,15 @@ def document_scores(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataF
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = _parts(docs, folds, held_out)
-    counts, size = _frequencies(docs)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     docs = docs.withColumn("block", _block(docs, size))
     ranges = max(1, math.ceil(size / 8 / GRAMS))
-    answers = stored(_answers(_requests(docs, ranges, counts)), "answers")
-    sums = answers.agg(F.sum("tokens"), F.sum("types")).first()
-    n, v = int(sums[0] or 0), int(sums[1] or 0)
+    answers = stored(_answers(_requests(docs, ranges)), "answers")
+    sums = answers.agg(*(F.sum(c) for c in ("tokens", "types", "tokens_a", "types_a"))).first()
+    n, v, n_a, v_a = (int(x or 0) for x in sums)
+    given = answers.where("block is not null")
     # at most BUCKETS * RATIOS numbers
-    held = answers.where("cells is not null").select(F.explode(F.arrays_zip("cells", "times")).alias("c"))
-    held = held.groupBy("c.cells").agg(F.sum("c.times").alias("times"))
-    weights = mixture_weights(dict(held.toDF("cell", "times").collect()))
-    given = answers.where("block is not null").select("block", "kind", "range", "totals")
+    cells = _cells(docs, given, n_a, v_a).groupBy("cell").agg(F.sum("times").alias("times"))
+    weights = mixture_weights(dict(cells.collect()))
+    given = given.select("block", "kind", "range", "totals")
     return _scores(docs, given, n, v, weights).withColumn("train_tokens", F.lit(n).cast("long"))
