@@ -334,3 +334,33 @@ def test_surrogates_stay_distinct(spark):
     got = surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()
     new = {r["text"] for r in got}
     assert len(new) == 1500 and not new & {t for _, t in rows}
+
+
+ADJACENT = [
+    # text, pattern of the result, entities
+    ("+1 (826) 555-4081 190.137.223.204", r"\+1 \((\d{3})\) (\d{3})-(\d{4}) \d+\.\d+\.\d+\.\d+", 2),
+    ("+1 (826) 555-4081 123-45-6789", r"\+1 \(\d{3}\) \d{3}-\d{4} \d{3}-\d{2}-\d{4}", 2),
+    ("+1 (826) 555-4081 190 items", r"\+1 \(\d{3}\) \d{3}-\d{4} 190 items", 1),
+    ("4111 1111 1111 1111 12/27", r"\d{4} \d{4} \d{4} \d{4} 12/27", 1),
+    ("4111111111111111 123", r"\d{16} 123", 1),
+    ("No 12 4111111111111111", r"No 12 \d{16}", 1),
+    ("4845168114407329 97.51.17.173", r"\d{16} \d+\.\d+\.\d+\.\d+", 2),
+    ("2024-01-05 123-45-6789", r"2024-01-05 \d{3}-\d{2}-\d{4}", 1),
+    ("4111 1111 1111 1111 4111-1111-1111-1111", r"(?=(.{19}) (.{19}))\d{4} \d{4} \d{4} \d{4} \d{4}-\d{4}-\d{4}-\d{4}", 2),
+    ("41111111 11111111", r"\d{8} \d{8}", 1),
+    ("3782 822463 10005, 2024 4111 1111 1111 1111", r"\d{4} \d{6} \d{5}, 2024 \d{4} \d{4} \d{4} \d{4}", 2),
+    ("+44 20 7946 0958 2024-01-05", r"\+4\d \d{2} \d{4} \d{4} 2024-01-05", 1),
+    ("1234 5678 9012 3456 7890", r"1234 5678 9012 3456 7890", 0),
+]
+
+
+def test_surrogates_of_adjacent_numbers(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(ADJACENT)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n"]) for r in surrogates.replace_entities(docs, "secret", count="n").collect()}
+    numbers = ("826) 555-4081", "190.137.223.204", "123-45-6789", "4111111111111111", "4111 1111 1111 1111", "4845168114407329", "97.51.17.173", "7946 0958")
+    for i, (_, pattern, n) in enumerate(ADJACENT):
+        text, replaced = got[i]
+        assert re.fullmatch(pattern, text) and replaced == n, (text, replaced)
+        assert not any(x in text for x in numbers), text
+    assert len({got[i][0][:17] for i in range(3)}) == 1
+    assert got[8][0][:19] == got[8][0][20:].replace("-", " ")

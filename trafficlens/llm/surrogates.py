@@ -21,15 +21,29 @@ _TITLE_STARTS = "".join(sorted({t[0] for t in f"{_MALE}|{_FEMALE}|{_NEUTRAL}".sp
 _NAME = r"\p{Lu}[\p{L}\p{M}'’-]{1,40}"
 _SECRET_NAME = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|client[_-]?secret)"
 
-#: kind -> pattern; of two that begin at one place the first wins.
+_IP = r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"
+_SSN = r"\d{3}-\d{2}-\d{4}(?![\w-])"
+#: Groupings of card numbers, the likelier first. Other groupings count if they stand alone.
+_CARDS = [r"\d{13,19}", r"\d{4}(?:[ -]\d{4}){3}", r"\d{4}[ -]\d{6}[ -]\d{4,5}", r"\d{4}(?:[ -]\d{3}){3}", r"\d{4}(?:[ -]\d{4}){3}[ -]\d{1,3}"]
+_CARD_GROUPS = [1, 4, 3, 4, 5]
+#: What a group of digits must not begin to belong to the number before it.
+_OTHER = rf"(?!{_IP}|[\w.%+-]+@)"
+_NO_GROUP = rf"(?!{_IP}|{_SSN}|[\w.%+-]+@|\d{{4}}-\d{{2}}-\d{{2}}(?!\d)|\d{{13}}|\d{{4}}(?:[ -]\d{{4}}){{3}}|\d{{4}}[ -]\d{{6}}[ -]\d{{4}}|\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}(?!\w))"
+_GROUP = rf"(?:[ .-]?{_NO_GROUP}\d{{2,4}})"
+#: North American numbers have ten digits after +1; of others the groups tell the end.
+_NORTH = r"(?:\+1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\+1[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}"
+_ABROAD = rf"(?:\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?|\(\d{{2,4}}\)[ .-]?)\d{{2,4}}{_GROUP}{{1,3}}"
+
+#: kind -> pattern; of two that begin at one place the first wins. "card" finds whole runs of digit
+#: groups, which pieces_of takes apart.
 KINDS = {
     "secret": rf"(?=[pPsStTaAcC])\b{_SECRET_NAME}[ \t]*[=:][ \t]*(?:\"[^\"\s]{{6,}}\"|'[^'\s]{{6,}}'|[^\s\"',;]{{6,}})",
     "access_key": r"(?=A)\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "email": r"(?=[A-Za-z0-9])\b[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}\b",
-    "ip": r"(?=[0-9])(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
-    "ssn": r"(?=[0-9])(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?=[+(])(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?|\(\d{2,4}\)[ .-]?)\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\w)",
-    "card": r"(?=[0-9])(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
+    "ip": rf"(?=[0-9])(?<![\w.]){_IP}",
+    "ssn": rf"(?=[0-9])(?<![\w-]){_SSN}",
+    "phone": rf"(?=[+(])(?<![\w+])(?:{_NORTH}|{_ABROAD})(?!\w)",
+    "card": rf"(?=[0-9])(?<![\w.-])(?=(?:\d[ -]?){{13}})\d++(?!\w|-\p{{L}})(?:[ -]{_OTHER}\d++(?!\w|-\p{{L}}))*+",
     "person": rf"(?=[{_TITLE_STARTS}])\b(?:{_MALE}|{_FEMALE}|{_NEUTRAL})\.? {_NAME}(?: {_NAME})?",
 }
 #: A look ahead at the first character lets most places of a text fail at once.
@@ -97,13 +111,50 @@ def _digits(raw: Column) -> Column:
     return F.regexp_replace(raw, "[^0-9]", "")
 
 
+def _is_card(raw: Column, pattern: str) -> Column:
+    shaped = raw.rlike(f"^(?:{pattern})$")
+    return shaped & (_luhn_sum(F.when(shaped, _digits(raw)).otherwise("0")) % 10 == 0)
+
+
+def pieces_of(raw: Column) -> Column:
+    """A mention cut into what can be one entity each and what lies between.
+
+    In a run of digit groups, cards in a usual grouping, SSNs and phones are looked for from every
+    group on; a run without any stays whole.
+    """
+    groups = F.regexp_extract_all(raw, F.lit(r"\d+[ -]?"), F.lit(0))
+    number = "|".join((KINDS["ssn"], KINDS["phone"]))
+
+    def length(i):
+        """How many groups the entity that begins at group ``i`` has; null if none does."""
+        joined = {n: F.regexp_replace(F.array_join(F.slice(groups, i, F.lit(n)), ""), "[ -]$", "") for n in range(1, 6)}
+        card = [F.when(_is_card(joined[n], c), n) for c, n in zip(_CARDS, _CARD_GROUPS, strict=True)]
+        return F.coalesce(*(F.when(joined[n].rlike(f"^(?:{number})$"), n) for n in range(1, 6)), *card)
+
+    def step(state, at):
+        inside = at["i"] < state["next"]
+        group = F.element_at(groups, at["i"])
+        end = F.regexp_extract(group, "[ -]?$", 0)
+        whole = F.array_join(F.slice(groups, at["i"], at["n"]), "")
+        tail = F.regexp_extract(whole, "[ -]?$", 0)
+        found = F.array(F.regexp_replace(whole, "[ -]$", ""), tail)
+        new = F.when(at["n"].isNotNull(), found).otherwise(F.array(F.regexp_replace(group, "[ -]$", ""), end))
+        return F.struct(
+            F.when(inside, state["next"]).otherwise(at["i"] + F.coalesce(at["n"], F.lit(1))).alias("next"),
+            F.when(inside, state["pieces"]).otherwise(F.concat(state["pieces"], new)).alias("pieces"),
+        )
+
+    lengths = F.transform(F.sequence(F.lit(1), F.size(groups)), lambda i: F.struct(i.alias("i"), length(i).alias("n")))
+    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<string>").alias("pieces"))
+    cut = F.when(F.exists(lengths, lambda x: x["n"].isNotNull()), F.aggregate(lengths, start, step)["pieces"])
+    return F.when(raw.rlike(r"^\d[\d -]*$"), F.coalesce(cut, F.array(raw))).otherwise(F.array(raw))
+
+
 def kind_of(raw: Column) -> Column:
     """The kind of an entity; null for a number that only looks like a card."""
     kind = None
     for name, pattern in KINDS.items():
-        test = raw.rlike(f"^(?:{pattern})$")
-        if name == "card":
-            test = test & (_luhn_sum(_digits(raw)) % 10 == 0)
+        test = _is_card(raw, r"\d(?:[ -]?\d){12,18}") if name == "card" else raw.rlike(f"^(?:{pattern})$")
         kind = F.when(test, name) if kind is None else kind.when(test, name)
     return kind
 
@@ -276,18 +327,22 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text", count: str |
     rows = docs.where(found).select(F.struct(*docs.columns).alias("row"), F.sha2(text, 256).alias("of"), salt.alias("salt"))
     texts = docs.where(found).select(F.sha2(text, 256).alias("of"), salt.alias("salt"), F.posexplode(mentions_of(F.col(text))).alias("at", "raw"))
     mentions = stored(texts.groupBy("of", "salt", "at").agg(F.first("raw").alias("raw")), "mentions")
-    kinds = mentions.select("raw").distinct().withColumn("kind", kind_of(F.col("raw"))).where("kind is not null")
-    kinds = stored(kinds.withColumn("value", canonical(F.col("kind"), F.col("raw"))), "kinds")
-    table = surrogate_table(kinds, key)
-    new = kinds.join(table, ["kind", "value"]).select("raw", written_as(F.col("kind"), F.col("raw"), F.col("surrogate")).alias("new"))
-    filled = mentions.join(new, "raw", "left")
+    pieces = mentions.select("raw").distinct().select("raw", F.posexplode(pieces_of(F.col("raw"))).alias("place", "piece"))
+    pieces = pieces.withColumn("kind", kind_of(F.col("piece"))).withColumn("value", canonical(F.col("kind"), F.col("piece")))
+    pieces = stored(pieces, "pieces")
+    table = surrogate_table(pieces.where("kind is not null"), key)
+    new = pieces.join(table, ["kind", "value"], "left").withColumn("new", written_as(F.col("kind"), F.col("piece"), F.col("surrogate")))
+    new = new.groupBy("raw").agg(
+        F.sort_array(F.collect_list(F.struct("place", F.coalesce("new", "piece").alias("new")))).alias("new"), F.count("new").alias("n")
+    )
+    filled = mentions.join(new.select("raw", F.array_join("new.new", "").alias("new"), "n"), "raw")
     filled = filled.groupBy("of", "salt").agg(
-        F.sort_array(F.collect_list(F.struct("at", F.coalesce("new", "raw").alias("new")))).alias("new"),
-        F.count("new").alias("replaced"),
+        F.sort_array(F.collect_list(F.struct("at", "new"))).alias("new"),
+        F.sum("n").alias("replaced"),
     )
-    # pieces between entities, and the entities' new forms, in turn
-    pieces = F.split(F.col(f"row.{text}"), PATTERN, -1)
-    joined = F.concat(F.element_at(pieces, 1), F.array_join(F.zip_with(F.col("new.new"), F.slice(pieces, F.lit(2), F.size(pieces)), lambda x, y: F.concat(x, y)), ""))
+    # what lies between mentions, and the mentions' new forms, in turn
+    between = F.split(F.col(f"row.{text}"), PATTERN, -1)
+    joined = F.concat(F.element_at(between, 1), F.array_join(F.zip_with(F.col("new.new"), F.slice(between, F.lit(2), F.size(between)), lambda x, y: F.concat(x, y)), ""))
     out = rows.join(filled, ["of", "salt"]).withColumn("joined", joined)
     columns = [F.col("joined").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     if count:
