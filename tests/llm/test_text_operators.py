@@ -364,3 +364,23 @@ def test_surrogates_of_adjacent_numbers(spark):
         assert not any(x in text for x in numbers), text
     assert len({got[i][0][:17] for i in range(3)}) == 1
     assert got[8][0][:19] == got[8][0][20:].replace("-", " ")
+
+
+def test_crowded_names_and_secrets_stay_distinct(spark, monkeypatch):
+    monkeypatch.setitem(surrogates._SYLLABLES, "greek", ["βα", "γα"])  # 16 surnames at first
+    letters = "αβγδεζηθ"
+    surnames = [f"Π{a}{b}ος" for a in letters for b in letters]
+    rows = [(i, f"{title} {given}{name}") for i, (title, given, name) in enumerate((t, g, n) for t in ("Κύριος", "Dr") for g in ("", "Ηρα ") for n in surnames)]
+    # a format of 100 values, half of them taken by the entities
+    rows += [(1000 + i, f"token=#####{i:02d}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in surrogates.replace_entities(docs, "k").collect()}
+    assert len(set(got.values())) == len(rows) and not set(got.values()) & {t for _, t in rows}
+    stems = collections.defaultdict(set)
+    for i, text in rows:
+        if i < 1000:
+            stems[text.split()[-1]].add(re.sub("(κης|κου)$", "", got[i].split()[-1]))
+    assert all(len(s) == 1 for s in stems.values()) and len(set.union(*stems.values())) == len(surnames)
+    full = spark.createDataFrame([(i, f"token=#####{i:02d}") for i in range(60)], "doc_id long, text string")
+    with pytest.raises(ValueError, match="free values"):
+        surrogates.replace_entities(full, "k")

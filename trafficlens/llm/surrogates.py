@@ -5,11 +5,13 @@ numbers, US social security numbers, secrets after names like ``password=``, clo
 persons named after a title. A surrogate is made from a keyed hash of the entity's canonical form
 and keeps its kind, length and format: digits stay digits, letters keep case and script, cards pass
 the Luhn check, titles (and with them gender) stay. One entity has one surrogate in all documents
-and in all ways it is written. Collision checks make the surrogates of different entities differ,
-and differ from every entity that was found.
+and in all ways it is written, and one surname has one with every title. Surrogates of different
+entities differ, and differ from every entity that was found. Where the format is crowded, private
+addresses move to 10.0.0.0/8, names and e-mail addresses grow, and numbers and secrets take the
+free values of their format by rank; a format without enough free values is an error.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -209,28 +211,44 @@ def _scrambled(value: Column, stream: Column, hexadecimal: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.length(value) - 1), one), "")
 
 
-def _person(value: Column, key: str, attempt: int) -> Column:
-    """Title, given name and surname of the title's gender and the name's script."""
+def _words_of(value: Column) -> Column:
+    """The names of a person: place, kind (surname or given name, of a script), word and ending."""
     words = F.split(value, " ")
-    title = F.element_at(words, 1)
+    title, last = F.element_at(words, 1), F.element_at(words, -1)
     gender = F.when(title.rlike(f"^(?:{_MALE})$"), "m").when(title.rlike(f"^(?:{_FEMALE})$"), "f").otherwise("n")
-    last = F.element_at(words, -1)
     script = F.when(last.rlike(r"\p{IsCyrillic}"), "cyrillic").when(last.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    # one surname has one surrogate, whatever given name or title comes with it
-    stream = _stream(key, F.lit("surname"), last, attempt, F.lit(32))
-    first = _stream(key, F.lit("given"), F.element_at(words, 2), attempt, F.lit(32))
-    surname, given = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for name, syllables in _SYLLABLES.items():
-        made = F.concat(*(F.element_at(F.lit(syllables), _byte(stream, F.lit(2 * k)) % len(syllables) + 1) for k in range(4)))
-        for g, ending in _ENDING[name].items():
-            here = (script == name) & (gender == g)
-            names = _GIVEN[name][g]
-            surname = F.when(here, F.concat(F.initcap(made), F.lit(ending))).otherwise(surname)
-            given = F.when(here, F.element_at(F.lit(names), _byte(first, F.lit(0)) % len(names) + 1)).otherwise(given)
-    return F.when(F.size(words) > 2, F.concat_ws(" ", title, given, surname)).otherwise(F.concat_ws(" ", title, surname))
-
-
-def surrogate(kind: Column, value: Column, key: str, attempt: int, stream: Column) -> Column:
+    ending = F.lit("")
+    for name, endings in _ENDING.items():
+        for g, of in endings.items():
+            ending = F.when((script == name) & (gender == g), of).otherwise(ending)
+    names = F.slice(words, F.lit(2), F.size(words) - 1)
+
+    def one(word, i):
+        final = i == F.size(words) - 2
+        kind = F.when(final, F.concat_ws(" ", F.lit("surname"), script)).otherwise(F.concat_ws(" ", F.lit("given"), script, gender))
+        return F.struct(i.alias("place"), kind.alias("kind"), word.alias("word"), F.when(final, ending).otherwise("").alias("ending"))
+
+    return F.transform(names, one)
+
+
+def _name(kind: Column, stream: Column, attempt: int) -> Column:
+    """A surname without its ending or a given name; later attempts draw from more."""
+    out = F.lit(None).cast("string")
+    for script, syllables in _SYLLABLES.items():
+
+        def made(n, of=syllables):
+            return F.concat(*(F.element_at(F.lit(of), _byte(stream, F.lit(2 * k + 2)) % len(of) + 1) for k in range(n)))
+
+        out = F.when(kind == f"surname {script}", F.initcap(made(4 + attempt // 2))).otherwise(out)
+        for gender, names in _GIVEN[script].items():
+            given = F.element_at(F.lit(names), _byte(stream, F.lit(0)) % len(names) + 1)
+            if attempt:
+                given = F.initcap(F.concat(made(2 + attempt // 2), F.lower(given)))
+            out = F.when(kind == f"given {script} {gender}", given).otherwise(out)
+    return out
+
+
+def surrogate(kind: Column, value: Column, attempt: int, stream: Column) -> Column:
     """The surrogate of a canonical form, canonical too; ``stream`` is its keyed hash."""
     plain = _scrambled(value, stream, (kind == "secret") & value.rlike("^[0-9a-f]+$"))
     body = F.concat(F.substring(value, 1, 1), F.substring(plain, F.lit(2), F.length(value) - 2))
@@ -242,17 +260,19 @@ def surrogate(kind: Column, value: Column, key: str, attempt: int, stream: Colum
     head = F.pmod(_byte(stream, F.lit(0)), F.lit(160)) + 11
     head = F.when(head >= 127, head + 1).otherwise(head)
     head = F.when(head.isin(169, 172), F.lit(11)).otherwise(head)
-    ip = F.when(private, F.concat_ws(".", F.element_at(octets, 1), F.element_at(octets, 2), new[2].cast("string"), new[3].cast("string")))
+    kept = [F.element_at(octets, 1), F.element_at(octets, 2)] if attempt < CROWDED else [F.lit("10"), new[1].cast("string")]
+    ip = F.when(private, F.concat_ws(".", *kept, new[2].cast("string"), new[3].cast("string")))
     ip = ip.otherwise(F.concat_ws(".", head.cast("string"), *(n.cast("string") for n in new[1:])))
     # the top-level domain stays, and so does the first digit of a number
     domain = F.regexp_extract(value, r"\.[a-z]+$", 0)
-    email = F.concat(F.substring(plain, F.lit(1), F.length(value) - F.length(domain)), domain)
+    more = [F.substring(F.lit(_ALPHABETS["[a-z]"]), _byte(stream, F.lit(2 * k + 1)) % 26 + 1, F.lit(1)) for k in range(attempt - CROWDED + 1)]
+    email = F.concat(*more, F.substring(plain, F.lit(1), F.length(value) - F.length(domain)), domain)
     return (
         F.when(kind == "card", F.concat(body, check.cast("string")))
         .when(kind == "ip", ip)
         .when(kind == "email", email)
         .when(kind == "access_key", F.concat(F.substring(value, 1, 4), F.substring(plain, F.lit(5), F.lit(16))))
-        .when(kind == "person", _person(value, key, attempt))
+        .when(kind.rlike("^(?:surname|given) "), _name(kind, stream, attempt))
         .when(kind == "phone", F.concat(F.substring(value, 1, 1), F.substring(plain, F.lit(2), F.length(value))))
         .otherwise(plain)
     )
@@ -274,45 +294,133 @@ def written_as(kind: Column, raw: Column, new: Column) -> Column:
     prefix = F.regexp_extract(raw, _SECRET_PREFIX, 0)
     return (
         F.when(kind.isin(*_DIGITS), F.array_join(F.transform(along, digit), ""))
-        .when(kind == "email", F.array_join(F.transform(along, cased), ""))
+        .when(kind == "email", F.array_join(F.transform(F.sequence(F.lit(1), F.length(new)), cased), ""))
         .when(kind == "secret", F.concat(prefix, new, F.regexp_extract(raw, "[\"']$", 0)))
         .when((kind == "person") & raw.rlike(r"^\S+\. "), F.regexp_replace(new, "^([^ .]+) ", "$1. "))
         .otherwise(new)
     )
 
 
-#: Rounds of new surrogates for those that collide. A format with fewer values than entities
-#: can't give all of them different ones; what is left after these rounds keeps its last one.
-ATTEMPTS = 12
+#: The round from which on private addresses and e-mail addresses get more room, and the rounds
+#: after which what is left of NUMBERED kinds takes free values by rank. Others go on growing.
+CROWDED, ATTEMPTS = 4, 12
+NUMBERED = ("ip", "ssn", "phone", "card", "secret", "access_key")
 
 
-def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, value, surrogate) of distinct entities (kind, value).
+def _format(kind: Column, value: Column) -> Column:
+    """What the surrogates of crowded entities have in common: entities of one format share its values."""
+    mask = value
+    for letters, alphabet in _ALPHABETS.items():
+        mask = F.regexp_replace(mask, letters, alphabet[0])
+    first = F.concat(F.substring(value, 1, 1), F.length(value).cast("string"))
+    private = value.rlike(r"^(?:10|127|172|192|169|0)\.")
+    return (
+        F.when(kind.isin("card", "phone"), first)
+        .when(kind == "ip", F.when(private, "private").otherwise("public"))
+        .when(kind == "access_key", F.concat(F.substring(value, 1, 4), mask))
+        .when(kind == "secret", F.when(value.rlike("^[0-9a-f]+$"), F.concat(F.lit("hex "), mask)).otherwise(F.concat(F.lit("any "), mask)))
+        .otherwise(mask)
+    )
+
 
-    A surrogate that another entity has, or that is itself an entity, is made anew.
+def _numbered(kind: Column, value: Column, n: Column) -> Column:
+    """The ``n``-th value (from 0) of the format of ``value``; begins anew after the last."""
+    octets = [F.pmod(F.floor(n / 254**k), F.lit(254)) + 1 for k in range(3)]
+    head = F.pmod(F.floor(n / 254**3), F.lit(160)) + 11
+    head = F.when(head >= 127, head + 1).otherwise(head)
+    head = F.when(head.isin(169, 172), F.lit(11)).otherwise(head)
+    head = F.when(_format(kind, value) == "private", F.lit(10)).otherwise(head)
+    ip = F.concat_ws(".", *(x.cast("string") for x in (head, *octets)))
+    kept = F.when(kind.isin("card", "phone"), 1).when(kind == "access_key", 4).otherwise(0)
+    hexadecimal = (kind == "secret") & value.rlike("^[0-9a-f]+$")
+    sets = [(c, F.lit(a)) for c, a in _ALPHABETS.items()]
+
+    def one(state, i):
+        c = F.substring(value, i, F.lit(1))
+        of = F.when(hexadecimal & c.rlike("[a-f]"), "abcdef")
+        for letters, alphabet in sets:
+            of = of.when(c.rlike(letters), alphabet)
+        of = F.when(i > kept, of).otherwise(F.lit(None))
+        of = F.coalesce(of, c)
+        new = F.substring(of, (state["n"] % F.length(of)).cast("int") + 1, F.lit(1))
+        return F.struct(F.floor(state["n"] / F.length(of)).alias("n"), F.concat(new, state["out"]).alias("out"))
+
+    length = F.length(value) - F.when(kind == "card", 1).otherwise(0)
+    start = F.struct(n.cast("long").alias("n"), F.lit("").alias("out"))
+    text = F.aggregate(F.sequence(length, F.lit(1), F.lit(-1)), start, one)["out"]
+    check = (10 - _luhn_sum(F.concat(text, F.lit("0"))) % 10) % 10
+    return F.when(kind == "ip", ip).when(kind == "card", F.concat(text, check.cast("string"))).otherwise(text)
+
+
+def _by_rank(left: DataFrame, taken: DataFrame, key: str) -> DataFrame:
+    """(kind, value, surrogate): free values of the format for what hashing has left open.
+
+    As many values as a format has entities and taken ones are made, so enough are free if any are.
     """
+    kind = F.col("kind")
+    left = left.withColumn("format", _format(kind, F.col("value")))
+    held = taken.where(kind.isin(*NUMBERED)).withColumn("format", _format(kind, F.col("surrogate")))
+    sizes = left.groupBy("kind", "format").agg(F.count("*").alias("n"), F.min("value").alias("value"))
+    used = held.groupBy("kind", "format").agg(F.count("*").alias("used"))
+    sizes = sizes.join(used, ["kind", "format"], "left")
+    last = F.col("n") + F.coalesce("used", F.lit(0)) - 1
+    made = sizes.select("kind", "format", "value", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("n"))
+    made = made.select("kind", "format", _numbered(kind, F.col("value"), F.col("n")).alias("surrogate")).distinct()
+    free = made.join(taken, ["kind", "surrogate"], "left_anti")
+    rank = lambda c: F.row_number().over(Window.partitionBy("kind", "format").orderBy(F.sha2(F.concat(F.lit(key), c), 256)))
+    both = left.withColumn("rank", rank(F.col("value"))).join(free.withColumn("rank", rank(F.col("surrogate"))), ["kind", "format", "rank"], "left")
+    both = stored(both, "ranked")
+    full = both.where("surrogate is null").groupBy("kind").count().collect()  # at most one row a kind
+    if full:
+        raise ValueError("more entities than free values of their format: " + ", ".join(f"{r['kind']} {r['count']}" for r in full))
+    return both.select("kind", "value", "surrogate")
+
+
+def _settled(entities: DataFrame, key: str) -> DataFrame:
+    """(kind, value, surrogate) of (kind, value): no surrogate twice, none that is an entity.
+
+    A surname is compared without its ending. Given names differ from each other and from what
+    they replace; that the person is another is told by the surname.
+    """
+    kind, value = F.col("kind"), F.col("value")
     open_ = stored(entities.select("kind", "value").distinct(), "entities")
-    real = open_.select("kind", F.col("value").alias("surrogate"))
-    done = None
-    for attempt in range(ATTEMPTS):
-        kind, value = F.col("kind"), F.col("value")
-        made = open_.withColumn("stream", _stream(key, kind, value, attempt, F.length(value) + 2))
-        made = made.withColumn("surrogate", surrogate(kind, value, key, attempt, F.col("stream"))).drop("stream")
-        made = stored(made, "made")
+    stems = [F.regexp_replace(value, f"{e}$", "") for e in sorted({e for of in _ENDING.values() for e in of.values()})]
+    forms = F.when(kind.startswith("surname "), F.array(value, *stems)).otherwise(F.array(value))
+    real = open_.where(~kind.startswith("given ")).select("kind", F.explode(forms).alias("surrogate")).distinct()
+    done, attempt = None, 0
+    while done is None or not open_.isEmpty():
         taken = real if done is None else real.union(done.select("kind", "surrogate"))
-        clash = made.join(taken.distinct(), ["kind", "surrogate"], "left_semi").select("kind", "value")
-        first = made.groupBy("kind", "surrogate").agg(F.min("value").alias("value"), F.count("*").alias("n"))
-        good = first.join(clash, ["kind", "value"], "left_anti")
-        if attempt == ATTEMPTS - 1:
-            good = made
+        if attempt >= ATTEMPTS:
+            left = stored(open_.where(kind.isin(*NUMBERED)), "left")
+            if not left.isEmpty():
+                done = done.union(_by_rank(left, taken.distinct(), key))
+                open_ = open_.where(~kind.isin(*NUMBERED))
+                taken = real.union(done.select("kind", "surrogate"))
+        made = open_.withColumn("stream", _stream(key, kind, value, attempt, F.length(value) + 2 * attempt + 32))
+        made = made.withColumn("surrogate", surrogate(kind, value, attempt, F.col("stream"))).drop("stream")
+        made = stored(made.where("surrogate <> value"), "made")
+        good = made.join(taken.distinct(), ["kind", "surrogate"], "left_anti").groupBy("kind", "surrogate").agg(F.min("value").alias("value"))
         good = stored(good.select("kind", "value", "surrogate"), "surrogates")
         done = good if done is None else done.union(good)
-        open_ = open_.join(good, ["kind", "value"], "left_anti")
-        if open_.isEmpty():
-            break
+        open_ = stored(open_.join(good, ["kind", "value"], "left_anti"), "open")
+        attempt += 1
     return done
 
 
+def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
+    """(kind, value, surrogate) of distinct entities (kind, value); persons by their names."""
+    entities = stored(entities.select("kind", "value").distinct(), "found")
+    people = entities.where("kind = 'person'")
+    names = stored(people.select(F.col("value").alias("person"), F.inline(_words_of(F.col("value")))), "names")
+    parts = names.select("kind", F.col("word").alias("value"))
+    table = _settled(entities.where("kind <> 'person'").union(parts), key)
+    of = names.join(table.withColumnRenamed("value", "word"), ["kind", "word"])
+    of = of.groupBy("person").agg(F.sort_array(F.collect_list(F.struct("place", F.concat("surrogate", "ending").alias("new")))).alias("names"))
+    title = F.substring_index("person", " ", 1)
+    made = of.select(F.lit("person").alias("kind"), F.col("person").alias("value"), F.concat_ws(" ", title, F.col("names.new")).alias("surrogate"))
+    return table.where(f"kind in ('email', {', '.join(repr(k) for k in NUMBERED)})").union(made)
+
+
 def replace_entities(docs: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
     """``docs`` with every entity of column ``text`` replaced; other columns as they were.
 
