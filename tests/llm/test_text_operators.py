@@ -384,3 +384,20 @@ def test_crowded_names_and_secrets_stay_distinct(spark, monkeypatch):
     full = spark.createDataFrame([(i, f"token=#####{i:02d}") for i in range(60)], "doc_id long, text string")
     with pytest.raises(ValueError, match="free values"):
         surrogates.replace_entities(full, "k")
+
+
+def test_surrogates_of_national_phones_and_long_names(spark):
+    rows = [
+        "call 415-555-0132 or 555.123.4567 or 415 555 0132 or 1-800-555-0199 or +1 (415) 555-0132.",
+        "ring 020 7946 0958 now, 2024-01-05, 3.14.15, 100 200 3000",
+        "Dr. J. Smith and Mr John Ronald Smith and Herr von Braun",
+    ]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n"]) for r in surrogates.replace_entities(docs, "secret", count="n").collect()}
+    text, n = got[0]
+    a, b, c, d, e = re.fullmatch(r"call (\d{3}-\d{3}-\d{4}) or (\d{3}\.\d{3}\.\d{4}) or (\d{3} \d{3} \d{4}) or (1-\d{3}-\d{3}-\d{4}) or \+1 (.*)\.", text).groups()
+    assert n == 5 and a.replace("-", " ") == c == re.sub("[()]", "", e).replace("-", " ") and c != "415 555 0132"
+    assert b != "555.123.4567" and d != "1-800-555-0199"
+    assert re.fullmatch(r"ring 0\d\d \d{4} \d{4} now, 2024-01-05, 3.14.15, 100 200 3000", got[1][0]) and got[1][1] == 1 and "7946" not in got[1][0]
+    assert not re.search("J\\.|John|Ronald|Smith|Braun", got[2][0]) and got[2][1] == 3
+    assert re.fullmatch(r"Dr\. [A-Z]\. (\w+) and Mr \w+ \w+ \1 and Herr von \w+", got[2][0])

@@ -2,7 +2,7 @@
 
 Found: e-mail addresses, IPv4 addresses, payment card numbers that pass the Luhn check, telephone
 numbers, US social security numbers, secrets after names like ``password=``, cloud access keys, and
-persons named after a title. A surrogate is made from a keyed hash of the entity's canonical form
+persons named after a title, with initials and up to five names. A surrogate is made from a keyed hash of the entity's canonical form
 and keeps its kind, length and format: digits stay digits, letters keep case and script, cards pass
 the Luhn check, titles (and with them gender) stay. One entity has one surrogate in all documents
 and in all ways it is written, and one surname has one with every title. Surrogates of different
@@ -11,6 +11,8 @@ addresses move to 10.0.0.0/8, names and e-mail addresses grow, and numbers and s
 free values of their format by rank; a format without enough free values is an error.
 """
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ _FEMALE = "Mrs|Ms|Frau|Madame|Mme|Mademoiselle|Señora|Señorita|Sra|Госпо
 _NEUTRAL = "Dr|Prof"
 _TITLE_STARTS = "".join(sorted({t[0] for t in f"{_MALE}|{_FEMALE}|{_NEUTRAL}".split("|")}))
 _NAME = r"\p{Lu}[\p{L}\p{M}'’-]{1,40}"
+_INITIALS = r"(?:\p{Lu}\.){1,3}"
+_PARTICLE = "(?:von|van|der|den|ten|zu|de|del|della|di|da|dos|du|la|le|bin|al)"
 _SECRET_NAME = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|client[_-]?secret)"
 
 _IP = r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"
@@ -35,6 +39,11 @@ _GROUP = rf"(?:[ .-]?{_NO_GROUP}\d{{2,4}})"
 #: North American numbers have ten digits after +1; of others the groups tell the end.
 _NORTH = r"(?:\+1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\+1[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}"
 _ABROAD = rf"(?:\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?|\(\d{{2,4}}\)[ .-]?)\d{{2,4}}{_GROUP}{{1,3}}"
+#: Without +: 3-3-4, or a leading 0. Three groups with blanks between must look like an area and exchange.
+_NATIONAL = (
+    r"(?<![\w.+-])(?:(?:1[ .-])?(?:\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|[2-9]\d{2} [2-9]\d{2}[ -]\d{4})|1[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}"
+    r"|0\d{2,4}[ -]\d{3,4}[ -]?\d{3,4}(?! \d{4}(?!\d)))(?![.-]\d)"
+)
 
 #: kind -> pattern; of two that begin at one place the first wins. "card" finds whole runs of digit
 #: groups, which pieces_of takes apart.
@@ -44,9 +53,9 @@ KINDS = {
     "email": r"(?=[A-Za-z0-9])\b[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}\b",
     "ip": rf"(?=[0-9])(?<![\w.]){_IP}",
     "ssn": rf"(?=[0-9])(?<![\w-]){_SSN}",
-    "phone": rf"(?=[+(])(?<![\w+])(?:{_NORTH}|{_ABROAD})(?!\w)",
+    "phone": rf"(?=[+(0-9])(?<![\w+])(?:{_NORTH}|{_ABROAD}|{_NATIONAL})(?!\w)",
     "card": rf"(?=[0-9])(?<![\w.-])(?=(?:\d[ -]?){{13}})\d++(?!\w|-\p{{L}})(?:[ -]{_OTHER}\d++(?!\w|-\p{{L}}))*+",
-    "person": rf"(?=[{_TITLE_STARTS}])\b(?:{_MALE}|{_FEMALE}|{_NEUTRAL})\.? {_NAME}(?: {_NAME})?",
+    "person": rf"(?=[{_TITLE_STARTS}])\b(?:{_MALE}|{_FEMALE}|{_NEUTRAL})\.? (?:(?:{_NAME}|{_INITIALS}|{_PARTICLE}) ){{0,4}}{_NAME}",
 }
 #: A look ahead at the first character lets most places of a text fail at once.
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
@@ -164,8 +173,11 @@ def kind_of(raw: Column) -> Column:
 def canonical(kind: Column, raw: Column) -> Column:
     """The form in which two ways of writing one entity agree."""
     value = F.regexp_replace(F.regexp_replace(raw, _SECRET_PREFIX, ""), "[\"']$", "")
+    # ten digits are those after +1
+    north = (kind == "phone") & raw.rlike(r"^\(?[1-9]\d{2}\)?[ .-]?\d{3}[ .-]?\d{4}$")
     return (
-        F.when(kind.isin(*_DIGITS), _digits(raw))
+        F.when(north, F.concat(F.lit("1"), _digits(raw)))
+        .when(kind.isin(*_DIGITS), _digits(raw))
         .when(kind == "email", F.lower(raw))
         .when(kind == "secret", value)
         .when(kind == "person", F.regexp_replace(raw, r"^(\S+?)\.? ", "$1 "))
@@ -225,12 +237,21 @@ def _words_of(value: Column) -> Column:
 
     def one(word, i):
         final = i == F.size(words) - 2
-        kind = F.when(final, F.concat_ws(" ", F.lit("surname"), script)).otherwise(F.concat_ws(" ", F.lit("given"), script, gender))
+        kind = F.when(final, F.concat_ws(" ", F.lit("surname"), script)).when(word.rlike(f"^{_INITIALS}$"), "initials")
+        kind = kind.when(word.rlike(f"^{_PARTICLE}$"), "particle").otherwise(F.concat_ws(" ", F.lit("given"), script, gender))
         return F.struct(i.alias("place"), kind.alias("kind"), word.alias("word"), F.when(final, ending).otherwise("").alias("ending"))
 
     return F.transform(names, one)
 
 
+def _turned(initials: Column, key: str) -> Column:
+    """Other initials: each alphabet is turned by a keyed number of letters."""
+    sets = [a for a in _ALPHABETS.values() if a.isupper()]
+    turn = int.from_bytes(hashlib.sha256(f"{key}\0initials".encode()).digest())
+    turned = [a[k:] + a[:k] for a in sets for k in [1 + turn % (len(a) - 1)]]
+    return F.translate(initials, "".join(sets), "".join(turned))
+
+
 def _name(kind: Column, stream: Column, attempt: int) -> Column:
     """A surname without its ending or a given name; later attempts draw from more."""
     out = F.lit(None).cast("string")
@@ -284,6 +305,7 @@ def written_as(kind: Column, raw: Column, new: Column) -> Column:
     def digit(i):
         c = F.substring(raw, i, F.lit(1))
         at = F.length(_digits(F.substring(raw, F.lit(1), i)))
+        at = at + F.length(new) - F.length(_digits(raw))
         return F.when(c.rlike("[0-9]"), F.substring(new, at, F.lit(1))).otherwise(c)
 
     def cased(i):
@@ -413,7 +435,10 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
     people = entities.where("kind = 'person'")
     names = stored(people.select(F.col("value").alias("person"), F.inline(_words_of(F.col("value")))), "names")
     parts = names.select("kind", F.col("word").alias("value"))
-    table = _settled(entities.where("kind <> 'person'").union(parts), key)
+    small = F.col("kind").isin("initials", "particle")
+    table = _settled(entities.where("kind <> 'person'").union(parts.where(~small)), key)
+    kept = F.when(F.col("kind") == "initials", _turned(F.col("value"), key)).otherwise(F.col("value"))
+    table = table.union(parts.where(small).distinct().withColumn("surrogate", kept))
     of = names.join(table.withColumnRenamed("value", "word"), ["kind", "word"])
     of = of.groupBy("person").agg(F.sort_array(F.collect_list(F.struct("place", F.concat("surrogate", "ending").alias("new")))).alias("names"))
     title = F.substring_index("person", " ", 1)
