@@ -2,15 +2,19 @@
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .chunk_bpe import encoded_documents
 from .content_archive import parsed_records, read_archive, write_archive
+from .hard_negatives import hard_negatives
 from .interpolated_lm import document_scores
 from .kd_search import top_inner_products
 from .packing import packed_sequences
+from .piece_spans import digests, encoded_spans
 from .quality_rank import quality_scores
 from .shingle_join import similar_documents
 from .surrogates import replace_entities
+from .token_alignment import aligned_documents
 from .url_filter import Rule, judged_urls
 from .vector_links import linked_vectors
 
@@ -194,3 +198,47 @@ def op9_surrogates(spark, sf_dir):
 def op10_chunk_bpe(spark, sf_dir):
     """Digests of the ids of all documents, and of the texts decoded from them."""
     return encoded_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query(
+    "op11_hard_negatives",
+    oracle="""
+    WITH v AS (
+        SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x
+        FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+            AND list_bool_and(list_transform(embedding, lambda c: c IS NOT NULL AND isfinite(c)))),
+    s AS (
+        SELECT a.vec_id AS anchor_id, a.label = v.label AS alike, v.vec_id,
+            list_sum(list_transform(list_zip(a.x, v.x), lambda z: z[1] * z[2]))::BIGINT AS score
+        FROM v a JOIN v ON a.vec_id <> v.vec_id WHERE a.vec_id % 100 = 0),
+    p AS (
+        SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT p.anchor_id, positive_id,
+        (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+        vec_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT alike
+        AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    QUALIFY rank <= 10
+    """,
+)
+def op11_hard_negatives(spark, sf_dir):
+    """Hard negatives of every 100th embedding; every seventh has its label moved on by one."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved))
+
+
+@_query("op12_token_alignment")
+def op12_token_alignment(spark, sf_dir):
+    """How the tokens of two vocabularies overlap in all documents; groups as digests."""
+    docs = _table(spark, sf_dir, "documents")
+    paths = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+    return aligned_documents(docs, *paths, digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
+@_query("op13_piece_spans")
+def op13_piece_spans(spark, sf_dir):
+    """Digests of the piece ids of all documents, of their source spans and of the decoded texts."""
+    return digests(encoded_spans(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
