@@ -79,20 +79,6 @@ def test_stream_decides_like_the_replay(spark, small, tmp_path):
     assert len(live) == 600 and live == key(L.replay(stored, network))
 
 
-def test_closed_sessions_score_like_the_batch(spark, small, tmp_path):
-    stored = split_files(spark, small, str(tmp_path / "r"))
-    network = S.load_network()
-    stream = L.stream_request_table(spark, str(tmp_path / "r"), stored.schema)
-    query = L.score_closed_sessions(
-        stream, stored, network, str(tmp_path / "out"), str(tmp_path / "cp"),
-        timeout_s=300, trigger={"availableNow": True},
-    )
-    query.awaitTermination()
-    key = lambda df: {(r.ip, r.start_us, r.requests, r.rule_code, round(r.score, 9)) for r in df.collect()}
-    closed = key(spark.read.parquet(str(tmp_path / "out")))
-    assert closed and closed <= key(scan_sessions(stored, network, timeout_s=300))
-
-
 def test_control_falls_back_to_the_configured_threshold(spark, tmp_path):
     assert L.current_config(spark, str(tmp_path / "none")) == (0.85, [])
     path = tmp_path / "c.json"

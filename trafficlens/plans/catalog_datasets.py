@@ -427,29 +427,37 @@ datasets.query("forest_baseline", None, "F11")(_baseline("forest"))
 
 # --- live replay -----------------------------------------------------------------------------
 
-REPLAY_SQL = """
-SELECT r.line_no, count(*) AS requests, count(DISTINCT h.path) AS paths,
-  round((max(h.ts_us) - min(h.ts_us)) / 1e6, 6) AS duration,
-  max(r.session_pos) AS session_pos
-FROM ses r JOIN ses h ON h.ip = r.ip AND h.session_no = r.session_no
-  AND h.session_pos <= r.session_pos AND h.session_pos > r.session_pos - 40
-GROUP BY r.line_no"""
+HISTORY_COLUMNS = "requests, paths, top_endpoint, top_hits, clicks, last_60s, last_300s, min_gap_us, max_gap_us"
+#: Without the mean gap: it is a quotient of two others, and often a tie in rounding.
+COMPARED_FEATURES = [f for f in FEATURES if f != "time_since_last_request"]
 
 
-@datasets.query("retained_histories", B.over_sessions(REPLAY_SQL), "C11 C12")
+@datasets.query(
+    "retained_histories",
+    B.over_retained(
+        f"""SELECT session_no AS line_no, {HISTORY_COLUMNS},
+        {", ".join(f"round({f}, 6) AS {f}" for f in COMPARED_FEATURES)} FROM feats""",
+        200,
+        86_400,
+    ),
+    "C11 C12",
+)
 def _(spark, sf):
-    rows = replay(requests_of(spark, sf), S.load_network(), keep=40)
-    return rounded(
-        rows.select("line_no", "requests", "paths", "duration", "session_pos"), "duration"
-    )
+    """Sessions of a day, so that many histories are full and let go of their oldest requests."""
+    rows = replay(requests_of(spark, sf), S.load_network(), timeout_s=86_400)
+    kept = rows.select("line_no", *HISTORY_COLUMNS.split(", "), *COMPARED_FEATURES)
+    return rounded(kept, *COMPARED_FEATURES)
+
 
+DECISION_COLUMNS = [
+    "ip", "line_no", "requests", "rule_code", "heuristic_label", "model_score", "score", "label", "blocked",
+]
 
-@datasets.query("live_decisions", None, "S2 C11 batch replay")
+
+@datasets.query("live_decisions", B.over_retained("SELECT * FROM decided", 200, 1800, B.LIVE), "S2 C11 batch replay")
 def _(spark, sf):
-    return replay(requests_of(spark, sf), S.load_network()).select(
-        "ip", "line_no", "requests", "rule_code", "heuristic_label", "model_score", "score", "label",
-        "blocked",
-    )
+    rows = replay(requests_of(spark, sf), S.load_network()).select(DECISION_COLUMNS)
+    return rounded(rows, "model_score", "score")
 
 
 # --- responses --------------------------------------------------------------------------------

@@ -9,6 +9,8 @@ from ..sources.adapters import events_to_requests
 from ..streaming import live as L
 from ..streaming.run import drain, drain_counters
 from . import oracle_base as B
+from .catalog_datasets import COMPARED_FEATURES, DECISION_COLUMNS
+from .catalog_signals import bind_query
 from .registry import Registry, rounded
 
 streaming = Registry()
@@ -34,13 +36,37 @@ def _(spark, sf):
     return drain(L.closed_sessions(request_stream(spark, sf)))
 
 
-@streaming.query("stream_decisions", None, "S2 S9")
+@streaming.query(
+    "stream_decisions", B.over_retained("SELECT * FROM decided", 200, 1800, B.LIVE), "S2 C11"
+)
 def _(spark, sf):
-    rows = L.score_stream(request_stream(spark, sf), S.load_network()).select(
-        "ip", "line_no", "requests", "rule_code", "heuristic_label", "model_score", "score", "label",
-        "blocked",
+    rows = L.score_stream(request_stream(spark, sf), S.load_network()).select(DECISION_COLUMNS)
+    return rounded(drain(rows), "model_score", "score")
+
+
+#: What the watermark has passed once all events are read, in microseconds.
+PASSED_US = "((SELECT max(ts_us) FROM req) // 1000 - 600000) * 1000"
+
+
+@streaming.query(
+    "stream_session_scores",
+    B.with_ctes(
+        f"""SELECT ip || '#' || start_us AS session_id, ip, start_us, end_us, requests, user_agent, top_endpoint,
+        {", ".join(f"round({f}, 6) AS {f}" for f in COMPARED_FEATURES)}, rule_code,
+        round(model_score, 6) AS model_score, round(score, 6) AS score,
+        CASE WHEN score >= 0.7 THEN 'bot' ELSE 'human' END AS label
+        FROM tailed WHERE end_us + 300000000 <= {PASSED_US}""",
+        B.REQ, B.sessions_cte(timeout_s=300), B.FLAG, B.CHAR_ENTROPY, B.INPUTS, B.FEATS, B.TAILED,
+    ),
+    "S3 C3",
+)
+def _(spark, sf):
+    """Sessions of five minutes scored when they end, from what the stream has kept of them."""
+    rows = L.score_sessions(request_stream(spark, sf), S.load_network()).select(
+        "session_id", "ip", "start_us", "end_us", "requests", "user_agent", "top_endpoint", *COMPARED_FEATURES,
+        "rule_code", "model_score", "score", "label",
     )
-    return drain(rows)
+    return rounded(drain(rows), *COMPARED_FEATURES, "model_score", "score")
 
 
 def decision_stream(spark, sf):
@@ -111,3 +137,37 @@ def _(spark, sf):
     return drain(L.bind_stream(subs)).select("seq", "outcome")
 
 
+
+
+_SEEN_US = "((SELECT greatest((SELECT max(ts_us) FROM req), (SELECT max(ts_us) FROM subs))) // 1000 - 600000) * 1000"
+
+
+def outcome_stream(spark, sf):
+    requests = request_stream(spark, sf)
+    subs = D.submissions_of(request_stream(spark, sf)).withColumn("ts", F.timestamp_micros("ts_us"))
+    return L.submission_outcomes(subs, requests)
+
+
+@streaming.query(
+    "stream_submission_outcomes",
+    bind_query(
+        f"""SELECT ip, hash, ts_us, seq, outcome FROM (
+          SELECT ip, hash, ts_us, seq, outcome FROM walk
+          UNION ALL SELECT ip, hash, ts_us, seq, reject FROM checked WHERE reject IS NOT NULL)
+        WHERE ts_us <= {_SEEN_US}"""
+    ),
+    "S6 C14",
+)
+def _(spark, sf):
+    """Requests and submissions as one stream: binding, refusals and their reasons."""
+    return drain(outcome_stream(spark, sf)).select("ip", "hash", "ts_us", "seq", "outcome")
+
+
+@streaming.query(
+    "stream_shared_counts",
+    bind_query(f"SELECT ip, hash, ts_us, seq, shared_ips FROM shared WHERE ts_us <= {_SEEN_US}"),
+    "S6 C13",
+)
+def _(spark, sf):
+    """How many addresses share a fingerprint, counted behind the binding while the stream runs."""
+    return drain(L.shared_counts(outcome_stream(spark, sf)))

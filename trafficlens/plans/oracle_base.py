@@ -292,6 +292,26 @@ def risk_sql(score="score") -> str:
     )
 
 
+def retained(keep: int) -> str:
+    """``flag`` where every request is a session of its own: the last ``keep`` up to itself."""
+    return f"""
+{FLAG.replace("flag AS", "flag0 AS")},
+flag AS (
+  SELECT h.* EXCLUDE (session_no, gap_us), r.line_no AS session_no,
+    CASE WHEN h.session_pos > r.session_pos - {keep - 1} THEN h.gap_us END AS gap_us
+  FROM flag0 r JOIN flag0 h ON h.ip = r.ip AND h.session_no = r.session_no
+    AND h.session_pos <= r.session_pos AND h.session_pos > r.session_pos - {keep})"""
+
+
+# The live path takes the agent of the last request; it spares integrations and blocks above 0.85.
+LIVE_INPUTS = INPUTS.replace("arg_min(user_agent, session_pos)", "arg_max(user_agent, session_pos)")
+
+
+def over_retained(select: str, keep: int, timeout_s=1800, *ctes: str) -> str:
+    sessions = sessions_cte(timeout_s=timeout_s)
+    return with_ctes(select, REQ, sessions, retained(keep), CHAR_ENTROPY, LIVE_INPUTS, FEATS, *ctes)
+
+
 SCORED = f"""
 {LABELLED},
 modelled AS (
@@ -306,6 +326,27 @@ scored AS (
   FROM blended)"""
 
 
+LIVE = f"""
+{LABELLED},
+modelled AS (
+  SELECT *, CASE WHEN heuristic_label = 'automated-integration' THEN 0
+    ELSE {network_sql()} END AS model_score FROM labelled),
+blended AS (
+  SELECT *, CASE WHEN heuristic_label = 'automated-integration' THEN 0
+    ELSE {blend_sql()} END AS score FROM modelled),
+live AS (
+  SELECT ip, session_no AS line_no, requests, rule_code, heuristic_label, round(model_score, 6) AS model_score,
+    round(score, 6) AS score, CASE WHEN heuristic_label <> 'automated-integration' AND score > 0.85
+      THEN 'bot' ELSE 'human' END AS label FROM blended),
+decided AS (SELECT *, label = 'bot' AS blocked FROM live)"""
+
+# Tailing knows no label of its own for integrations.
+TAILED = f"""
+{LABELLED},
+modelled AS (SELECT *, {network_sql()} AS model_score FROM labelled),
+tailed AS (SELECT *, {blend_sql()} AS score FROM modelled)"""
+
+
 def with_ctes(select: str, *ctes: str) -> str:
     return "WITH " + ",".join(ctes) + "\n" + select
 

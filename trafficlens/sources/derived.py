@@ -213,30 +213,29 @@ def abuse_cache(spark, sf_dir) -> DataFrame:
     )
 
 
-def submissions(spark, sf_dir) -> DataFrame:
-    """(ip, hash, ts_us, seq): a fingerprint after every third request; some are bad."""
+def submissions_of(requests: DataFrame) -> DataFrame:
+    """(ip, hash, ts_us, seq): a fingerprint after every request; some are bad."""
     uid, eid = F.col("user_id"), F.col("line_no")
     good = F.sha2((uid % 10 + F.when(eid % 11 == 0, 50).otherwise(0)).cast("string"), 256)
-    return (
-        requests_of(spark, sf_dir)
-        .filter(eid % 3 == 0)
-        .select(
-            "ip",
-            F.when(eid % 13 == 0, "not-a-hash").otherwise(good).alias("hash"),
-            (F.col("ts_us") + F.when(eid % 7 == 0, F.lit(1_900_000_000)).otherwise(F.lit(500_000))).alias(
-                "ts_us"
-            ),
-            eid.alias("seq"),
-        )
+    late = F.when(eid % 7 == 0, F.lit(1_900_000_000)).otherwise(F.lit(500_000))
+    return requests.select(
+        "ip",
+        F.when(eid % 13 == 0, "not-a-hash").otherwise(good).alias("hash"),
+        (F.col("ts_us") + late).alias("ts_us"),
+        eid.alias("seq"),
     )
 
 
+def submissions(spark, sf_dir) -> DataFrame:
+    return submissions_of(requests_of(spark, sf_dir))
+
+
 SUBMISSIONS_SQL = """
 subs AS (
   SELECT ip, CASE WHEN line_no % 13 = 0 THEN 'not-a-hash' ELSE sha256(CAST(user_id % 10 +
       CASE WHEN line_no % 11 = 0 THEN 50 ELSE 0 END AS VARCHAR)) END AS hash,
     ts_us + CASE WHEN line_no % 7 = 0 THEN 1900000000 ELSE 500000 END AS ts_us, line_no AS seq
-  FROM req WHERE line_no % 3 = 0)"""
+  FROM req)"""
 
 
 def feature_rows(spark, sf_dir) -> DataFrame:

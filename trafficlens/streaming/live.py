@@ -1,7 +1,8 @@
 """Structured Streaming forms of the operators.
 
-State is bounded per key: at most the retained requests of a client, or one claim.
-Features, rules and scores stay column expressions; Python only keeps the state.
+What a key needs to keep is in ``state``: the retained requests of a client, the totals of an open
+session, a claim, the addresses of a fingerprint. Facts about a request come before, features, rules
+and scores after the state, as column expressions.
 """
 
 import pandas as pd
@@ -11,14 +12,17 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import patterns as P
 from ..functions import scoring as S
-from ..operators.features import history_inputs, history_item, with_features
+from ..functions import text as X
+from ..operators.features import with_features
+from ..operators.retained import completed, item_columns, retained_inputs
 from ..operators.rules import with_verdict
-from ..operators.sessions import retained_history, slice_of, with_clock
+from ..operators.sessions import with_clock
 from ..operators.signals import enrich
-from ..plans.scan import scan_sessions, with_score
-from ..schema import REQUEST
+from ..plans.scan import with_score
+from ..schema import REQUEST, SOURCE_ORDER
 from ..sources.archive import archive_rows
 from ..sources.logs import parse_nginx
+from .state import HISTORY_OUT, Claims, History, Sessions, Sharing
 
 US = 1_000_000
 
@@ -53,81 +57,22 @@ def stream_request_table(spark: SparkSession, path: str, schema=REQUEST, files_p
 
 # --- one decision per request ---------------------------------------------------------------
 
-_BATCH = "ip string, prior array<string>, fresh array<string>"
-CHUNK = 500
 
-
-def keep_history(keep: int, timeout_s: int):
-    """State per client: the payloads of its last ``keep`` requests and the last time.
-
-    Emits, per chunk of new requests, the retained ones and the new ones; a pause longer
-    than the timeout forgets the retained ones.  No feature is computed here.
-    """
-
-    def update(key, frames, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last_us, retained = state.get if state.exists else (None, [])
-        retained = list(retained)
-        rows = pd.concat(list(frames)).sort_values(["ts_us", "request_id_no"], kind="stable")
-        prior, fresh = list(retained), []
-        for ts_us, payload in zip(rows["ts_us"], rows["payload"]):
-            expired = last_us is not None and ts_us - last_us > timeout_s * US
-            if expired or len(fresh) == CHUNK:
-                if fresh:
-                    yield pd.DataFrame({"ip": [key[0]], "prior": [prior], "fresh": [fresh]})
-                retained = [] if expired else retained
-                prior, fresh = list(retained), []
-            fresh.append(payload)
-            retained = [*retained, payload][-keep:]
-            last_us = int(ts_us)
-        yield pd.DataFrame({"ip": [key[0]], "prior": [prior], "fresh": [fresh]})
-        state.update((last_us, retained))
-        # Forgotten once no request in time can still continue the session.
-        ends_ms = last_us // 1000 + timeout_s * 1000 + 1
-        state.setTimeoutTimestamp(max(ends_ms, state.getCurrentWatermarkMs() + 1))
-
-    return update
-
-
-def request_histories(requests: DataFrame, keep=P.RETAINED_REQUESTS, timeout_s=P.SESSION_TIMEOUT_S,
-                      lateness="10 minutes") -> DataFrame:
-    """Streaming: every request with the retained history up to and including itself."""
-    rows = with_clock(requests)
-    item = F.struct(F.col("line_no").alias("line_no"), *history_item())
-    schema = rows.select(item.alias("p")).schema["p"].dataType
-    keyed = rows.withWatermark("ts", lateness).select(
-        "ip", "ts", "ts_us", F.col("line_no").alias("request_id_no"), F.to_json(item).alias("payload")
-    )
-    chunks = keyed.groupBy("ip").applyInPandasWithState(
-        keep_history(keep, timeout_s),
-        _BATCH,
-        "last_us long, retained array<string>",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
-    parse = lambda c: F.transform(c, lambda t: F.from_json(t, schema))
-    joined = chunks.select(
-        "ip",
-        F.size("prior").alias("known"),
-        F.concat(parse("prior"), parse("fresh")).alias("items"),
-    ).select("ip", "known", "items", F.posexplode("items").alias("at", "current"))
-    return joined.filter(F.col("at") >= F.col("known")).select(
-        "ip",
-        F.col("current.line_no").alias("line_no"),
-        F.slice(
-            "items",
-            F.greatest(F.col("at") - (keep - 2), F.lit(1)),
-            F.least(F.col("at") + 1, F.lit(keep)),
-        ).alias("history"),
+def request_inputs(requests: DataFrame, keep=P.RETAINED_REQUESTS, timeout_s=P.SESSION_TIMEOUT_S,
+                   lateness="10 minutes") -> DataFrame:
+    """Streaming: every request with the inputs of its client's last ``keep`` ones."""
+    rows = with_clock(requests).withWatermark("ts", lateness)
+    items = rows.select("ip", "ts", *SOURCE_ORDER, *item_columns())
+    found = items.groupBy("ip").transformWithStateInPandas(
+        History(keep, timeout_s), HISTORY_OUT, "append", "EventTime"
     )
+    return completed(found)
 
 
-def decide(histories: DataFrame, network, threshold=P.BLOCK_THRESHOLD, signals=None, promoted=None) -> DataFrame:
-    """Decisions from histories, batch or stream: rules, model, blend; strictly above the
+def decide(inputs: DataFrame, network, threshold=P.BLOCK_THRESHOLD, signals=None, promoted=None) -> DataFrame:
+    """Decisions from inputs, batch or stream: rules, model, blend; strictly above the
     threshold is blocked; integrations are let through with score 0."""
-    inputs = with_features(history_inputs(histories, agent_from="last")).drop("history")
+    inputs = with_features(inputs)
     if signals is not None:
         inputs = enrich(inputs, signals, promoted)
     verdict = with_verdict(inputs, signals=signals is not None)
@@ -136,18 +81,14 @@ def decide(histories: DataFrame, network, threshold=P.BLOCK_THRESHOLD, signals=N
     )
 
 
-def score_stream(requests: DataFrame, network, **options) -> DataFrame:
+def score_stream(requests: DataFrame, network, keep=P.RETAINED_REQUESTS, **options) -> DataFrame:
     """One decision per request of a stream."""
-    return decide(request_histories(requests), network, **options)
+    return decide(request_inputs(requests, keep), network, **options)
 
 
-def replay(requests: DataFrame, network, keep=P.RETAINED_REQUESTS, **options) -> DataFrame:
+def replay(requests: DataFrame, network, keep=P.RETAINED_REQUESTS, timeout_s=P.SESSION_TIMEOUT_S, **options) -> DataFrame:
     """The same decisions over a stored request table."""
-    items = [F.col("line_no").alias("line_no"), *history_item()]
-    histories = retained_history(requests, items, keep=keep).withColumn(
-        "line_no", F.element_at("history", F.lit(-1))["line_no"]
-    )
-    return decide(histories, network, **options)
+    return decide(retained_inputs(requests, keep, timeout_s=timeout_s), network, **options)
 
 
 # --- sessions that have ended ------------------------------------------------------------------
@@ -171,50 +112,25 @@ def closed_sessions(requests: DataFrame, timeout_s=P.SESSION_TIMEOUT_S, lateness
     )
 
 
-def requests_of_sessions(stored: DataFrame, closed: DataFrame) -> DataFrame:
-    """Stored requests of the closed sessions.
+def session_totals(requests: DataFrame, timeout_s=P.TAIL_TIMEOUT_S, lateness="10 minutes") -> DataFrame:
+    """Streaming: inputs of every session the watermark has passed.
 
-    Each session names the slices it covers, so the join is an equality on (ip, slice)
-    followed by a check of the exact bounds.
+    An open session is kept as totals, so closing it reads nothing again.
     """
-    length = 3600
-    spans = closed.select(
-        "ip",
-        "start_us",
-        "end_us",
-        F.explode(
-            F.sequence(slice_of(F.col("start_us"), length), slice_of(F.col("end_us"), length))
-        ).alias("slice"),
-    )
-    return (
-        with_clock(stored)
-        .withColumn("slice", slice_of(F.col("ts_us"), length))
-        .join(spans, ["ip", "slice"])
-        .filter(F.col("ts_us").between(F.col("start_us"), F.col("end_us")))
-        .drop("slice", "start_us", "end_us")
-    )
+    rows = with_clock(requests).withWatermark("ts", lateness)
+    items = rows.select("ip", "ts", *SOURCE_ORDER, *item_columns())
+    return completed(items.groupBy("ip").transformWithStateInPandas(Sessions(timeout_s), Sessions.OUT, "append", "EventTime"))
 
 
-def score_closed_sessions(requests: DataFrame, stored: DataFrame, network, out: str, checkpoint: str,
-                          timeout_s=P.TAIL_TIMEOUT_S, threshold=P.SCAN_THRESHOLD,
-                          lateness="10 minutes", trigger=None):
-    """Score every session once it has ended; returns the running query.
+def score_sessions(requests: DataFrame, network, timeout_s=P.TAIL_TIMEOUT_S, threshold=P.SCAN_THRESHOLD,
+                   lateness="10 minutes") -> DataFrame:
+    """Streaming: every session once it has ended, with features, verdict, score and label.
 
-    The stream finds ended sessions; their requests are read back from the stored table
-    (the streamed directory itself serves), so no request waits in state.
+    Tailing knows no label of its own for integrations. A session is named by address and start.
     """
-
-    def score(closed: DataFrame, batch_id: int) -> None:
-        rows = requests_of_sessions(stored, closed)
-        scored = scan_sessions(rows, network, threshold, timeout_s)
-        scored.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
-            f"{out}/batch={batch_id}"
-        )
-
-    writer = closed_sessions(requests, timeout_s, lateness).writeStream.foreachBatch(score).option(
-        "checkpointLocation", checkpoint
-    )
-    return writer.trigger(**(trigger or {"processingTime": "2 seconds"})).start()
+    labelled = with_verdict(with_features(session_totals(requests, timeout_s, lateness)))
+    scored = with_score(labelled, network, threshold, integrations="blend")
+    return scored.withColumn("session_id", F.concat_ws("#", "ip", F.col("start_us").cast("string")))
 
 
 # --- counters, archive, control ----------------------------------------------------------------
@@ -274,14 +190,14 @@ def score_with_control(requests: DataFrame, network, config_path: str, read_sign
     batch.
     """
 
-    def run(histories: DataFrame, batch_id: int) -> None:
-        spark = histories.sparkSession
+    def run(inputs: DataFrame, batch_id: int) -> None:
+        spark = inputs.sparkSession
         threshold, promoted = current_config(spark, config_path)
         names = F.array(*[F.lit(s) for s in promoted]).cast("array<string>")
-        sink(decide(histories, network, threshold, read_signals(), names), batch_id)
+        sink(decide(inputs, network, threshold, read_signals(), names), batch_id)
 
     return (
-        request_histories(requests)
+        request_inputs(requests)
         .writeStream.foreachBatch(run)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "2 seconds"}))
@@ -332,3 +248,30 @@ def bind_stream(submissions: DataFrame, ttl_s=P.FINGERPRINT_TTL_S, lateness="10
             GroupStateTimeout.EventTimeTimeout,
         )
     )
+
+
+def submission_outcomes(submissions: DataFrame, requests: DataFrame, ttl_s=P.FINGERPRINT_TTL_S,
+                        session_ttl_s=P.SESSION_TIMEOUT_S, lateness="10 minutes") -> DataFrame:
+    """Streaming: every submission (ip, hash, ts, ts_us, seq) with its outcome, in order of time.
+
+    Both streams meet in the state of the address. Rows are given out once the watermark has passed
+    them; ``at`` is when, and the event time of what follows.
+    """
+    asks = with_clock(requests).select(
+        "ip", "ts", "ts_us", F.lit(0).alias("kind"), F.col("line_no").alias("seq"), F.lit("").alias("hash"),
+        F.lit(False).alias("valid"),
+    )
+    subs = submissions.select(
+        "ip", "ts", "ts_us", F.lit(1).alias("kind"), "seq", F.coalesce("hash", F.lit("")).alias("hash"),
+        F.coalesce(X.is_fingerprint(F.col("hash")), F.lit(False)).alias("valid"),
+    )
+    rows = asks.unionByName(subs).withWatermark("ts", lateness)
+    return rows.groupBy("ip").transformWithStateInPandas(
+        Claims(ttl_s, session_ttl_s), Claims.OUT, "append", "EventTime", eventTimeColumnName="at"
+    )
+
+
+def shared_counts(outcomes: DataFrame, window_s=P.FINGERPRINT_WINDOW_S) -> DataFrame:
+    """Streaming: accepted submissions with the addresses that used their hash so far in its window."""
+    accepted = outcomes.filter(F.col("outcome") == "ACCEPTED").select("ip", "hash", "ts_us", "seq", "at")
+    return accepted.groupBy("hash").transformWithStateInPandas(Sharing(window_s), Sharing.OUT, "append", "EventTime")
