@@ -19,7 +19,7 @@ from .common import _BYTE, _powers, mixed, once_per_worker, text_batches
 BLANK = "▁"
 _BLANK, _BROKEN = BLANK.encode(), "�".encode()
 #: Parts whose ids a worker remembers at most, and parts that are encoded in one text.
-REMEMBERED, TOGETHER = 1_000_000, 200
+REMEMBERED, TOGETHER = 500_000, 200
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 

@@ -19,7 +19,7 @@ from .packing import ByteBpe
 from .piece_spans import _gathered, _names, piece_model
 
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 
 
 class ByteTokens(ByteBpe):
