@@ -7,10 +7,12 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from trafficlens.llm import common, content_archive, kd_search, url_filter, vector_links
 from trafficlens.llm.queries import QUERIES, URL_RULES
+from trafficlens.llm.surrogates import replace_entities
 
 FLOATS = "vec_id long, embedding array<float>, label int, block string"
 
@@ -215,5 +217,24 @@ def test_pipeline_keeps_one_row_of_a_repeated_id(spark, small):
     assert ids == [(False, 1), (False, 3), (False, 3), (False, 4), (True, 0)]
 
 
+def test_pipeline_keeps_unrelated_texts_of_one_id(spark, small):
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven twelve", "red orange yellow green blue indigo")
+    rows = [(2, a, "p"), (1, a, "q"), (1, b, "r"), (2, c, "s"), (2, c, "s"), (None, b, "t"), (None, "x " + c, "u"), (7, None, "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string").withColumn("row", F.lit(5))
+    got = dict(corpus_pipeline.STAGES)["near_copies"](spark, docs, small)
+    assert got.columns == docs.columns
+    assert sorted(r["a.b"] for r in got.collect()) == ["q", "r", "s", "u", "v"]
+
+
+def test_stages_take_columns_with_dots(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(60).withColumn("a.b", F.col("doc_id") * 2)
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("quality", "surrogates"):
+        got = stages[name](spark, docs, small)
+        assert got.columns == docs.columns and got.where("`a.b` <> 2 * doc_id").count() == 0
+    with pytest.raises(ValueError, match="there already"):
+        replace_entities(docs, "key", count="lang")
+
+
 def test_every_operator_has_one_query():
-    assert sorted(int(q.split("_")[0][2:]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q.split("_")[0][2:]) for q in QUERIES) == list(range(1, 14))

@@ -36,6 +36,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mapped(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` for columns of any name, those with dots too."""
+    names = df.columns
+
+    def rows(batches):
+        import pyarrow as pa
+
+        return function(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches)
+
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(rows, schema)
+
+
+def named(names) -> list[Column]:
+    """Columns by their names, which may hold dots."""
+    return [F.col(f"`{name}`") for name in names]
+
+
 def slices(sizes, limit: int):
     """Ranges of rows whose sizes add up to ``limit`` at most (or one larger row each)."""
     start, total = 0, 0
@@ -108,8 +125,8 @@ def without_keys(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
         return chosen
 
     marked = rows.withColumn("key of the row", F.xxhash64(column))
-    sure, open_ = (marked.mapInArrow(part(hits), rows.schema) for hits in (False, True))
-    return sure.unionByName(open_.join(keys.select(column), column, "left_anti").select(names))
+    sure, open_ = (mapped(marked, part(hits), rows.schema) for hits in (False, True))
+    return sure.unionByName(open_.join(keys.select(column), column, "left_anti").select(named(names)))
 
 
 # --- components ------------------------------------------------------------------------------

@@ -16,7 +16,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import named, stored
 
 _MALE = "Mr|Herr|Monsieur|Señor|Sr|Господин|господин|г-н|Κύριος"
 _FEMALE = "Mrs|Ms|Frau|Madame|Mme|Mademoiselle|Señora|Señorita|Sra|Госпожа|госпожа|г-жа|Κυρία"
@@ -453,11 +453,13 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text", count: str |
     0). Texts without entities, empty ones too, stay as they are and are not shuffled. Repeated
     rows and copies are replaced alike. An empty table gives an empty one.
     """
+    if count in docs.columns:
+        raise ValueError(f"the column {count!r} is there already")
     found = has_entities(F.col(text))
     plain = docs.where(F.col(text).isNull() | ~found)
     # one text in a third of all rows is one key; its rows are dealt by a salt of the whole row
-    salt = F.pmod(F.xxhash64(*docs.columns), F.lit(64))
-    rows = docs.where(found).select(F.struct(*docs.columns).alias("row"), F.sha2(text, 256).alias("of"), salt.alias("salt"))
+    salt = F.pmod(F.xxhash64(*named(docs.columns)), F.lit(64))
+    rows = docs.where(found).select(F.struct(*named(docs.columns)).alias("row"), F.sha2(text, 256).alias("of"), salt.alias("salt"))
     texts = docs.where(found).select(F.sha2(text, 256).alias("of"), salt.alias("salt"), F.posexplode(mentions_of(F.col(text))).alias("at", "raw"))
     mentions = stored(texts.groupBy("of", "salt", "at").agg(F.first("raw").alias("raw")), "mentions")
     pieces = mentions.select("raw").distinct().select("raw", F.posexplode(pieces_of(F.col("raw"))).alias("place", "piece"))
