@@ -26,22 +26,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: that of the smallest id.
+    """One row of each component of similar texts stays: that of the smallest id, null last.
 
-    Of rows that repeat that id one stays, the first by n_chars and text. Null ids and wordless
-    texts have no component and stay.
+    Rows are told apart by their place in the table, never by their id, so different texts that
+    share an id are judged each by itself. Of rows that repeat both, the first stays. Null and
+    wordless texts have no component and stay. All columns are kept.
     """
-    of = stored(similar_documents(docs), "components")
-    gone = of.where("doc_id <> component_id").select("doc_id").distinct()
-    left = without_keys(docs, gone, "doc_id")
-    twice = of.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1")
-    if twice.isEmpty():
-        return left
-    once = without_keys(left, twice.select("doc_id"), "doc_id")
-    again = left.join(twice.select("doc_id"), "doc_id", "left_semi")
-    order = sorted(docs.columns, key=lambda c: (c not in ("n_chars", "text"), c))
-    first = again.groupBy("doc_id").agg(F.min(F.struct(*order)).alias("row"))
-    return once.select(docs.columns).unionByName(first.select([F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    of = similar_documents(rows.select(F.col(row).alias("doc_id"), "text")).where("n_shingles > 0")
+    ids = rows.select(F.col(row).alias("place"), F.struct(F.col("doc_id").isNull(), "doc_id", row).alias("order"))
+    of = stored(of.select(F.col("doc_id").alias("place"), "component_id").join(ids, "place"), "components")
+    first = of.groupBy("component_id").agg(F.min("order").alias("first"))
+    gone = of.join(first, "component_id").where("order <> first").select(F.col("place").alias(row))
+    return without_keys(rows, gone, row).drop(row)
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
