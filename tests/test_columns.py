@@ -170,14 +170,98 @@ def test_ranking_statistics_with_ties(spark):
 
 
 def test_bootstrap_interval_surrounds_the_estimate(spark):
-    rows = [((i * 37 % 101) / 101 + 0.3 * (i % 2), i % 2) for i in range(300)]
-    table = spark.createDataFrame(rows, "score double, label int")
+    rows = [(f"a{i}", (i * 37 % 101) / 101 + 0.3 * (i % 2), i % 2) for i in range(300)]
+    table = spark.createDataFrame(rows, "ip string, score double, label int")
     auc, interval = M.roc_auc(table).first().auc, M.bootstrap_auc(table, 300).first()
     assert interval.low < auc < interval.high and interval.high - interval.low < 0.25
     one_class = table.filter("label = 1")
     assert M.bootstrap_auc(one_class, 50).first().low is None
 
 
+def plain_statistics(scores, bots, weights):
+    """AUC and average precision of weighted actors, by definition."""
+    auc = ap = seen = hits = 0.0
+    for s in sorted(set(scores), reverse=True):
+        here = scores == s
+        pos, neg = (weights * bots * here).sum(), (weights * ~bots * here).sum()
+        auc += pos * ((weights * ~bots * (scores < s)).sum() + neg / 2)
+        hits, seen = hits + pos, seen + pos + neg
+        ap += pos * hits / seen if seen else 0.0
+    n, m = (weights * bots).sum(), (weights * ~bots).sum()
+    return (auc / n / m if n and m else None), (ap / n if n else None)
+
+
+def test_every_replicate_is_a_weighted_sample(spark):
+    """The same draws given to a plain version; ties reach over batches and ranges."""
+    import numpy as np
+
+    rows = [(f"a{i}", (i * 37 % 53) / 53, int(i * 7 % 10 < 4)) for i in range(900)]
+    table = spark.createDataFrame(rows, "ip string, score double, label int").repartition(5)
+    got = {r.replicate: (r.auc, r.ap) for r in M.replicate_statistics(table, replicates=20, ranges=7).collect()}
+    hashed = {r.ip: r.h for r in table.select("ip", F.xxhash64("ip").alias("h")).collect()}
+    drawn = M._drawn(np.array([hashed[ip] for ip, _, _ in rows]), 20, 0)
+    assert 0.9 < drawn.mean() < 1.1 and 0.85 < drawn.var() < 1.15
+    scores, bots = np.array([s for _, s, _ in rows]), np.array([y > 0 for _, _, y in rows])
+    for k in range(20):
+        assert got[k] == pytest.approx(plain_statistics(scores, bots, drawn[:, k]))
+
+
+def test_intervals_agree_with_plain_resampling(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    bots = draw.random(250) < 0.4
+    scores = draw.normal(size=250) + bots
+    rows = [(f"a{i}", float(s), int(y)) for i, (s, y) in enumerate(zip(scores, bots, strict=True))]
+    table = spark.createDataFrame(rows, "ip string, score double, label int")
+    worse = table.withColumn("score", F.col("score") + F.sin(F.col("score") * 50))
+    plain = []
+    for _ in range(400):
+        weights = np.bincount(draw.integers(0, 250, 250), minlength=250).astype(float)
+        plain.append(plain_statistics(scores, bots, weights))
+    found = {r.statistic: r for r in M.bootstrap_intervals(table, replicates=400).collect()}
+    for k, name in enumerate(("auc", "ap")):
+        low, high = np.quantile([p[k] for p in plain], [0.025, 0.975])
+        assert found[name].low == pytest.approx(low, abs=0.03) and found[name].high == pytest.approx(high, abs=0.03)
+        assert found[name].low < found[name].point < found[name].high and found[name].survivors == 400
+    paired = {r.statistic: r for r in M.bootstrap_intervals(table, worse, replicates=200).collect()}
+    single = found["auc"].high - found["auc"].low
+    assert paired["auc"].point > 0 and paired["auc"].high - paired["auc"].low < 1.5 * single
+
+
+def test_quantiles_of_many_groups(spark):
+    import numpy as np
+
+    rows = [(f"g{i % 7 if i % 3 else 0}", (i * 31) % 97 if i % 11 else None) for i in range(800)]
+    table = spark.createDataFrame(rows, "g string, x int")
+    got = {r.g: (r.a, r.b) for r in M.grouped_quantiles(table, "x", ["g"], {"a": 0.5, "b": 0.9}).collect()}
+    for g in {g for g, _ in rows}:
+        values = [x for h, x in rows if h == g and x is not None]
+        assert got[g] == pytest.approx(tuple(np.quantile(values, [0.5, 0.9])))
+    empty = spark.createDataFrame([("g", True, None)], "g string, flagged boolean, first_flag long")
+    row = M.detection_delay(empty, by=("g",)).first()
+    assert (row.caught, row.missed, row.median_request) == (0, 0, None)
+
+
+@pytest.mark.parametrize("counters", [4, 40, 4000])
+def test_busiest_values_are_exact(spark, counters):
+    from collections import Counter
+
+    from trafficlens.operators import reports as RP
+
+    values = [f"v{int(1.02 ** (i * 7919 % 300))}" for i in range(3000)] + ["even%d" % (i % 500) for i in range(1000)]
+    table = spark.createDataFrame([(v,) for v in values] + [(None,)] * 9, "k string").repartition(6)
+    count = Counter(values)
+    for row in RP.heavy_hitters(table, "k", counters).filter("key IS NOT NULL").collect():
+        assert row.low <= count[row.key] <= row.high
+    lost = RP.heavy_hitters(table, "k", counters).filter("key IS NULL").first().high
+    assert lost <= 2 * len(values) / counters + 6
+    for n in (3, 25, 10_000):
+        want = sorted(count.items(), key=lambda x: (-x[1], x[0]))[:n]
+        got = [(r.key, r["count"]) for r in RP.busiest(table, "k", n, counters).collect()]
+        assert sorted(got, key=lambda x: (-x[1], x[0])) == want
+
+
 def test_rule_file(spark, tmp_path):
     (tmp_path / "r.yaml").write_text(
         '# c\n- id: scan\n  ground_truth_label: dir\n  filter:\n    - "%GET%"\n    - "code: 404"\n- id: p\n  filter:\n    - x\n'

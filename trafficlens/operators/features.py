@@ -6,8 +6,9 @@ so features, rules and scores are written once.
 
 Plan of ``session_inputs``:
 
-1. requests are shuffled once on (client, slice) for the join with the session map and
-   for one window pass (gaps, click bursts);
+1. requests are read once and shuffled once on (client, slice); that exchange serves the
+   session map (one small row per client and slice), the join with it and one window pass
+   (gaps, click bursts);
 2. each request turns into counts keyed by (session, path), (session, agent) and
    (session, status), reduced inside the same partitions;
 3. those counts are shuffled on (session, salt), where only sessions with very many
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as X
 from ..schema import FEATURES, SOURCE_ORDER
-from .sessions import session_map, slice_length, slice_of, with_clock
+from .sessions import sessions_of_slices, slice_length, slice_of, with_clock
 
 CLICK_WINDOW_S = 12
 ROWS_PER_SALT = 200_000
@@ -86,25 +87,23 @@ def _bit(name: str) -> str:
 
 
 def _flagged(requests: DataFrame, keys) -> DataFrame:
-    return with_clock(requests).select(
-        *keys,
-        "ts_us",
+    """Keys, time and, as one struct, all else that is shuffled of a request."""
+    item = F.struct(
         *SOURCE_ORDER,
         X.url_path(F.col("url")).alias("path"),
         F.col("user_agent").alias("agent"),
         F.col("status").cast("string").alias("status"),
         _flag_bits().alias("flags"),
     )
+    return with_clock(requests).select(*keys, "ts_us", item.alias("item"))
 
 
-def _with_bursts_and_gaps(flagged: DataFrame, smap: DataFrame, keys, length: int) -> DataFrame:
-    """Add ``gap_us`` to every request and ``clicks`` to one marker row per page view.
+def _entries(flagged: DataFrame, keys, length: int) -> DataFrame:
+    """Entries (slice, at_us, kind) of the requests, in the partitions of (client, slice).
 
-    The number of page views in [t, t + 12 s] is a difference of two running counts: a
-    marker placed at t + 12 s sees how many views came up to there and, from the number
-    of markers so far, how many came before t.  Running counts cost one pass however
-    dense the traffic is.  Views just after a slice are copied back into it, so windows
-    that cross the border are complete.
+    Kind 0 is the request itself. A page view also sets a marker at the end of the click window
+    that starts with it (2), and views just after a slice are echoed back into it (1), so that
+    windows across the border are complete.
     """
     window_us = CLICK_WINDOW_S * 1_000_000
     home = slice_of(F.col("ts_us"), length)
@@ -114,13 +113,44 @@ def _with_bursts_and_gaps(flagged: DataFrame, smap: DataFrame, keys, length: int
     request = entry(home, F.col("ts_us"), 0)
     marker = entry(home, F.col("ts_us") + window_us, 2)
     since = F.col("ts_us") - home * F.lit(length * 1_000_000)
-    entries = F.when(F.expr(f"NOT ({_bit('html')})"), F.array(request))
+    view = _bit("html").replace("flags", "item.flags")
+    entries = F.when(F.expr(f"NOT ({view})"), F.array(request))
     # a short slice is echoed into as many slices before it as the window covers
     for back in range(-(-CLICK_WINDOW_S // length), 0, -1):
         echoes = [entry(home - k, F.col("ts_us"), 1) for k in range(1, back + 1)]
         near = since + (back - 1) * length * 1_000_000 <= window_us
         entries = entries.when(near, F.array(request, *echoes, marker))
     entries = entries.otherwise(F.array(request, marker))
+    # the join below would ask for this on its own side only, and part the two exchanges
+    spread = flagged.withColumn("entry", F.explode(entries)).where("entry.slice IS NOT NULL")
+    return spread.select(*keys, "entry.*", "item").repartition(*keys, "slice")
+
+
+def _slices(entries: DataFrame, keys) -> DataFrame:
+    """One row per client and slice with requests: how many, the first and the last.
+
+    Reads the whole of ``item``, so that it needs the very exchange that the rows themselves come
+    from, and Spark shuffles (and reads the source) once for both.
+    """
+    return (
+        entries.groupBy(*keys, "slice")
+        .agg(
+            F.expr("count(IF(kind = 0, item, NULL))").alias("n"),
+            F.expr("min(IF(kind = 0, at_us, NULL))").alias("lo"),
+            F.expr("max(IF(kind = 0, at_us, NULL))").alias("hi"),
+        )
+        .where("n > 0")
+    )
+
+
+def _with_bursts_and_gaps(entries: DataFrame, smap: DataFrame, keys) -> DataFrame:
+    """Add ``gap_us`` to every request and ``clicks`` to one marker row per page view.
+
+    The number of page views in [t, t + 12 s] is a difference of two running counts: a
+    marker placed at t + 12 s sees how many views came up to there and, from the number
+    of markers so far, how many came before t.  Running counts cost one pass however
+    dense the traffic is.
+    """
     order = Window.partitionBy("slice", *keys).orderBy("at_us", "kind", *SOURCE_ORDER)
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -131,10 +161,9 @@ def _with_bursts_and_gaps(flagged: DataFrame, smap: DataFrame, keys, length: int
         F.expr("sum(IF(kind = 0, 1, 0))").over(so_far).alias("rank_in_slice"),
     ]
     return (
-        flagged.withColumn("entry", F.explode(entries))
-        .select("*", "entry.*")
-        .drop("entry", "ts_us")
-        .join(smap, [*keys, "slice"])
+        entries.join(smap, [*keys, "slice"])
+        .select("*", "item.*")
+        .drop("item")
         .select("*", *running)
         .selectExpr(
             "*",
@@ -296,8 +325,9 @@ def session_inputs(requests: DataFrame, keys=("ip",), timeout_s=P.SESSION_TIMEOU
         raise ValueError("timeout must be positive")
     keys = list(keys)
     length = slice_length(timeout_s)
-    smap = session_map(with_clock(requests), keys, timeout_s)
-    rows = _with_bursts_and_gaps(_flagged(requests, keys), smap, keys, length)
+    entries = _entries(_flagged(requests, keys), keys, length)
+    smap = sessions_of_slices(_slices(entries, keys), keys, timeout_s)
+    rows = _with_bursts_and_gaps(entries, smap, keys)
     values = _merge_slices(_session_counts(rows, keys), keys)
     reduced = _reduce_values(values, keys)
     extra = [k for k in keys if k not in ("user_agent",)]

@@ -13,7 +13,6 @@ from ..functions import text as X
 from ..session import cut_lineage
 from .sessions import SLICE_S, session_map, slice_of
 
-FOLD_LIMIT = 4096
 US = 1_000_000
 
 
@@ -56,30 +55,14 @@ def with_last_request(submissions: DataFrame, requests: DataFrame, ttl_s: int) -
     )
 
 
-def _fold(candidates: DataFrame, ttl_us: int) -> DataFrame:
-    """Accepted times per (ip, segment) by one pass over a bounded sorted array."""
-    times = candidates.groupBy("ip", "segment").agg(
-        F.sort_array(F.collect_list("ts_us")).alias("times")
-    )
-    start = F.array().cast("array<bigint>")
-    taken = F.aggregate(
-        "times",
-        F.struct(start.alias("taken"), F.lit(None).cast("bigint").alias("last")),
-        lambda acc, t: F.when(
-            acc["last"].isNull() | (t - acc["last"] > ttl_us),
-            F.struct(F.concat(acc["taken"], F.array(t)).alias("taken"), t.alias("last")),
-        ).otherwise(acc),
-        lambda acc: acc["taken"],
-    )
-    return times.select("ip", F.explode(taken).alias("ts_us"))
-
-
 def _leap(candidates: DataFrame, ttl_us: int) -> DataFrame:
-    """Accepted times of very busy segments, by doubling jumps instead of one long pass.
+    """Accepted times, by doubling jumps instead of one long pass.
 
-    ``hop`` leads from a time to the first later one past the claim; hops of length 1, 2,
-    4, ... are composed by joins on (ip, ts_us), each row being unique, until every
-    segment's first time has reached all its successors.
+    ``hop`` leads from a time to the first later one past the claim, which is the holder after
+    it whatever came before; hops of length 1, 2, 4, ... are composed by joins on (ip, ts_us),
+    each row being unique, until every segment's first time has reached all its successors. The
+    number of rounds grows with the logarithm of the longest chain of claims, and a row whose hop
+    leaves its segment takes part no longer, so most segments are done after the first round.
     """
     length = max(1, ttl_us // US)
     base = candidates.select("ip", "segment", "ts_us").distinct()
@@ -133,15 +116,13 @@ def bind(
     requests: DataFrame,
     ttl_s=P.FINGERPRINT_TTL_S,
     session_ttl_s=P.SESSION_TIMEOUT_S,
-    fold_limit=FOLD_LIMIT,
 ) -> DataFrame:
     """Every submission with ``outcome``: ACCEPTED, REPEAT, BAD_HASH, NO_SESSION or
     ALREADY_BOUND.
 
     The valid submissions of an address fall into segments separated by pauses longer
     than the claim; a segment always starts with an acceptance, so segments are
-    independent.  Segments of at most ``fold_limit`` rows are folded over a sorted array;
-    larger ones, where that array would not be bounded, are solved by doubling jumps.
+    independent.  All are solved by doubling jumps, however long they are.
     """
     subs = submissions.select("ip", "hash", "ts_us", "seq")
     checked = with_last_request(subs, requests, session_ttl_s).withColumn(
@@ -152,16 +133,11 @@ def bind(
     )
     checked = cut_lineage(checked)  # read four times below
     valid = checked.filter(F.col("reject").isNull())
-    segments = session_map(valid, ("ip",), ttl_s).select(
-        "ip", "slice", F.col("session_no").alias("segment"), F.col("session_rows").alias("size")
-    )
+    segments = session_map(valid, ("ip",), ttl_s).select("ip", "slice", F.col("session_no").alias("segment"))
     placed = valid.withColumn("slice", slice_of(F.col("ts_us"), min(SLICE_S, ttl_s))).join(
         segments, ["ip", "slice"]
     )
-    accepted = _fold(placed.filter(F.col("size") <= fold_limit), ttl_s * US)
-    heavy = placed.filter(F.col("size") > fold_limit).select("ip", "segment", "ts_us")
-    if not heavy.isEmpty():
-        accepted = accepted.unionByName(_leap(heavy, ttl_s * US))
+    accepted = _leap(placed.select("ip", "segment", "ts_us"), ttl_s * US)
     # At an accepted time the first submission in order is the one accepted.
     first = (
         placed.join(accepted, ["ip", "ts_us"])

@@ -1,11 +1,14 @@
 """Evaluation statistics as aggregations: rates, confusion, ROC, precision-recall, delay."""
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import score_bucket
+from ..session import cut_lineage
 from .ranks import boundaries, running_totals, value_counts
 
 # Two-sided 95% point of the normal distribution.
@@ -175,16 +178,44 @@ def score_histogram(scores: DataFrame, bins=20) -> DataFrame:
 # --- delay ------------------------------------------------------------------------------------
 
 
+def grouped_quantiles(table: DataFrame, value: str, by, shares: dict[str, float]) -> DataFrame:
+    """Exact quantiles (linear interpolation) of ``value`` for many groups at once.
+
+    Equal values are counted first; then one ranking over ranges of values serves all groups, so
+    no group, however large, is held anywhere. Null values count in no group.
+    """
+    names = list(by)
+    counts = table.filter(F.col(value).isNotNull()).groupBy(*names, value).agg(F.count("*").alias("m"))
+    spans = running_totals(counts, value, {"m": "upto"}, partition=names)
+    sizes = counts.groupBy(*names).agg(F.sum("m").alias("n"))
+    placed = spans.join(sizes, names) if names else spans.withColumn("n", counts.agg(F.sum("m").alias("n")).scalar())
+
+    def at(position):  # 0-based order statistic
+        inside = (F.col("upto") - F.col("m") <= position) & (position < F.col("upto"))
+        return F.max(F.when(inside, F.col(value)))
+
+    out = []
+    for name, share in shares.items():
+        place = (F.col("n") - 1) * F.lit(share)
+        low, part = F.floor(place), F.max(place - F.floor(place))
+        out.append((at(low) + (at(F.ceil(place)) - at(low)) * part).cast("double").alias(name))
+    return placed.groupBy(*names).agg(*out)
+
+
 def detection_delay(verdicts: DataFrame, by=()) -> DataFrame:
     """Of bot verdicts (flagged, first_flag): caught, missed, median and 90th percentile of
     the position of the first flag (linear interpolation, exact)."""
-    first = F.when(F.col("flagged"), F.col("first_flag"))
-    return verdicts.groupBy(*by).agg(
-        F.count(first).alias("caught"),
+    names = list(by)
+    first = verdicts.withColumn("first_flag", F.when(F.col("flagged"), F.col("first_flag")))
+    counts = first.groupBy(*names).agg(
+        F.count("first_flag").alias("caught"),
         F.count_if(~F.coalesce("flagged", F.lit(False))).alias("missed"),
-        F.percentile(first, 0.5).alias("median_request"),
-        F.percentile(first, 0.9).alias("p90_request"),
     )
+    delays = grouped_quantiles(first, "first_flag", names, {"median_request": 0.5, "p90_request": 0.9})
+    if names:
+        return counts.join(delays, names, "left")
+    both = delays.select(F.struct("median_request", "p90_request")).scalar()
+    return counts.withColumn("both", both).select("*", "both.*").drop("both")
 
 
 def model_spread(archive: DataFrame, by=()) -> DataFrame:
@@ -242,91 +273,184 @@ def model_spread(archive: DataFrame, by=()) -> DataFrame:
     return joined.withColumn("iqr", spread).withColumn("near_constant", F.col("iqr") < 0.05)
 
 
+def spread_by_config(archive: DataFrame, truth: DataFrame) -> DataFrame:
+    """Per config, over its seeds: median of the medians, largest interquartile range, whether
+    scores hardly vary, and the mean area under the ROC of the actors' highest scores.
+
+    ``archive`` is (ip, model_score), ``truth`` (ip, config, seed, is_bot). Seeds with one class
+    only have no area and are left out of its mean.
+    """
+    runs = ["config", "seed"]
+    rows = archive.filter(F.col("model_score").isNotNull()).join(truth.select("ip", *runs, "is_bot"), "ip")
+    spread = model_spread(rows, by=runs)
+    actors = rows.groupBy(*runs, "ip").agg(F.max("model_score").alias("score"), F.max(F.col("is_bot").cast("int")).alias("label"))
+    areas = roc_auc(actors, by=runs)
+    medians = grouped_quantiles(spread, "median", ["config"], {"median_of_medians": 0.5})
+    found = spread.join(areas, runs, "left").groupBy("config").agg(
+        F.count("*").alias("seeds"), F.max("iqr").alias("max_iqr"), F.avg("auc").alias("mean_actor_auc")
+    )
+    return found.join(medians, "config").withColumn("near_constant", F.col("max_iqr") < 0.05)
+
+
 # --- bootstrap --------------------------------------------------------------------------------
 
+#: Chances of at most 0, 1, 2, ... in a Poisson law of mean 1, as shares of 2**64.
+_POISSON = np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(13)])
+_DRAWS = (_POISSON * 2.0**64).astype(np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
 
-def bootstrap_auc(scores: DataFrame, replicates=1000, seed=0, ranges=64) -> DataFrame:
-    """One row (low, high, survivors): percentile interval of the AUC over actors.
+def _drawn(actors: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """How often every replicate draws each actor (by its 64-bit hash): the same in every task."""
+    with np.errstate(over="ignore"):
+        x = actors.view(np.uint64)[:, None] ^ (np.arange(replicates, dtype=np.uint64) + np.uint64(1 + seed * replicates)) * _STEP
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return np.searchsorted(_DRAWS, (x ^ x >> np.uint64(31)).ravel(), side="right").reshape(x.shape).astype(np.float64)
 
-    Every distinct score draws its replicate counts inside its own range of scores (a
-    Poisson count per class, the distributed form of resampling with replacement).  Only
-    three sums per range and replicate leave a task; the AUC of a replicate follows from
-    them, so the resampled actors are never written or shuffled.  Replicates with one
-    class are dropped; fewer than half left gives NULL.
+
+def replicate_statistics(scores: DataFrame, key="ip", replicates=1000, seed=0, ranges=64) -> DataFrame:
+    """(replicate, auc, ap) of all resamples at once; NULL where a replicate has one class only.
+
+    ``scores`` is (key, score, label), one row per actor. The draws of an actor follow from its key
+    and the replicate (a Poisson count, the distributed form of drawing with replacement), so two
+    scorings of the same actors are resampled alike. Scores lie in ranges; a first pass adds up the
+    draws per range, which gives every range what lies above it, and a second one the steps of both
+    curves inside it. Only ``ranges`` x ``replicates`` sums leave the tasks.
     """
-    grouped = _per_score(scores)
-    cuts = [float(c) for c in boundaries(grouped, "score", ranges)]
-    number = F.lit(0)
-    if cuts:
-        number = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("score")))
-
-    schema = "range_no long, replicate long, pos double, neg double, wins double"
-
-    def start(range_no):
-        sums = {c: np.zeros(replicates) for c in ("pos", "neg", "wins")}
-        return {"range_no": range_no, "rng": np.random.default_rng([seed, range_no]), **sums}
-
-    def add(state, part):
-        """A few hundred sorted scores at a time; running sums carry over."""
-        for at in range(0, len(part), 500):
-            rows = part.iloc[at : at + 500]
-            drawn = {
-                c: state["rng"].poisson(np.repeat(rows[c].to_numpy()[:, None], replicates, 1))
-                for c in ("pos", "neg")
-            }
-            below = state["neg"] + np.cumsum(drawn["neg"], axis=0) - drawn["neg"]
-            state["wins"] += (drawn["pos"] * (below + drawn["neg"] / 2)).sum(axis=0)
-            for c in ("pos", "neg"):
-                state[c] += drawn[c].sum(axis=0)
-
-    def finish(state):
-        sums = {c: state[c] for c in ("pos", "neg", "wins")}
-        replicate = np.arange(replicates)
-        return pd.DataFrame({"range_no": state["range_no"], "replicate": replicate, **sums})
-
-    def per_partition(batches):
-        """Rows come sorted by range and score; a change of range closes the sums."""
-        state = None
+    spark = scores.sparkSession
+    rows = scores.select(
+        F.xxhash64(F.col(key).cast("string")).alias("actor"), F.col("score").cast("double").alias("score"),
+        (F.col("label") > 0).alias("bot"),
+    ).filter("score IS NOT NULL AND bot IS NOT NULL")
+    rows = cut_lineage(rows)
+    cuts = [float(c) for c in boundaries(rows, "score", ranges)]
+    number = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("score"))) if cuts else F.lit(0)
+    rows = rows.withColumn("range_no", number.cast("long"))
+    ordered = rows.repartition("range_no").sortWithinPartitions("range_no", F.desc("score"))
+
+    def runs(batches):
+        """Rows of one range, a few hundred at a time, no score cut in two unless it is longer."""
         for pdf in batches:
-            for range_no, part in pdf.groupby("range_no", sort=True):
-                if state is not None and state["range_no"] != range_no:
-                    yield finish(state)
-                    state = None
-                state = state or start(int(range_no))
-                add(state, part)
+            for range_no, part in pdf.groupby("range_no", sort=False):
+                for at in range(0, len(part), 400):
+                    yield int(range_no), part.iloc[at : at + 400]
+
+    def totals(batches):
+        sums = {}
+        for range_no, part in runs(batches):
+            drawn = _drawn(part["actor"].to_numpy(), replicates, seed)
+            bot = part["bot"].to_numpy()
+            state = sums.setdefault(range_no, np.zeros((2, replicates)))
+            state[0] += drawn[bot].sum(axis=0)
+            state[1] += drawn[~bot].sum(axis=0)
+        for range_no, state in sums.items():
+            yield pd.DataFrame({"range_no": [range_no], "pos": [state[0].tolist()], "neg": [state[1].tolist()]})
+
+    found = rows.mapInPandas(totals, "range_no long, pos array<double>, neg array<double>")
+    parts = found.groupBy("range_no").applyInPandas(
+        lambda pdf: pd.DataFrame(
+            {"range_no": pdf["range_no"].iloc[:1], "pos": [np.sum(list(pdf["pos"]), axis=0)], "neg": [np.sum(list(pdf["neg"]), axis=0)]}
+        ),
+        found.schema,
+    ).collect()  # one row per range
+    size = 1 + max((r.range_no for r in parts), default=0)
+    sums = np.zeros((2, size, replicates))
+    for r in parts:
+        sums[0, r.range_no] += r.pos
+        sums[1, r.range_no] += r.neg
+    above = np.cumsum(sums[:, ::-1], axis=1)[:, ::-1] - sums
+    known = spark.sparkContext.broadcast((above, sums.sum(axis=1)))
+
+    def steps(batches):
+        above, (_, humans) = known.value
+        current, state = None, None
+        for range_no, part in runs(batches):
+            if range_no != current:
+                if state is not None:
+                    yield done(current, state, humans)
+                current, state = range_no, start(range_no, above)
+            add(state, part, humans)
         if state is not None:
-            yield finish(state)
-
-    partial = (
-        grouped.withColumn("range_no", number.cast("long"))
-        .repartition("range_no")
-        .sortWithinPartitions("range_no", "score")
-        .mapInPandas(per_partition, schema)
+            yield done(current, state, humans)
+
+    def start(range_no, above):
+        zero = np.zeros(replicates)
+        return {"tp": above[0, range_no].copy(), "fp": above[1, range_no].copy(), "wins": zero.copy(), "ap": zero.copy(),
+                "score": None, "pos": zero.copy(), "neg": zero.copy()}
+
+    def close(state, humans):
+        """The score that is open becomes one step of both curves."""
+        state["tp"] += state["pos"]
+        state["fp"] += state["neg"]
+        seen = state["tp"] + state["fp"]
+        state["ap"] += state["pos"] * np.divide(state["tp"], seen, out=np.zeros(replicates), where=seen > 0)
+        state["wins"] += state["pos"] * (humans - state["fp"] + state["neg"] / 2)
+        state["pos"], state["neg"] = np.zeros(replicates), np.zeros(replicates)
+
+    def add(state, part, humans):
+        drawn, bot = _drawn(part["actor"].to_numpy(), replicates, seed), part["bot"].to_numpy()
+        score = part["score"].to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(score)) + 1).tolist(), len(score)]
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            if state["score"] is not None and score[i] != state["score"]:
+                close(state, humans)
+            state["score"] = score[i]
+            state["pos"] += drawn[i:j][bot[i:j]].sum(axis=0)
+            state["neg"] += drawn[i:j][~bot[i:j]].sum(axis=0)
+
+    def done(range_no, state, humans):
+        close(state, humans)
+        return pd.DataFrame({"replicate": np.arange(replicates), "wins": state["wins"], "ap": state["ap"]})
+
+    curves = ordered.mapInPandas(steps, "replicate long, wins double, ap double")
+    curves = curves.groupBy("replicate").agg(F.sum("wins").alias("wins"), F.sum("ap").alias("ap"))
+    bots, humans = sums.sum(axis=1)
+    classes = spark.createDataFrame(
+        pd.DataFrame({"replicate": np.arange(replicates), "bots": bots, "humans": humans})
     )
-    # Per replicate: at most ``ranges`` rows, in order of the score ranges.
-    ordered = partial.groupBy("replicate").agg(
-        F.sort_array(F.collect_list(F.struct("range_no", "pos", "neg", "wins"))).alias("r")
+    return classes.join(curves, "replicate", "left").select(
+        "replicate",
+        F.when((F.col("bots") > 0) & (F.col("humans") > 0), F.col("wins") / (F.col("bots") * F.col("humans"))).alias("auc"),
+        F.when(F.col("bots") > 0, F.col("ap") / F.col("bots")).alias("ap"),
     )
-    zero = F.struct(
-        F.lit(0.0).alias("pos"), F.lit(0.0).alias("neg"), F.lit(0.0).alias("wins")
-    )
-    merged = ordered.select(
-        F.aggregate(
-            "r",
-            zero,
-            lambda a, x: F.struct(
-                (a["pos"] + x["pos"]).alias("pos"),
-                (a["neg"] + x["neg"]).alias("neg"),
-                (a["wins"] + x["wins"] + x["pos"] * a["neg"]).alias("wins"),
-            ),
-        ).alias("t")
-    ).select(F.try_divide(F.col("t.wins"), F.col("t.pos") * F.col("t.neg")).alias("auc"))
-    alive = F.array_sort(F.array_compact(F.collect_list("auc")))
+
+
+def interval(statistics: DataFrame, column: str, replicates: int) -> DataFrame:
+    """One row (low, high, survivors): the middle 95% of a column over the replicates.
+
+    Replicates without the statistic are dropped; fewer than half left gives NULL.
+    """
+    alive = F.array_sort(F.array_compact(F.collect_list(column)))
     n = F.size("alive")
     pick = lambda at: F.element_at("alive", (at + 1).cast("int"))
-    enough = n >= replicates // 2
-    return merged.agg(alive.alias("alive")).select(
+    enough = (n >= replicates // 2) & (n > 0)
+    return statistics.agg(alive.alias("alive")).select(
         F.when(enough, pick(F.floor(F.lit(0.025) * (n - 1)))).alias("low"),
         F.when(enough, pick(F.ceil(F.lit(0.975) * (n - 1)))).alias("high"),
         n.alias("survivors"),
     )
+
+
+def bootstrap_auc(scores: DataFrame, replicates=1000, seed=0, ranges=64, key="ip") -> DataFrame:
+    """One row (low, high, survivors): percentile interval of the AUC over actors."""
+    return interval(replicate_statistics(scores, key, replicates, seed, ranges), "auc", replicates)
+
+
+def bootstrap_intervals(scores: DataFrame, other: DataFrame | None = None, replicates=1000, seed=0, key="ip") -> DataFrame:
+    """(statistic, point, low, high, survivors) of AUC and average precision; with ``other``, a second
+    scoring of the same actors, of the differences (first less second), on paired draws."""
+    drawn = cut_lineage(replicate_statistics(scores, key, replicates, seed))
+    points = [roc_auc(scores).select("auc").scalar(), average_precision(scores).select("ap").scalar()]
+    if other is not None:
+        second = replicate_statistics(other, key, replicates, seed).toDF("replicate", "auc_b", "ap_b")
+        drawn = cut_lineage(
+            drawn.join(second, "replicate").select("replicate", (F.col("auc") - F.col("auc_b")).alias("auc"), (F.col("ap") - F.col("ap_b")).alias("ap"))
+        )
+        of_other = [roc_auc(other).select("auc").scalar(), average_precision(other).select("ap").scalar()]
+        points = [a - b for a, b in zip(points, of_other, strict=True)]
+    rows = [
+        interval(drawn, name, replicates).select(F.lit(name).alias("statistic"), point.alias("point"), "low", "high", "survivors")
+        for name, point in zip(("auc", "ap"), points, strict=True)
+    ]
+    return rows[0].unionByName(rows[1])

@@ -20,29 +20,16 @@ REDIRECTS = (301, 302, 303, 307, 308)
 def byte_entropy(body: Column) -> Column:
     """Entropy (bits) of the bytes of a body.
 
-    Bytes are counted as two-digit texts; the distinct ones are at most 256.
+    As Latin text a byte is a character; how often it occurs is by how much the text shrinks when
+    it is taken out, so nothing as long as the body times a string per byte is ever built.
     """
-    text = F.hex(body)
-    n = (F.length(text) / 2).cast("double")
-    parts = F.sort_array(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1)), F.lit(2)),
-            lambda i: F.substring(text, i, F.lit(2)),
-        )
-    )
-    # Sorted, equal bytes are neighbours: one pass adds c log2 c per run.
-    log_sum = F.aggregate(
-        parts,
-        F.struct(F.lit("").alias("at"), F.lit(0).alias("run"), F.lit(0.0).alias("sum")),
-        lambda a, b: F.when(
-            a["at"] == b,
-            F.struct(a["at"].alias("at"), (a["run"] + 1).alias("run"), a["sum"].alias("sum")),
-        ).otherwise(
-            F.struct(b.alias("at"), F.lit(1).alias("run"), (a["sum"] + _clog(a["run"])).alias("sum"))
-        ),
-        lambda a: a["sum"] + _clog(a["run"]),
+    text = F.decode(body, "ISO-8859-1")
+    n = F.length(text)
+    counts = F.transform(
+        F.sequence(F.lit(0), F.lit(255)), lambda b: n - F.length(F.replace(text, F.char(b), F.lit("")))
     )
-    return F.when(n > 0, F.greatest(F.log2(n) - log_sum / n, F.lit(0.0))).otherwise(0.0)
+    log_sum = F.aggregate(counts, F.lit(0.0), lambda total, c: total + _clog(c))
+    return F.when(n > 0, F.greatest(F.log2(n.cast("double")) - log_sum / n, F.lit(0.0))).otherwise(0.0)
 
 
 def _clog(count: Column) -> Column:
@@ -65,19 +52,22 @@ def _flag(condition: Column) -> Column:
 
 
 def response_features(responses: DataFrame) -> DataFrame:
-    """One row per target: features of the first response and timing across all.
+    """One row per target: features of the first response (``seq`` is unique per target) and timing
+    across all.
 
-    The body is profiled after the first response is known, once per target.
+    Which response is first is found without bodies; only then is it fetched, so a body is in no
+    aggregate, and it is profiled once per target.
     """
-    first = lambda c: F.min_by(c, "seq")
     grouped = responses.groupBy("target").agg(
         F.count("*").alias("responses"),
-        first(F.struct("status", "headers", "body", "timing", "error")).alias("r"),
+        F.min("seq").alias("first_seq"),
         _variation(_timing("total")).alias("timing_cv"),
         F.count_if(F.col("status").isin(*REDIRECTS)).alias("redirects"),
     )
+    whole = responses.select(F.col("target").alias("of"), "seq", "status", "headers", "body", "timing", "error")
+    grouped = grouped.join(whole, F.col("of").eqNullSafe(F.col("target")) & (F.col("seq") == F.col("first_seq")))
     lowered = F.transform_keys("headers", lambda k, v: F.lower(k))
-    rows = grouped.select("target", "responses", "timing_cv", "redirects", "r.*").withColumn(
+    rows = grouped.drop("of", "seq", "first_seq").withColumn(
         "headers", F.coalesce(lowered, F.create_map().cast("map<string,string>"))
     )
     has = lambda name: F.map_contains_key("headers", F.lit(name))

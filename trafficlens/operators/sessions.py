@@ -71,6 +71,12 @@ def session_map(requests: DataFrame, keys=("ip",), timeout_s=P.SESSION_TIMEOUT_S
             F.max("ts_us").alias("hi"),
         )
     )
+    return sessions_of_slices(slices, keys, timeout_s)
+
+
+def sessions_of_slices(slices: DataFrame, keys=("ip",), timeout_s=P.SESSION_TIMEOUT_S) -> DataFrame:
+    """The same from one row per (client, slice): n requests from ``lo`` to ``hi``."""
+    keys = list(keys)
     # A client has at most one row per slice here, so these windows stay small however
     # many requests the client made.
     in_time = Window.partitionBy(*keys).orderBy("slice")

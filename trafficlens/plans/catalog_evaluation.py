@@ -250,6 +250,31 @@ def _(spark, sf):
     return RP.top_blocked(D.decisions(spark, sf), 10)
 
 
+@evaluation.query(
+    "busiest_blocked",
+    B.over_requests(
+        """SELECT ip, count(*) AS blocked, 0::BIGINT AS error FROM dec WHERE label = 'bot' GROUP BY ip
+        ORDER BY blocked DESC, ip LIMIT 1000""",
+        DEC,
+    ),
+    "E4",
+)
+def _(spark, sf):
+    return RP.busiest_blocked(D.decisions(spark, sf))
+
+
+@evaluation.query(
+    "busiest_urls",
+    B.over_requests(
+        """SELECT url AS key, count(*) AS count, 0::BIGINT AS error FROM req GROUP BY url
+        ORDER BY count DESC, key LIMIT 30"""
+    ),
+    "E4, more values than counters",
+)
+def _(spark, sf):
+    return RP.busiest(requests_of(spark, sf), "url", 30, 120)
+
+
 @evaluation.query(
     "recent_decisions",
     B.over_requests(
@@ -625,6 +650,87 @@ def _(spark, sf):
     return M.bootstrap_auc(D.document_scores(spark, sf), replicates=1000)
 
 
+#: Point estimates of two scorings of the labelled documents.
+_POINTS_SQL = """
+sc2 AS (SELECT ip, (score * 211 + 37) % 100 / 100.0::DOUBLE AS score, label FROM sc),
+both_sc AS (SELECT 'a' AS s, * FROM sc UNION ALL SELECT 'b', * FROM sc2),
+aucs AS (SELECT p.s, sum(CASE WHEN p.score > n.score THEN 1.0::DOUBLE WHEN p.score = n.score THEN 0.5 ELSE 0 END)
+    / count(*) AS auc FROM both_sc p JOIN both_sc n ON n.s = p.s AND n.label = 0 WHERE p.label > 0 GROUP BY p.s),
+aps AS (SELECT s, sum(pos * tp / (tp + fp)) / sum(pos) AS ap FROM (
+    SELECT s, pos, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM (
+      SELECT s, score, sum(label) AS pos, sum(1 - label) AS neg FROM both_sc GROUP BY s, score)
+    WINDOW w AS (PARTITION BY s ORDER BY score DESC ROWS UNBOUNDED PRECEDING)) GROUP BY s)"""
+
+
+def covered(intervals):
+    """The point estimate, whether the interval holds it, and the replicates that count."""
+    inside = F.col("point").between(F.col("low"), F.col("high"))
+    return rounded(intervals.select("statistic", "point", inside.alias("inside"), "survivors"), "point")
+
+
+@evaluation.query(
+    "statistic_intervals",
+    B.with_ctes(
+        """SELECT 'auc' AS statistic, round(auc, 6) AS point, true AS inside, 1000 AS survivors FROM aucs WHERE s = 'a'
+        UNION ALL SELECT 'ap', round(ap, 6), true, 1000 FROM aps WHERE s = 'a'""",
+        D.SCORES_SQL, _POINTS_SQL,
+    ),
+    "E24",
+)
+def _(spark, sf):
+    return covered(M.bootstrap_intervals(D.document_scores(spark, sf)))
+
+
+@evaluation.query(
+    "paired_difference_intervals",
+    B.with_ctes(
+        """SELECT 'auc' AS statistic, round(a.auc - b.auc, 6) AS point, true AS inside, 1000 AS survivors
+        FROM aucs a, aucs b WHERE a.s = 'a' AND b.s = 'b'
+        UNION ALL SELECT 'ap', round(a.ap - b.ap, 6), true, 1000 FROM aps a, aps b WHERE a.s = 'a' AND b.s = 'b'""",
+        D.SCORES_SQL, _POINTS_SQL,
+    ),
+    "E24, two scorings of the same actors on the same draws",
+)
+def _(spark, sf):
+    scores = D.document_scores(spark, sf)
+    other = scores.withColumn("score", F.round((F.round(F.col("score") * 211) + 37) % 100) / F.lit(100.0))
+    return covered(M.bootstrap_intervals(scores, other))
+
+
+@evaluation.query(
+    "model_spread_by_config",
+    B.over_requests(
+        """SELECT config, count(*) AS seeds, round(quantile_cont(median, 0.5), 6) AS median_of_medians,
+        round(max(q3 - q1), 6) AS max_iqr, max(q3 - q1) < 0.05 AS near_constant, round(avg(auc), 6) AS mean_actor_auc
+        FROM (SELECT config, seed, quantile_cont(model_score, 0.5) AS median,
+            max(CASE WHEN rn = (n0 + 1) // 4 THEN model_score END) * (4 - (n0 + 1) % 4) / 4.0
+              + max(CASE WHEN rn = (n0 + 1) // 4 + 1 THEN model_score END) * ((n0 + 1) % 4) / 4.0 AS q1,
+            max(CASE WHEN rn = 3 * (n0 + 1) // 4 THEN model_score END) * (4 - 3 * (n0 + 1) % 4) / 4.0
+              + max(CASE WHEN rn = 3 * (n0 + 1) // 4 + 1 THEN model_score END)
+                * (3 * (n0 + 1) % 4) / 4.0 AS q3
+          FROM (SELECT config, seed, model_score, row_number() OVER (PARTITION BY config, seed ORDER BY model_score) AS rn,
+              count(*) OVER (PARTITION BY config, seed) AS n0 FROM runs) GROUP BY config, seed, n0)
+        JOIN (SELECT p.config, p.seed, sum(CASE WHEN p.s > n.s THEN 1.0::DOUBLE WHEN p.s = n.s THEN 0.5 ELSE 0 END) / count(*) AS auc
+          FROM acts p JOIN acts n ON n.config = p.config AND n.seed = p.seed AND NOT n.is_bot WHERE p.is_bot GROUP BY ALL)
+          USING (config, seed)
+        GROUP BY config""",
+        DEC, D.TRUTH_SQL,
+        """
+runs AS (SELECT 'c' || (t.user_id % 2) AS config, t.seed, t.ip, t.is_bot, d.model_score
+  FROM dec d JOIN truth t ON t.ip = d.ip),
+acts AS (SELECT config, seed, ip, is_bot, max(model_score) AS s FROM runs GROUP BY ALL)""",
+    ),
+    "E19",
+)
+def _(spark, sf):
+    config = F.concat(F.lit("c"), (F.col("user_id") % 2).cast("string"))
+    rows = M.spread_by_config(D.decisions(spark, sf).select("ip", "model_score"), D.truth(spark, sf).withColumn("config", config))
+    return rounded(
+        rows.select("config", "seeds", "median_of_medians", "max_iqr", "near_constant", "mean_actor_auc"),
+        "median_of_medians", "max_iqr", "mean_actor_auc",
+    )
+
+
 @evaluation.query(
     "recall_without_false_alarms",
     B.over_requests(
