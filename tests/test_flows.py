@@ -1,7 +1,5 @@
 """Fingerprints, streams, training and exports end to end on small tables."""
 
-import json
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,13 +76,15 @@ def test_stream_decides_like_the_replay(spark, small, tmp_path):
     assert len(live) == 600 and live == key(L.replay(stored, network))
 
 
-def test_control_falls_back_to_the_configured_threshold(spark, tmp_path):
-    assert L.current_config(spark, str(tmp_path / "none")) == (0.85, [])
-    path = tmp_path / "c.json"
-    path.write_text(json.dumps({"threshold": 7.0, "promoted": ["tor", "typo"]}))
-    assert L.current_config(spark, str(path)) == (0.85, ["tor"])
-    path.write_text(json.dumps({"threshold": 0.6}))
-    assert L.current_config(spark, str(path)) == (0.6, [])
+def test_control_holds_from_its_own_time(spark):
+    control = spark.createDataFrame(
+        [("2024-01-01 00:00:10", 0.6, ["tor", "typo"]), ("2024-01-01 00:00:20", 7.0, None), ("2024-01-01 00:00:30", None, ["fingerprint"]), (None, 0.1, None)],
+        "valid_from string, threshold double, promoted array<string>",
+    ).withColumn("valid_from", F.col("valid_from").cast("timestamp"))
+    rows = spark.range(5).select((F.lit(1_704_067_200_000_000) + F.col("id") * 10_000_000).alias("end_us"))
+    got = [(r.threshold, r.wanted) for r in L.controlled(rows, control).orderBy("end_us").collect()]
+    assert got == [(0.85, []), (0.6, ["tor"]), (0.85, []), (0.85, ["fingerprint"]), (0.85, ["fingerprint"])]
+    assert L.controlled(rows, control.limit(0)).select("threshold").distinct().collect()[0][0] == 0.85
 
 
 def test_archive_and_days_round_trip(spark, small, tmp_path):

@@ -109,9 +109,13 @@ def enrich(sessions: DataFrame, signals: DataFrame | None, promoted: Column | No
     ``promoted`` is the deployment's list of sources that may decide a verdict.  With
     ``promotion_requires_resolved`` it applies only where reputation data is resolved.
     """
+    return with_promoted(sessions.join(signals, "ip", "left"), promoted, promotion_requires_resolved)
+
+
+def with_promoted(joined: DataFrame, promoted: Column | None = None, promotion_requires_resolved=True) -> DataFrame:
+    """``promoted``, and values in place of the nulls of addresses that were never looked up."""
     empty = F.array().cast("array<string>")
     wanted = empty if promoted is None else F.coalesce(promoted, empty)
-    joined = sessions.join(signals, "ip", "left")
     no = F.lit(False)
     filled = joined.withColumns(
         {

@@ -1,13 +1,20 @@
 """Registered queries that run as streams over the event files."""
 
+import glob
+import shutil
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions import text as X
 from ..sources import derived as D
-from ..sources.adapters import events_to_requests
+from ..schema import FEATURES
+from ..sources.adapters import events_to_requests, requests_of
+from ..session import shared_folder
+from ..sources.archive import read_archive
 from ..streaming import live as L
-from ..streaming.run import drain, drain_counters
+from ..streaming.run import disk_state, drain, drain_counters
 from . import oracle_base as B
 from .catalog_datasets import COMPARED_FEATURES, DECISION_COLUMNS
 from .catalog_signals import bind_query
@@ -171,3 +178,100 @@ def _(spark, sf):
 def _(spark, sf):
     """How many addresses share a fingerprint, counted behind the binding while the stream runs."""
     return drain(L.shared_counts(outcome_stream(spark, sf)))
+
+
+# --- text that grows, control and signals by time, the archive ----------------------------------
+
+
+@streaming.query(
+    "stream_log_lines",
+    B.over_requests("SELECT ip, method, url, status, size, user_agent, raw_line FROM req WHERE line_no % 3 <> 0"),
+    "S1 A3",
+)
+def _(spark, sf):
+    """A log that grows between runs and is then replaced: what it holds at the first start is passed
+    over, every later line comes once."""
+    base = f"{shared_folder(spark)}/tailed-{uuid.uuid4().hex}"
+    lines = requests_of(spark, sf)
+    for third in range(3):
+        lines.where(F.col("line_no") % 3 == third).select("raw_line").write.text(f"{base}/third-{third}")
+
+    def write(third, mode):
+        with open(f"{base}/access.log", mode) as log:
+            for part in sorted(glob.glob(f"{base}/third-{third}/part-*")):
+                with open(part, "rb") as rows:
+                    shutil.copyfileobj(rows, log)
+
+    for third, mode in enumerate(("wb", "ab", "wb")):
+        write(third, mode)
+        found = drain(L.tail_requests(spark, f"{base}/access.log"), f"{base}/drained")
+    return found.select("ip", "method", "url", "status", "size", "user_agent", "raw_line")
+
+
+#: Operators lower the threshold and let exit nodes decide; later the list of exit nodes arrives.
+EDITED_US, LISTED_US = 1_704_067_200_000_000 + 21_600_000_000, 1_704_067_200_000_000 + 28_800_000_000
+
+CONTROLLED_SQL = f"""
+{B.VERDICTS},
+ctl AS (SELECT f.*, u.user_id, end_us >= {EDITED_US} AS tor_promoted, end_us >= {LISTED_US} AND user_id % 17 = 0 AS tor_exit,
+    false AS abuse_promoted, 0 AS abuse_score, false AS fp_promoted, NULL AS fingerprint_hash, 0 AS shared_hash_ips,
+    CASE WHEN end_us >= {EDITED_US} THEN 0.5::DOUBLE ELSE 0.85 END AS threshold
+  FROM feats f JOIN (SELECT DISTINCT ip, user_id FROM req) u USING (ip)),
+coded AS (SELECT *, {B.chain_case(True)} AS rule_code FROM ctl),
+labelled AS (SELECT * FROM coded JOIN verdicts USING (rule_code)),
+modelled AS (SELECT *, CASE WHEN heuristic_label = 'automated-integration' THEN 0 ELSE {B.network_sql()} END AS model_score FROM labelled),
+blended AS (SELECT *, CASE WHEN heuristic_label = 'automated-integration' THEN 0 ELSE {B.blend_sql()} END AS score FROM modelled)"""
+
+
+@streaming.query(
+    "stream_controlled",
+    B.over_retained(
+        """SELECT ip, session_no AS line_no, rule_code, threshold, round(score, 6) AS score,
+        heuristic_label <> 'automated-integration' AND score > threshold AS blocked FROM blended""",
+        200, 1800, CONTROLLED_SQL,
+    ),
+    "S7 S5",
+)
+def _(spark, sf):
+    """Threshold, promoted sources and signals change while the stream runs; each request is judged by
+    what held at its time."""
+    at = lambda us: F.timestamp_micros(F.lit(us))
+    edits = spark.range(2).select(
+        F.when(F.col("id") == 0, at(0)).otherwise(at(EDITED_US)).alias("valid_from"),
+        F.when(F.col("id") == 0, 0.85).otherwise(0.5).alias("threshold"),
+        F.when(F.col("id") == 1, F.array(F.lit("tor"))).otherwise(F.array().cast("array<string>")).alias("promoted"),
+    )
+    users = D.users(spark, sf).select("ip", at(0).alias("valid_from"), F.lit(False).alias("tor_exit"))
+    exits = D.tor_exits(spark, sf).select("ip").distinct().select("ip", at(LISTED_US).alias("valid_from"), F.lit(True).alias("tor_exit"))
+    signals = users.unionByName(exits).select(
+        "ip", "valid_from", F.lit(True).alias("resolved"), "tor_exit", F.lit(False).alias("hosting_range"),
+        F.lit(None).cast("double").alias("abuse_score"), F.lit(False).alias("fp_resolved"),
+        F.lit(None).cast("string").alias("fingerprint_hash"), F.lit(0).cast("long").alias("shared_hash_ips"),
+    )
+    rows = L.score_controlled(request_stream(spark, sf), S.load_network(), edits, signals)
+    return rounded(drain(rows.select("ip", "line_no", "rule_code", "threshold", "score", "blocked")), "score")
+
+
+@streaming.query(
+    "stream_archive",
+    B.over_retained(
+        f"""SELECT ip || '-' || line_no AS decision_id, ip, round(score, 6) AS score, round(model_score, 6) AS model_score,
+        heuristic_label, blocked, round(endpoint_count, 6) AS endpoint_count FROM (
+        SELECT *, session_no AS line_no, CASE WHEN heuristic_label <> 'automated-integration' AND score > 0.85
+          THEN true ELSE false END AS blocked FROM blended)""",
+        200, 1800, B.LIVE.split("live AS (")[0].rstrip().rstrip(","),
+    ),
+    "S9 A7 A8",
+)
+def _(spark, sf):
+    """Decisions of the stream appended to the archive, which is then read back."""
+    base = f"{shared_folder(spark)}/archived-{uuid.uuid4().hex}"
+    decisions = L.archivable(L.score_stream(request_stream(spark, sf), S.load_network()))
+    with disk_state(spark):
+        query = L.archive_stream(decisions, f"{base}/rows", f"{base}/checkpoint", trigger={"availableNow": True})
+    query.awaitTermination()
+    rows = read_archive(spark, f"{base}/rows").select(
+        "decision_id", "ip", "score", "model_score", "heuristic_label", "blocked",
+        F.col("features")[FEATURES.index("endpoint_count")].alias("endpoint_count"),
+    )
+    return rounded(rows, "score", "model_score", "endpoint_count")

@@ -13,16 +13,17 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions import patterns as P
 from ..functions import scoring as S
 from ..functions import text as X
-from ..operators.features import with_features
+from ..operators.features import feature_vector, with_features
 from ..operators.retained import completed, item_columns, retained_inputs
 from ..operators.rules import with_verdict
 from ..operators.sessions import with_clock
-from ..operators.signals import enrich
+from ..operators.signals import enrich, with_promoted
 from ..plans.scan import with_score
 from ..schema import REQUEST, SOURCE_ORDER
 from ..sources.archive import archive_rows
 from ..sources.logs import parse_nginx
 from .state import HISTORY_OUT, Claims, History, Sessions, Sharing
+from .tail import tail_log_lines
 
 US = 1_000_000
 
@@ -47,6 +48,11 @@ def stream_requests(spark: SparkSession, path: str, files_per_trigger=None) -> D
     return parse_nginx(stream_log_lines(spark, path, files_per_trigger))
 
 
+def tail_requests(spark: SparkSession, path: str, start="end") -> DataFrame:
+    """Requests of log files that grow in place."""
+    return parse_nginx(tail_log_lines(spark, path, start))
+
+
 def stream_request_table(spark: SparkSession, path: str, schema=REQUEST, files_per_trigger=None):
     """New files of a parquet request table."""
     reader = spark.readStream.schema(schema)
@@ -152,6 +158,17 @@ def deduplicated(decisions: DataFrame, lateness="10 minutes") -> DataFrame:
     return decisions.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["decision_id"])
 
 
+def archivable(decisions: DataFrame) -> DataFrame:
+    """Decisions with what the archive keeps of them: an id, the vector and the time of the request."""
+    return decisions.withColumns(
+        {
+            "decision_id": F.concat_ws("-", "ip", F.col("line_no").cast("string")),
+            "features": feature_vector(),
+            "timestamp": F.timestamp_micros("end_us").cast("string"),
+        }
+    )
+
+
 def archive_stream(decisions: DataFrame, path: str, checkpoint: str, trigger=None):
     """Append decisions with a full vector as JSON lines; the checkpoint makes it exactly once."""
     return (
@@ -165,44 +182,60 @@ def archive_stream(decisions: DataFrame, path: str, checkpoint: str, trigger=Non
     )
 
 
-CONFIG = "threshold double, promoted array<string>"
-
+#: A version of what operators set: it holds from ``valid_from`` until the next one.
+CONTROL = "valid_from timestamp, threshold double, promoted array<string>"
 
-def current_config(spark: SparkSession, path: str, default_threshold=P.BLOCK_THRESHOLD):
-    """(threshold, promoted) from a one-row JSON table; missing or invalid values give the
-    configured threshold and no promoted source."""
-    try:
-        row = spark.read.schema(CONFIG).json(path).first()
-    except Exception:  # an unreachable config must not change verdicts
-        row = None
-    threshold = row.threshold if row and row.threshold is not None else default_threshold
-    if not 0.0 <= threshold <= 1.0:
-        threshold = default_threshold
-    promoted = [s for s in (row.promoted or []) if s in P.SIGNAL_SOURCES] if row else []
-    return threshold, promoted
 
+def controlled(inputs: DataFrame, control: DataFrame, default_threshold=P.BLOCK_THRESHOLD, at="end_us") -> DataFrame:
+    """Add ``threshold`` and ``wanted`` (promoted sources): the version of ``control`` that held at
+    the row's own time, so a replay decides as the stream did.
 
-def score_with_control(requests: DataFrame, network, config_path: str, read_signals, sink, checkpoint,
-                       trigger=None):
-    """Decisions with signals and operator control read afresh for every micro-batch.
-
-    ``read_signals()`` returns the SIGNALS table; ``sink(decisions, batch_id)`` stores the
-    batch.
+    A missing or invalid threshold gives the configured one, unknown sources are left out; before
+    the first version nothing is promoted. Versions are edits by operators, a few rows.
     """
+    usable = F.col("threshold").between(0.0, 1.0)
+    known = F.filter("promoted", lambda s: s.isin(*P.SIGNAL_SOURCES))
+    version = F.struct(
+        F.unix_micros("valid_from").alias("from_us"),
+        F.when(usable, F.col("threshold")).alias("threshold"),
+        F.coalesce(known, F.array().cast("array<string>")).alias("promoted"),
+    )
+    versions = control.filter("valid_from IS NOT NULL").agg(F.sort_array(F.collect_list(version))).scalar()
+    held = F.try_element_at(F.filter("versions", lambda v: v["from_us"] <= F.col(at)), F.lit(-1))
+    return inputs.withColumn("versions", versions).withColumn("held", held).withColumns(
+        {
+            "threshold": F.coalesce("held.threshold", F.lit(default_threshold)),
+            "wanted": F.coalesce("held.promoted", F.array().cast("array<string>")),
+        }
+    ).drop("versions", "held")
 
-    def run(inputs: DataFrame, batch_id: int) -> None:
-        spark = inputs.sparkSession
-        threshold, promoted = current_config(spark, config_path)
-        names = F.array(*[F.lit(s) for s in promoted]).cast("array<string>")
-        sink(decide(inputs, network, threshold, read_signals(), names), batch_id)
 
-    return (
-        request_inputs(requests)
-        .writeStream.foreachBatch(run)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"processingTime": "2 seconds"}))
-        .start()
-    )
+def signals_at(inputs: DataFrame, versions: DataFrame, at="end_us") -> DataFrame:
+    """Add the SIGNALS columns that held at the row's own time.
+
+    ``versions`` is SIGNALS (without ``promoted``) with ``valid_from``; an address has a row for each
+    time its signals changed. The join is an equality on the address.
+    """
+    names = [c for c in versions.columns if c not in ("ip", "valid_from")]
+    version = F.struct(F.unix_micros("valid_from").alias("from_us"), *names)
+    by_ip = versions.filter("valid_from IS NOT NULL").groupBy("ip").agg(F.sort_array(F.collect_list(version)).alias("versions"))
+    held = F.try_element_at(F.filter("versions", lambda v: v["from_us"] <= F.col(at)), F.lit(-1))
+    joined = inputs.join(by_ip, "ip", "left").withColumn("held", held)
+    return joined.select(*inputs.columns, *[F.col(f"held.{c}").alias(c) for c in names])
+
+
+def score_controlled(requests: DataFrame, network, control: DataFrame, signals: DataFrame, keep=P.RETAINED_REQUESTS) -> DataFrame:
+    """Streaming: decisions under the control and with the signals of each request's own time."""
+    return decide_controlled(request_inputs(requests, keep), network, control, signals)
+
+
+def decide_controlled(inputs: DataFrame, network, control: DataFrame, signals: DataFrame) -> DataFrame:
+    """The same for inputs of a stream or a batch."""
+    rows = signals_at(controlled(with_features(inputs), control), signals)
+    rows = with_promoted(rows, F.col("wanted"))
+    verdict = with_verdict(rows, signals=True)
+    scored = with_score(verdict, network, F.col("threshold"), strict=True, integrations="human")
+    return scored.withColumn("blocked", F.col("label") == "bot")
 
 
 # --- fingerprints -------------------------------------------------------------------------------

@@ -22,10 +22,13 @@ def disk_state(spark: SparkSession):
         spark.conf.set(PROVIDER, before)
 
 
-def drain(stream: DataFrame) -> DataFrame:
-    """Append the output of a stream to a table in the shared folder and return it."""
+def drain(stream: DataFrame, base: str | None = None) -> DataFrame:
+    """Append the output of a stream to a table in the shared folder and return it.
+
+    With the ``base`` of an earlier run the stream goes on from where that one stopped.
+    """
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/drained-{uuid.uuid4().hex}"
+    base = base or f"{shared_folder(spark)}/drained-{uuid.uuid4().hex}"
     with disk_state(spark):
         query = (
             stream.writeStream.format("parquet")
