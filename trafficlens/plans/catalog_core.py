@@ -11,6 +11,7 @@ from ..operators import rules as R
 from ..operators import sessions as O
 from ..operators.features import session_features
 from ..schema import FEATURES
+from ..sources import derived as D
 from ..sources.adapters import requests_of
 from ..session import shared_folder
 from ..sources.exports import write_scan
@@ -395,12 +396,43 @@ def _(spark, sf):
 @core.query(
     "rewritten_lines",
     B.over_requests(
-        f"""SELECT line_no, replace(raw_line, '"' || user_agent || '"', '"{B.CHROME}"') AS line
-        FROM req WHERE user_agent <> '-'"""
+        # the agent is the last thing in the line, also where the referer reads the same
+        f"""SELECT line_no, left(raw_line, length(raw_line) - length(user_agent) - 2) || '"{B.CHROME}"' AS line
+        FROM req"""
     ),
     "B30 A11",
 )
 def _(spark, sf):
-    rows = requests_of(spark, sf).filter(F.col("user_agent") != "-")
+    rows = requests_of(spark, sf)
     line = X.rewrite_agent_in_line(F.col("raw_line"), F.col("user_agent"), B.CHROME)
     return rows.select("line_no", line.alias("line"))
+
+
+# --- a second mapping of the events, one rule a client ------------------------------------------
+
+
+@core.query(
+    "session_rules_all",
+    B.with_ctes(
+        "SELECT ip, requests, rule_code, heuristic_label, heuristic_confidence FROM labelled",
+        D.SCENARIO_SQL, B.SES, B.FLAG, B.CHAR_ENTROPY, B.INPUTS, B.FEATS, B.LABELLED,
+    ),
+    "rules 1-33 without signals",
+)
+def _(spark, sf):
+    """Every event becomes a client that behaves as one of the rules describes."""
+    return R.label_sessions(D.scenario_requests(spark, sf)).select(
+        "ip", "requests", "rule_code", "heuristic_label", "heuristic_confidence"
+    )
+
+
+@core.query(
+    "rules_found",
+    B.with_ctes(
+        "SELECT rule_code, count(*) AS sessions FROM labelled GROUP BY rule_code",
+        D.SCENARIO_SQL, B.SES, B.FLAG, B.CHAR_ENTROPY, B.INPUTS, B.FEATS, B.LABELLED,
+    ),
+    "rules, how often each decides",
+)
+def _(spark, sf):
+    return R.label_sessions(D.scenario_requests(spark, sf)).groupBy("rule_code").agg(F.count("*").alias("sessions"))

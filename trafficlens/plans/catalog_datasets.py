@@ -151,24 +151,22 @@ def _(spark, sf):
 @datasets.query(
     "topped_up_dataset",
     B.over_requests(
-        """WITH_BOTS""".replace(
-            "WITH_BOTS",
-            """SELECT provenance, count(*) AS n FROM (
-        SELECT provenance FROM ds WHERE label < 0.5 OR user_id % 8 = 0
+        """SELECT provenance, count(*) AS n FROM (
+        SELECT provenance FROM ds
         UNION ALL SELECT 'extra' FROM (SELECT row_number() OVER () AS k FROM ds WHERE label > 0.5)
         WHERE k <= (SELECT least(floor(greatest(b, h // 2) * 0.3::DOUBLE), greatest(0, greatest(b, h // 2) - b))
-          FROM (SELECT count_if(label > 0.5) AS b, count_if(label < 0.5) AS h
-                FROM ds WHERE label < 0.5 OR user_id % 8 = 0))) GROUP BY provenance""",
-        ),
+          FROM (SELECT count_if(label > 0.5 AND user_id % 8 = 0) AS b, count_if(label < 0.5 OR user_id % 8 <> 0) AS h
+                FROM ds))) GROUP BY provenance""",
         DEC, DSQ,
     ),
     "U3",
 )
 def _(spark, sf):
+    """All rows, of which only the bots of one agent count as bots, so that they fall short."""
     rows = D.feature_rows(spark, sf)
     extra = rows.filter("label > 0.5").withColumn("provenance", F.lit("extra"))
-    few = rows.filter("label < 0.5 OR user_id % 8 = 0")
-    return DS.top_up(few, extra).groupBy("provenance").agg(F.count("*").alias("n"))
+    scarce = rows.withColumn("label", F.expr("IF(label > 0.5 AND user_id % 8 = 0, 1D, 0D)"))
+    return DS.top_up(scarce, extra).groupBy("provenance").agg(F.count("*").alias("n"))
 
 
 @datasets.query(

@@ -43,6 +43,8 @@ actors AS (SELECT *, CASE WHEN (hit_honeypot OR hit_probe) AND invited AND ran_f
     coalesce(reasons, []) AS reasons
   FROM seen FULL JOIN judged USING (ip))),
 sa AS (SELECT * FROM actors WHERE max_score IS NOT NULL)"""
+#: The same with every client seen and judged; the one above leaves some out, to show what is missing.
+ALL_ACTORS_SQL = ACTORS_SQL.replace("WHERE user_id % 9 <> 8", "").replace("WHERE user_id % 10 <> 7", "")
 
 
 def visited(spark, sf):
@@ -62,13 +64,15 @@ def visited(spark, sf):
     )
 
 
-def judged_of(spark, sf):
-    return V.verdicts(D.decisions(spark, sf).filter("user_id % 10 <> 7"))
+def judged_of(spark, sf, holes=False):
+    """Verdicts per client; with ``holes`` one client in ten was never judged."""
+    return V.verdicts(D.decisions(spark, sf).filter("user_id % 10 <> 7" if holes else "true"))
 
 
-def actors_of(spark, sf):
-    seen = V.evidence(visited(spark, sf).filter("user_id % 9 <> 8"), ["tok a", "other"])
-    return V.actors(seen, judged_of(spark, sf))
+def actors_of(spark, sf, holes=False):
+    """Clients with evidence and verdicts; with ``holes`` one in nine was never seen either."""
+    seen = V.evidence(visited(spark, sf).filter("user_id % 9 <> 8" if holes else "true"), ["tok a", "other"])
+    return V.actors(seen, judged_of(spark, sf, holes))
 
 
 @evaluation.query(
@@ -83,7 +87,7 @@ def actors_of(spark, sf):
 )
 def _(spark, sf):
     joined = F.when(F.size("reasons") > 0, F.array_join("reasons", ","))
-    rows = actors_of(spark, sf).withColumn("reasons", joined)
+    rows = actors_of(spark, sf, holes=True).withColumn("reasons", joined)
     return rounded(rows, "max_score", "max_model_score")
 
 
@@ -95,7 +99,7 @@ def _(spark, sf):
         count_if(truth = 'unlabeled')::BIGINT AS unlabeled, count_if(invited)::BIGINT AS invited,
         count_if(invited AND ran_fingerprint)::BIGINT AS invited_ran,
         count_if(truth = 'bot') < 30 OR count_if(truth = 'human') < 30 AS inconclusive FROM sa""",
-        ACTORS_SQL,
+        ALL_ACTORS_SQL,
     ),
     "E10",
 )
@@ -119,7 +123,7 @@ SWEEP_SQL = " UNION ALL ".join(
 )
 
 
-@evaluation.query("threshold_sweep", B.over_requests(SWEEP_SQL, ACTORS_SQL), "E8")
+@evaluation.query("threshold_sweep", B.over_requests(SWEEP_SQL, ALL_ACTORS_SQL), "E8")
 def _(spark, sf):
     return V.threshold_sweep(actors_of(spark, sf))
 
@@ -130,7 +134,7 @@ def _(spark, sf):
         """SELECT reason, count_if(truth = 'bot')::BIGINT AS bot, count_if(truth = 'human')::BIGINT AS human,
         count_if(truth = 'conflict')::BIGINT AS conflict, count_if(truth = 'unlabeled')::BIGINT AS unlabeled,
         count(*) AS total FROM (SELECT truth, unnest(reasons) AS reason FROM sa) GROUP BY reason""",
-        ACTORS_SQL,
+        ALL_ACTORS_SQL,
     ),
     "E9",
 )
@@ -144,7 +148,7 @@ def _(spark, sf):
         """SELECT regexp_replace(ip, '[.][0-9]+$', '.x') AS ip, round(max_score, 6) AS max_score, requests
         FROM (SELECT * FROM sa WHERE truth = 'unlabeled' AND max_score > 0.85
               ORDER BY max_score DESC, ip LIMIT 20)""",
-        ACTORS_SQL,
+        ALL_ACTORS_SQL,
     ),
     "C18 B26",
 )
@@ -173,7 +177,7 @@ card AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall,
     B.over_requests(
         """SELECT detector, threshold, tp, fp, bots, humans, round(precision, 6) AS precision,
         round(recall, 6) AS recall, round(f1, 6) AS f1, round(fpr, 6) AS fpr FROM card""",
-        ACTORS_SQL, D.TRUTH_SQL, CARD_SQL,
+        ALL_ACTORS_SQL, D.TRUTH_SQL, CARD_SQL,
     ),
     "E28",
 )
@@ -187,7 +191,7 @@ def _(spark, sf):
     B.over_requests(
         """SELECT detector, min(threshold) AS threshold, arg_min(tp, threshold) AS bots_caught,
         max(bots) AS bots FROM card WHERE threshold IS NOT NULL AND fp <= 0 GROUP BY detector""",
-        ACTORS_SQL, D.TRUTH_SQL, CARD_SQL,
+        ALL_ACTORS_SQL, D.TRUTH_SQL, CARD_SQL,
     ),
     "E27",
 )
@@ -205,7 +209,7 @@ def _(spark, sf):
     "J17",
 )
 def _(spark, sf):
-    return V.unscored(judged_of(spark, sf), D.truth(spark, sf))
+    return V.unscored(judged_of(spark, sf, holes=True), D.truth(spark, sf))
 
 
 # --- dashboard counters -------------------------------------------------------------------
@@ -495,20 +499,31 @@ def _(spark, sf):
     return rows.select("tp", "fp", "fn", "tn")
 
 
+_OPTIONS = {name: ", ".join(f"{c!r}::DOUBLE" for c in confidences) for name, confidences in P.RULE_CONFIDENCES}
+_NAMED = ", ".join(f"{{'t': {B.sql_text(t)}, 'c': {c!r}::DOUBLE}}" for t, c in P.HUMAN_REASON_PREFIXES)
+
+
 @evaluation.query(
     "recovered_confidence",
-    B.over_requests("SELECT decision_id, confidence FROM dec WHERE heuristic_label = 'bot'"
-                    " AND score > confidence + 1e-6", DEC),
+    B.over_requests(
+        f"""SELECT decision_id, CASE WHEN len(found) = 1 THEN found[1] END AS confidence FROM (
+        SELECT decision_id, CASE heuristic_label WHEN 'bot' THEN bots
+            WHEN 'human' THEN CASE WHEN len(humans) > 1 THEN list_intersect(humans, named) ELSE humans END END AS found
+        FROM (SELECT *,
+          list_filter([{_OPTIONS["bot"]}], lambda c: abs(greatest(0.6::DOUBLE * model_score + 0.4::DOUBLE * c, c) - score) <= 1e-9) AS bots,
+          list_filter([{_OPTIONS["human"]}], lambda c: abs(least(0.6::DOUBLE * model_score + 0.4::DOUBLE * c, 1 - c) - score) <= 1e-9) AS humans,
+          list_transform(list_filter([{_NAMED}], lambda n: starts_with(heuristic_reason, n.t)), lambda n: n.c) AS named
+          FROM dec))""",
+        DEC,
+    ),
     "B38",
-)
+)
 def _(spark, sf):
-    rows = D.decisions(spark, sf).filter(
-        (F.col("heuristic_label") == "bot") & (F.col("score") > F.col("confidence") + 1e-6)
-    )
+    """All decisions: bots, humans whose confidence the reason settles, and integrations without one."""
     found = S.recovered_confidence(
         F.col("heuristic_label"), F.col("score"), F.col("model_score"), F.col("heuristic_reason")
     )
-    return rows.select("decision_id", found.alias("confidence"))
+    return D.decisions(spark, sf).select("decision_id", found.alias("confidence"))
 
 
 NETWORK_OVER_ARRAY = B.network_sql([f"features[{i + 1}]" for i in range(len(FEATURES))])

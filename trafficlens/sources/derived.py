@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import blend
 from ..schema import FEATURES
-from .adapters import requests_of
+from .adapters import CHROME, requests_of
 
 
 def events_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,3 +286,76 @@ sc AS (
   SELECT CAST(d.doc_id AS VARCHAR) AS ip, (n_chars % 211) / 211.0::DOUBLE AS score,
     quality AS label
   FROM documents d JOIN labels l USING (doc_id))"""
+
+
+# --- clients that behave as one rule describes ---------------------------------------------------
+
+#: Name of the behaviour and how many requests a client of it sends.
+SCENARIOS = [
+    ("UNIFORM_TIMING", 8), ("HTTP10", 7), ("CDN_BYPASS", 3), ("PROTECTED_SCAN", 4), ("ATTACK_TOOL", 3), ("BOTNET", 6),
+    ("DIR_BRUTE", 40), ("UA_ROTATION", 9), ("SAME_ENDPOINT", 12), ("HIGH_RATE", 20), ("REPEATED_PATH", 40), ("CRED_PARAM", 6),
+    ("CRED_BRUTE", 12), ("POST_BRUTE", 20), ("BURST", 40), ("ERROR_RATE", 14), ("SCANNER_PATH", 2), ("UNKNOWN_UA", 7),
+    ("NO_REFERER", 25), ("BROWSER_OK", 9), ("INTEGRATION", 2), ("EXPLORING", 6), ("REFERER_CHAIN", 4), ("VARIABLE_TIMING", 5),
+    ("DEFAULT", 1), ("KNOWN_BOT_UA", 2), ("NIGHT", 35),
+]
+#: Two events in a thousand become clients of very many requests.
+RARE = [("RAW_VOLUME", 2001), ("PAGES_100", 120)]
+
+_NAMES = "array(" + ", ".join(f"'{n}'" for n, _ in SCENARIOS) + ")"
+_SIZES = "array(" + ", ".join(str(k) for _, k in SCENARIOS) + ")"
+# Columns of a request by behaviour ``s`` and number ``i``, as SQL that both engines read.
+_OFFSET_US = """CASE s WHEN 'UNIFORM_TIMING' THEN i * 10000000 WHEN 'HIGH_RATE' THEN i * 500000 + (i * i % 3) * 90000
+    WHEN 'BURST' THEN i * 10000 + (i * i % 3) * 3000 WHEN 'CRED_BRUTE' THEN i * 10000000 + (i * i % 7) * 1000000
+    WHEN 'RAW_VOLUME' THEN i * 200000 + (i * i % 7) * 20000 WHEN 'PAGES_100' THEN i * 4000000 + (i * i % 7) * 100000
+    WHEN 'VARIABLE_TIMING' THEN CASE WHEN i = 4 THEN 900000000 ELSE i * 1000000 END
+    WHEN 'BROWSER_OK' THEN i * 20000000 + (i * i % 7) * 1700000
+    ELSE i * 20000000 + (i * i % 7) * 1700000 END"""
+_URL = """CASE s WHEN 'PROTECTED_SCAN' THEN concat('/dashboard/', i) WHEN 'BOTNET' THEN CASE WHEN i % 2 = 0 THEN '/device' ELSE concat('/p', i) END
+    WHEN 'SAME_ENDPOINT' THEN '/only.html' WHEN 'REPEATED_PATH' THEN CASE WHEN i % 10 = 0 THEN concat('/p', i, '.html') ELSE '/same.html' END
+    WHEN 'CRED_PARAM' THEN concat('/x', i % 4, '?api_key=', i) WHEN 'CRED_BRUTE' THEN concat('/login', i % 3)
+    WHEN 'POST_BRUTE' THEN concat('/login', i % 3) WHEN 'RAW_VOLUME' THEN concat('/image/', i % 50, '.png')
+    WHEN 'SCANNER_PATH' THEN '/.git/config' WHEN 'REFERER_CHAIN' THEN concat('/p', i % 2, '.html')
+    WHEN 'VARIABLE_TIMING' THEN concat('/p', i % 2, '.html') ELSE concat('/p', i % 9, '.html') END"""
+_AGENT = f"""CASE s WHEN 'CDN_BYPASS' THEN 'Sucuri proxy' WHEN 'ATTACK_TOOL' THEN 'Wapiti/3.0' WHEN 'UA_ROTATION' THEN concat('{CHROME}', i)
+    WHEN 'UNKNOWN_UA' THEN 'CustomAgent/1.0' WHEN 'INTEGRATION' THEN 'Stripe/1.0 (webhooks)' WHEN 'KNOWN_BOT_UA' THEN 'curl/8.0'
+    WHEN 'EXPLORING' THEN '-' WHEN 'REFERER_CHAIN' THEN '-' WHEN 'VARIABLE_TIMING' THEN '-' WHEN 'DEFAULT' THEN '-' ELSE '{CHROME}' END"""
+_REFERER = """CASE WHEN s IN ('PROTECTED_SCAN', 'NO_REFERER', 'DEFAULT') THEN '-' ELSE 'https://shop.example/' END"""
+_STATUS = "CASE WHEN s = 'DIR_BRUTE' AND i % 10 < 8 THEN 404 WHEN s = 'ERROR_RATE' AND i % 10 < 6 THEN 500 ELSE 200 END"
+_START_US = f"{1_704_067_200_000_000} + (CASE WHEN s = 'NIGHT' THEN 10800 ELSE 43200 END + event_id % 300) * 1000000"
+
+
+def scenario_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a client of its own that behaves as one rule describes; the source of the
+    remaining rules, which the first mapping never reaches."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+    rare = "CASE event_id % 1000 WHEN 7 THEN '{}' WHEN 8 THEN '{}' END".format(*(n for n, _ in RARE))
+    size = "CASE event_id % 1000 WHEN 7 THEN {} WHEN 8 THEN {} END".format(*(k for _, k in RARE))
+    place = f"int(event_id % {len(SCENARIOS)})"
+    clients = events.selectExpr(
+        "event_id", f"coalesce({rare}, {_NAMES}[{place}]) AS s", f"coalesce({size}, {_SIZES}[{place}]) AS n"
+    ).selectExpr("*", "explode(sequence(0L, n - 1L)) AS i")
+    rows = clients.selectExpr(
+        "concat('172.', event_id div 65536, '.', event_id div 256 % 256, '.', event_id % 256) AS ip",
+        f"{_START_US} + {_OFFSET_US} AS ts_us",
+        "IF(s = 'POST_BRUTE', 'POST', 'GET') AS method",
+        f"{_URL} AS url", f"{_STATUS} AS status", "1234L AS size", f"{_REFERER} AS referer", f"{_AGENT} AS user_agent",
+        "IF(s = 'HTTP10', 'GET / HTTP/1.0', 'GET / HTTP/1.1') AS raw_line",
+        "'' AS src_file", "0L AS src_block", "event_id * 10000 + i AS line_no",
+    )
+    ts = F.timestamp_micros("ts_us")
+    return rows.withColumn("ts", ts).withColumn("local_hour", F.hour("ts")).withColumn("local_date", F.to_date("ts"))
+
+
+SCENARIO_SQL = f"""
+clients AS (SELECT event_id, s, unnest(range(n)) AS i FROM (
+  SELECT event_id, CASE event_id % 1000 WHEN 7 THEN '{RARE[0][0]}' WHEN 8 THEN '{RARE[1][0]}'
+      ELSE [{", ".join(f"'{n}'" for n, _ in SCENARIOS)}][1 + event_id % {len(SCENARIOS)}] END AS s,
+    CASE event_id % 1000 WHEN 7 THEN {RARE[0][1]} WHEN 8 THEN {RARE[1][1]}
+      ELSE [{", ".join(str(k) for _, k in SCENARIOS)}][1 + event_id % {len(SCENARIOS)}] END AS n FROM events)),
+req AS (
+  SELECT *, make_timestamp(ts_us) AS ts, hour(make_timestamp(ts_us)) AS local_hour, split_part(url, '?', 1) AS path
+  FROM (SELECT '172.' || (event_id // 65536) || '.' || (event_id // 256 % 256) || '.' || (event_id % 256) AS ip,
+    {_START_US} + {_OFFSET_US} AS ts_us, CASE WHEN s = 'POST_BRUTE' THEN 'POST' ELSE 'GET' END AS method,
+    {_URL} AS url, {_STATUS} AS status, {_REFERER} AS referer, {_AGENT} AS user_agent,
+    CASE WHEN s = 'HTTP10' THEN 'GET / HTTP/1.0' ELSE 'GET / HTTP/1.1' END AS raw_line, event_id * 10000 + i AS line_no
+    FROM clients))"""
