@@ -55,24 +55,67 @@ def test_vector_links_by_brute_force(spark, vectors):
     assert vector_links.linked_vectors(table.where("false")).count() == 0
 
 
-def test_graph_recall_on_a_large_shard():
+def links_by_matrix(x, y, least=0.93):
+    near = x @ y.T >= least
+    return near & ~np.eye(len(x), dtype=bool) if x is y else near
+
+
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("noise", [0.02, 0.1, 0.2])
+def test_meetings_find_the_links(noise):
+    """Groups of eight, tight and loose; one shard with itself and two with each other."""
     draw = np.random.default_rng(4)
-    centres = draw.normal(size=(150, 32))
-    x = np.repeat(centres, 8, axis=0) + 0.2 * draw.normal(size=(1200, 32))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(np.repeat(draw.normal(size=(150, 32)), 8, axis=0) + noise * draw.normal(size=(1200, 32)))
+    ones = np.ones(1200, dtype=int)
     graph = vector_links.SmallWorld(x, np.arange(1200))
-    beam = graph.audited_beam(0.93)
-    true = x @ x.T >= 0.93
-    found = sum(len(graph.similar(q, 0.93, beam)) for q in x)
-    assert 0.98 * true.sum() <= found <= true.sum()
+    meeting = vector_links.Meeting(graph, graph, 0.93)
+    links, _, ties = meeting.links(ones, ones)
+    true = links_by_matrix(x, x)
+    assert meeting.found >= 0.99 * meeting.audited > 0
+    assert 0.98 * true.sum() <= links.sum() and (links <= true.sum(axis=1)).all()
+    assert all(true[i, j] or i == j for i, j in ties)
+    a, b = (vector_links.SmallWorld(x[k::2], np.arange(600)) for k in (0, 1))
+    of_a, of_b, _ = vector_links.Meeting(a, b, 0.93).links(ones[:600], ones[:600])
+    assert of_a.sum() == of_b.sum() >= 0.98 * links_by_matrix(x[0::2], x[1::2]).sum()
+
+
+def test_a_large_group_is_a_few_vertices():
+    draw = np.random.default_rng(6)
+    x = unit(np.concatenate([draw.normal(size=(300, 16)), draw.normal(size=16) + 0.02 * draw.normal(size=(4000, 16))]))
+    graph = vector_links.SmallWorld(x, np.arange(4300))
+    assert len(graph.vertices) < 400
+    links, _, ties = vector_links.Meeting(graph, graph, 0.93).links(np.full(4300, 2), np.full(4300, 2))
+    assert (links == 2 * links_by_matrix(x, x).sum(axis=1)).all() and len(ties) < 4300
 
 
-def test_beam_widens_over_a_large_group():
-    draw = np.random.default_rng(6)
-    x = np.concatenate([draw.normal(size=(300, 16)), draw.normal(size=16) + 0.02 * draw.normal(size=(400, 16))])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    graph = vector_links.SmallWorld(x, np.arange(700))
-    assert len(graph.similar(x[699], 0.93, 32)) == int((x @ x[699] >= 0.93).sum())
+def test_a_failed_audit_compares_all(monkeypatch):
+    """A graph whose neighbours were cut off finds nothing; no link is lost for that."""
+    draw = np.random.default_rng(7)
+    x = unit(np.repeat(draw.normal(size=(40, 16)), 4, axis=0) + 0.15 * draw.normal(size=(160, 16)))
+    graph = vector_links.SmallWorld(x, np.arange(160))
+    graph.levels = [{i: [] for i in level} for level in graph.levels]
+    meeting = vector_links.Meeting(graph, graph, 0.93)
+    assert meeting.exact
+    links, _, _ = meeting.links(np.ones(160, int), np.ones(160, int))
+    assert (links == links_by_matrix(x, x).sum(axis=1)).all()
+
+
+def test_shards_meet_and_report_their_recall(spark, monkeypatch):
+    monkeypatch.setattr(vector_links, "SHARD", 50)
+    draw = np.random.default_rng(3)
+    x = np.repeat(draw.normal(size=(60, 12)), 5, axis=0) + 0.1 * draw.normal(size=(300, 12))
+    table = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    _, classes, found = vector_links.found_links(table)
+    assert classes.select("label", "shard").distinct().count() == 6
+    reports = vector_links.audits(found).collect()
+    assert len(reports) == 12 and all(r.recall >= 0.99 or r.audited == 0 for r in reports)
+    got = {r.vec_id: r.n_links for r in vector_links.linked_vectors(table).collect()}
+    u = unit(x)
+    near = (u @ u.T >= 0.93) & (np.arange(300)[:, None] % 2 == np.arange(300) % 2) & ~np.eye(300, dtype=bool)
+    assert sum(got.values()) >= 0.99 * near.sum() and all(got[i] <= n for i, n in enumerate(near.sum(axis=1)))
 
 
 def test_top_products_by_brute_force(spark, vectors):
