@@ -19,7 +19,8 @@ def verified_engines(addresses: DataFrame, ranges: DataFrame, dns: DataFrame) ->
     """(ip, engine): by published range (first listed wins), else by a host name that
     resolves back to the address and ends in a suffix of the engine.
 
-    ``ranges`` is (position, engine, cidr, prefix), ``dns`` (ip, hostname, addresses).
+    ``ranges`` is (position, engine, cidr, prefix), ``dns`` (ip, hostname, addresses, place). Of several
+    lookups of one address the last one counts, also if it does not lead back.
     """
     by_range = (
         in_blocks(addresses, ranges, carry=("position", "engine"))
@@ -31,11 +32,9 @@ def verified_engines(addresses: DataFrame, ranges: DataFrame, dns: DataFrame) ->
     for engine, _, suffixes in P.CRAWLER_ENGINES:
         fits = reduce(or_, [(host == s) | host.endswith("." + s) for s in suffixes])
         named = F.when(fits, engine) if named is None else named.when(fits, engine)
-    # several names of one address: the greatest one decides
+    last = dns.groupBy("ip").agg(F.max_by(F.struct("hostname", "addresses"), "place").alias("last"))
     by_name = (
-        dns.filter(F.array_contains("addresses", F.col("ip")))
-        .groupBy("ip")
-        .agg(F.max_by(named, host).alias("name_engine"))
+        last.select("ip", "last.*").filter(F.array_contains("addresses", F.col("ip"))).select("ip", named.alias("name_engine"))
     )
     return (
         addresses.join(by_range, "ip", "left")

@@ -71,6 +71,24 @@ def forensic_bots(requests: DataFrame, rules: DataFrame, keys=("ip", "user_agent
     )
 
 
+def external_humans(rows: DataFrame, row_no: Column, name: str) -> DataFrame:
+    """Human rows of another source (features, label): a group of its own each, as nothing is known of
+    who sent them, and the source as provenance."""
+    return rows.filter(F.col("label") <= 0.5).select(
+        *FEATURES,
+        F.lit(0.0).alias("label"),
+        F.concat(F.lit(f"{name}_human_"), row_no.cast("string")).alias("group_id"),
+        F.lit(f"{name}_human").alias("provenance"),
+        F.lit(name).alias("day"),
+    )
+
+
+def real_dataset(bots: DataFrame, humans: DataFrame, supplement: DataFrame | None = None) -> DataFrame:
+    """Observed bots with the humans of another source; made-up bots only top a small class up."""
+    whole = combine(bots, humans)
+    return whole if supplement is None else top_up(whole, supplement)
+
+
 def same_site(requests: DataFrame, labels: DataFrame, site: str, min_requests=P.MIN_SESSION_REQUESTS,
               per_actor=P.MAX_SESSIONS_PER_ACTOR) -> DataFrame:
     """Rows of labelled actors of one site, per day: at most ``per_actor`` sessions each.

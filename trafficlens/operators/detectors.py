@@ -7,7 +7,7 @@ A detector is a function of the request table and the decision table.  Positions
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -181,24 +181,24 @@ def ladder(truth: DataFrame, verdicts: DataFrame, detectors=None) -> DataFrame:
 
 
 def beats(cells: DataFrame, subject: str, baselines) -> DataFrame:
-    """Per (config, level, baseline): recall clearly above and not more humans flagged."""
-    pooled = cells.filter(F.col("seed").isNull())
-    humans = pooled.filter(F.col("level") == "humans").select(
-        "config", "detector", F.col("k").alias("fp")
-    )
-    bots = pooled.filter(F.col("level") != "humans").join(humans, ["config", "detector"], "left")
-    ours = bots.filter(F.col("detector") == subject).select(
-        "config", "level", F.col("k").alias("our_k"), F.col("n").alias("our_n"), F.col("fp").alias("our_fp")
-    )
-    theirs = bots.filter(F.col("detector").isin(*baselines))
-    return theirs.join(ours, ["config", "level"]).select(
+    """Per (config, level, baseline): recall clearly above and not more humans flagged.
+
+    The detectors of a cell are put side by side in one aggregate; a config has a few levels.
+    """
+    of = F.map_from_entries(F.collect_list(F.struct("detector", F.struct("k", "n"))))
+    pooled = cells.filter(F.col("seed").isNull() & F.col("detector").isin(subject, *baselines))
+    levels = pooled.groupBy("config", "level").agg(of.alias("of"))
+    people = F.first(F.when(F.col("level") == "humans", F.col("of")), ignorenulls=True)
+    levels = levels.withColumn("humans", people.over(Window.partitionBy("config"))).filter(F.col("level") != "humans")
+    rows = levels.withColumn("baseline", F.explode(F.array(*[F.lit(b) for b in baselines])))
+    of = lambda column, detector: F.try_element_at(column, detector)
+    ours, theirs = of(F.col("of"), F.lit(subject)), of(F.col("of"), F.col("baseline"))
+    false_alarms = [of(F.col("humans"), d)["k"] for d in (F.lit(subject), F.col("baseline"))]
+    return rows.filter(ours.isNotNull() & theirs.isNotNull()).select(
         "config",
         "level",
-        F.col("detector").alias("baseline"),
-        (
-            clearly_above(F.col("our_k"), F.col("our_n"), F.col("k"), F.col("n"))
-            & (F.col("our_fp") <= F.col("fp"))
-        ).alias("beats"),
+        "baseline",
+        (clearly_above(ours["k"], ours["n"], theirs["k"], theirs["n"]) & (false_alarms[0] <= false_alarms[1])).alias("beats"),
     )
 
 

@@ -185,6 +185,21 @@ def train_baseline(dataset: DataFrame, kind: str, drop=(), trees=200, seed=0):
     return Pipeline(stages=[*stages, model]).fit(rows)
 
 
+def held_out_baseline(split: DataFrame, kind: str, drop=(), trees=200, seed=0) -> DataFrame:
+    """Rows of both sides with the score of a baseline that was fitted on the side ``train`` only."""
+    known = split.filter("split = 'train'")
+    classes = known.select((F.col("label") > 0.5).alias("bot")).distinct().count()
+    if classes < 2:
+        raise ValueError("the training side holds one class only")
+    return baseline_scores(train_baseline(known, kind, drop, trees, seed), split)
+
+
+def log_loss(dataset: DataFrame, network: Network) -> float:
+    """Mean cross-entropy of the network's answers."""
+    p = F.least(F.greatest(network_score(network), F.lit(1e-12)), F.lit(1 - 1e-12))
+    return dataset.agg(F.avg(-F.when(F.col("label") > 0.5, F.log(p)).otherwise(F.log(1 - p)))).first()[0]
+
+
 def baseline_scores(fitted, dataset: DataFrame) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 

@@ -10,6 +10,7 @@ from ..operators import responses as RE
 from ..operators import training as TR
 from ..operators.metrics import roc_auc
 from ..schema import FEATURES, STATUS_FEATURES
+from ..session import cut_lineage
 from ..sources import derived as D
 from ..sources.adapters import requests_of
 from ..sources.feeds import forensic_rules
@@ -106,6 +107,26 @@ def _(spark, sf):
     )
 
 
+@datasets.query(
+    "real_dataset",
+    B.over_labelled(
+        """SELECT provenance, label, count(*) AS n, count(DISTINCT group_id) AS groups FROM (
+        SELECT CASE WHEN g.category IS NOT NULL THEN 'ground_truth:' || g.category ELSE 'heuristic' END AS provenance,
+          1.0::DOUBLE AS label, l.ip AS group_id FROM labelled l LEFT JOIN gt g USING (ip, session_no)
+        WHERE requests >= 3 AND (g.category IS NOT NULL OR heuristic_label = 'bot')
+        UNION ALL SELECT 'archive_human', 0.0, line_no::VARCHAR FROM ds WHERE label <= 0.5) GROUP BY ALL""",
+        MATCH_SQL, DEC, DSQ,
+    ),
+    "F3",
+)
+def _(spark, sf):
+    """Bots found by rules in the requests, humans of another source with their provenance."""
+    bots = DS.forensic_bots(requests_of(spark, sf), forensic_rules(spark, RULES))
+    humans = DS.external_humans(D.feature_rows(spark, sf), F.col("line_no"), "archive")
+    rows = DS.real_dataset(bots, humans).groupBy("provenance", "label")
+    return rows.agg(F.count("*").alias("n"), F.count_distinct("group_id").alias("groups"))
+
+
 @datasets.query(
     "same_site_dataset",
     B.with_ctes(
@@ -423,6 +444,59 @@ datasets.query("logistic_baseline", None, "F11")(_baseline("logistic"))
 datasets.query("forest_baseline", None, "F11")(_baseline("forest"))
 
 
+#: What must hold of every trained network: its size, finite weights, a lower loss than it began with, both answers.
+FACTS_SQL = "SELECT 85 AS weights, true AS finite, true AS loss_fell, 2 AS answers"
+
+
+def _facts(spark, rows, network, before):
+    """One row over the rows the network was trained on."""
+    fell = TR.log_loss(rows, network) < TR.log_loss(rows, before)
+    finite = all(abs(w) < float("inf") for w in network.weights)
+    said = (S.network_score(network) > 0.5).alias("said")
+    return rows.agg(
+        F.lit(len(network.weights)).alias("weights"), F.lit(finite).alias("finite"), F.lit(fell).alias("loss_fell"),
+        F.count_distinct(said).cast("int").alias("answers"),
+    )
+
+
+@datasets.query("trained_network_facts", FACTS_SQL, "F9")
+def _(spark, sf):
+    rows = cut_lineage(learnable(spark, sf))
+    return _facts(spark, rows, TR.train(rows, epochs=40, rate=0.3), TR.train(rows, epochs=1, rate=0.0001))
+
+
+@datasets.query("trained_without_agent_facts", FACTS_SQL, "F12")
+def _(spark, sf):
+    rows = cut_lineage(learnable(spark, sf))
+    return _facts(spark, rows, TR.train_without_agent(rows, epochs=40, rate=0.3), TR.train_without_agent(rows, epochs=1, rate=0.0001))
+
+
+@datasets.query("fine_tuned_facts", FACTS_SQL, "F10")
+def _(spark, sf):
+    vector = F.array(*[F.col(f) for f in FEATURES])
+    rows = cut_lineage(learnable(spark, sf))
+    return _facts(spark, rows, TR.fine_tune(rows.select(vector.alias("features"), "label"), S.load_network(), epochs=20), S.load_network())
+
+
+def _held_out_baseline(kind, trees=200):
+    def run(spark, sf):
+        """Rows and groups of each side, and whether the baseline, fitted on one, has an area on both."""
+        scored = TR.held_out_baseline(split_of(spark, sf), kind, trees=trees)
+        sizes = scored.groupBy("split").agg(F.count("*").alias("n"), F.count_distinct("group_id").alias("groups"))
+        areas = roc_auc(scored, by=["split"])
+        return sizes.join(areas, "split").select("split", "n", "groups", (F.col("auc").between(0.0, 1.0)).alias("scored"))
+
+    return run
+
+
+HELD_OUT_SQL = B.over_requests(
+    "SELECT split, count(*) AS n, count(DISTINCT group_id) AS groups, true AS scored FROM ds JOIN splits USING (group_id) GROUP BY split",
+    DEC, DSQ, SPLIT_SQL,
+)
+datasets.query("logistic_held_out", HELD_OUT_SQL, "F11")(_held_out_baseline("logistic"))
+datasets.query("forest_held_out", HELD_OUT_SQL, "F11")(_held_out_baseline("forest", trees=50))
+
+
 # --- live replay -----------------------------------------------------------------------------
 
 HISTORY_COLUMNS = "requests, paths, top_endpoint, top_hits, clicks, last_60s, last_300s, min_gap_us, max_gap_us"

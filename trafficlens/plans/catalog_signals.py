@@ -295,7 +295,7 @@ creq AS (
       ELSE user_agent END AS user_agent) FROM req),
 engines AS (
   SELECT DISTINCT ip, user_id, CASE WHEN user_id % 5 = 1 THEN 'google' WHEN user_id % 5 = 2 THEN 'bing'
-    WHEN user_id % 7 = 3 THEN 'yandex' END AS engine FROM req)"""
+    WHEN user_id % 7 = 3 AND user_id % 14 <> 3 THEN 'yandex' END AS engine FROM req)"""
 
 
 def claiming(spark, sf):
@@ -317,13 +317,14 @@ def engines_of(spark, sf):
         F.when(uid % 5 == 1, "google").otherwise("bing").alias("engine"),
         F.concat(F.substring_index("ip", ".", 3), F.lit(".0/24")).alias("cidr"),
     )
-    dns = people.select(
-        "ip",
-        F.when(uid % 7 == 3, F.concat(F.lit("spider-"), uid.cast("string"), F.lit(".yandex.ru")))
-        .otherwise("pc.example.org")
-        .alias("hostname"),
-        F.array("ip").alias("addresses"),
+    spider = F.concat(F.lit("spider-"), uid.cast("string"), F.lit(".yandex.ru"))
+    name = F.when(uid % 7 == 3, spider).otherwise("pc.example.org").alias("hostname")
+    first = people.select("ip", name, F.array("ip").alias("addresses"), F.lit(0).alias("place"))
+    # a later lookup of some spiders leads back to another address, and counts
+    later = people.filter(uid % 14 == 3).select(
+        "ip", F.concat(F.lit("a"), spider).alias("hostname"), F.array(F.lit("10.9.9.9")).alias("addresses"), F.lit(1).alias("place")
     )
+    dns = later.unionByName(first)
     ranges = ranges.withColumn("prefix", block_prefix(F.col("cidr")))
     return C.verified_engines(people.select("ip"), ranges, dns)
 

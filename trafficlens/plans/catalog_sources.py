@@ -441,7 +441,7 @@ def _(spark, sf):
         F.concat(F.lit("Host-"), F.col("user_id").cast("string"), F.lit(".Search.MSN.com")).alias("hostname"),
         F.concat(F.lit("['"), "ip", F.lit("', '10.9.9.9']")).alias("address_list"),
     )
-    return feeds.reverse_dns_table(rows).withColumn("addresses", F.array_join("addresses", ","))
+    return feeds.reverse_dns_table(rows).withColumn("addresses", F.array_join("addresses", ",")).drop("place")
 
 
 @sources.query(

@@ -64,7 +64,7 @@ def parse_crawler_feed(documents: DataFrame) -> DataFrame:
 
 
 def reverse_dns_table(rows: DataFrame) -> DataFrame:
-    """(ip, hostname, addresses) from client, hostname, address_list."""
+    """(ip, hostname, addresses, place) from client, hostname, address_list; ``place`` orders the rows."""
     listed = F.coalesce("address_list", F.lit(""))
     return rows.select(
         F.col("client").alias("ip"),
@@ -72,6 +72,7 @@ def reverse_dns_table(rows: DataFrame) -> DataFrame:
         F.array_distinct(
             F.regexp_extract_all(listed, F.lit(r"([0-9a-fA-F:.]{3,})"), F.lit(1))
         ).alias("addresses"),
+        F.monotonically_increasing_id().alias("place"),
     )
 
 
