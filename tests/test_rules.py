@@ -69,11 +69,11 @@ def test_rule_fires(verdicts, code):
 
 
 def test_reasons_carry_numbers(verdicts):
-    assert verdicts["UNIFORM_TIMING"].heuristic_reason == "uniform timing (avg 1.000s, near-zero variance)"
-    assert verdicts["PAGES_100"].heuristic_reason == "extremely high request count: 101 pages"
-    assert verdicts["SAME_ENDPOINT"].heuristic_reason == "all 12 requests to same endpoint: /products"
-    assert verdicts["BOTNET"].heuristic_reason == "botnet scanning pattern (9 IoT endpoint hits)"
-    assert verdicts["KNOWN_BOT_UA"].heuristic_reason == "known bot/monitoring UA: python-requests/2.28.0"
+    assert verdicts["UNIFORM_TIMING"].heuristic_reason == "uniform timing (one every 1.000 s, hardly any spread)"
+    assert verdicts["PAGES_100"].heuristic_reason == "extremely high request count: 101 page views"
+    assert verdicts["SAME_ENDPOINT"].heuristic_reason == "all 12 requests to same endpoint: always /products"
+    assert verdicts["BOTNET"].heuristic_reason == "botnet scanning pattern (9 requests to endpoints of devices)"
+    assert verdicts["KNOWN_BOT_UA"].heuristic_reason == "known bot/monitoring UA: named python-requests/2.28.0"
 
 
 BOUNDARIES = {

@@ -34,9 +34,9 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     reason = (
         F.when(kind.isin(0, 1), F.concat(F.lit("known bot/monitoring UA: "), "user_agent"))
         .when(kind == 4, F.lit("unknown user-agent: CustomAgent/1.0"))
-        .when(kind == 2, F.lit("known automated client (webhook/RPC): Stripe/1.0"))
-        .when(kind == 3, F.lit("variable timing (max/avg ratio: 4.0)"))
-        .otherwise("known browser, reasonable session (12 req, 90s)")
+        .when(kind == 2, F.lit("known automated client (sends webhooks or remote calls, as Stripe/1.0)"))
+        .when(kind == 3, F.lit("variable timing (the longest gap is 4.0 times the mean)"))
+        .otherwise("known browser, reasonable session (12 requests over 90 s)")
     )
     vector = F.array(*[((eid * (i + 3)) % 101) / F.lit(101.0) for i in range(len(FEATURES))])
     model = ((eid * 37 + uid * 11) % 1000) / F.lit(1000.0)
@@ -80,9 +80,9 @@ dec0 AS (
       WHEN 3 THEN 0.7 ELSE 0.75 END::DOUBLE AS confidence,
     CASE WHEN user_id % 8 IN (0, 1) THEN 'known bot/monitoring UA: ' || user_agent
       WHEN user_id % 8 = 4 THEN 'unknown user-agent: CustomAgent/1.0'
-      WHEN user_id % 8 = 2 THEN 'known automated client (webhook/RPC): Stripe/1.0'
-      WHEN user_id % 8 = 3 THEN 'variable timing (max/avg ratio: 4.0)'
-      ELSE 'known browser, reasonable session (12 req, 90s)' END AS heuristic_reason
+      WHEN user_id % 8 = 2 THEN 'known automated client (sends webhooks or remote calls, as Stripe/1.0)'
+      WHEN user_id % 8 = 3 THEN 'variable timing (the longest gap is 4.0 times the mean)'
+      ELSE 'known browser, reasonable session (12 requests over 90 s)' END AS heuristic_reason
   FROM req),
 dec AS (
   SELECT *, score > 0.85 AS blocked, CASE WHEN score > 0.85 THEN 'bot' ELSE 'human' END AS label
