@@ -162,3 +162,20 @@ def test_exact_local_hour_is_used(spark, log):
     log.add(0, start=START + timedelta(hours=0)).add(1)
     night = log.table(spark).withColumn("local_hour", F.lit(3))
     assert FT.session_features(night).first().night_ratio == 1.0
+
+
+def test_a_scan_reads_its_source_once(spark, small, tmp_path):
+    """Session map and rows come from one exchange, for a table and for log text."""
+    from trafficlens.functions.scoring import load_network
+    from trafficlens.plans.scan import scan_sessions, scan_summary
+    from trafficlens.sources.adapters import combined_line, requests_of
+    from trafficlens.sources.logs import read_access_log
+
+    requests = requests_of(spark, small)
+    requests.select(combined_line().alias("value")).write.text(str(tmp_path / "log"))
+    log = read_access_log(spark, str(tmp_path / "log"), "nginx")
+    for source, kind in ((requests, "parquet"), (log, "text")):
+        summary = scan_summary(scan_sessions(source, load_network()))
+        assert summary.collect()[0].total_entries == requests.count()
+        plan = summary._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count(f"FileScan {kind}") == 1 and "ReusedExchange" in plan
