@@ -113,7 +113,7 @@ def in_files(df, path, n=4):
 
 
 def test_sessions_close_with_scores_as_in_the_batch(spark, small, tmp_path):
-    stored, network = requests_of(spark, small).cache(), S.load_network()
+    stored, network = requests_of(spark, small), S.load_network()
     path = in_files(stored, str(tmp_path))
     stream = L.stream_request_table(spark, path, stored.schema, files_per_trigger=1)
     live = drain(L.score_sessions(stream, network, timeout_s=600))
@@ -129,8 +129,8 @@ def test_sessions_close_with_scores_as_in_the_batch(spark, small, tmp_path):
 
 def test_shared_counts_follow_the_batch(spark, small, tmp_path):
     """Requests and submissions in several files, accepted ones counted behind the binding."""
-    stored = requests_of(spark, small).cache()
-    subs = D.submissions_of(stored).withColumn("ts", F.timestamp_micros("ts_us")).cache()
+    stored = requests_of(spark, small)
+    subs = D.submissions_of(stored).withColumn("ts", F.timestamp_micros("ts_us"))
     both = [
         L.stream_request_table(spark, in_files(df, str(tmp_path / name)), df.schema, files_per_trigger=1)
         for name, df in (("subs", subs), ("requests", stored))
@@ -155,7 +155,7 @@ def test_shared_counts_follow_the_batch(spark, small, tmp_path):
 
 def test_decisions_over_several_batches(spark, small, tmp_path):
     """A file a batch: histories are stored and taken up again."""
-    stored = requests_of(spark, small).where("user_id % 3 = 0").cache()
+    stored = requests_of(spark, small).where("user_id % 3 = 0")
     low, high = stored.agg(F.min("ts_us"), F.max("ts_us")).first()
     for k in range(4):
         part = F.floor((F.col("ts_us") - low) * 4 / (high - low + 1)) == k
