@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.llm.common import stored, without_keys
+from trafficlens.llm.common import named, stored, without_keys
 from trafficlens.llm.packing import packed_sequences
 from trafficlens.llm.quality_rank import keep_good
 from trafficlens.llm.queries import SURROGATE_KEY
@@ -26,22 +26,39 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of similar texts stays: that of the smallest id, null last.
+    """One row of each component of similar texts stays: that of the smallest id.
 
-    Rows are told apart by their place in the table, never by their id, so different texts that
-    share an id are judged each by itself. Of rows that repeat both, the first stays. Null and
+    Texts decide, not ids: different texts that share an id are judged each by itself, and of rows
+    that repeat both one stays, the first by its columns in order of their names. Null ids and
     wordless texts have no component and stay. All columns are kept.
     """
-    row = "row"
-    while row in docs.columns:
-        row += "_"
-    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    of = similar_documents(rows.select(F.col(row).alias("doc_id"), "text")).where("n_shingles > 0")
-    ids = rows.select(F.col(row).alias("place"), F.struct(F.col("doc_id").isNull(), "doc_id", row).alias("order"))
-    of = stored(of.select(F.col("doc_id").alias("place"), "component_id").join(ids, "place"), "components")
-    first = of.groupBy("component_id").agg(F.min("order").alias("first"))
-    gone = of.join(first, "component_id").where("order <> first").select(F.col("place").alias(row))
-    return without_keys(rows, gone, row).drop(row)
+    twice = stored(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    if twice.isEmpty():
+        return without_keys(docs, _copies(similar_documents(docs)), "doc_id")
+    # every text of a repeated id gets a key of its own, above all ids and in their order
+    above = docs.agg(F.max("doc_id")).first()[0] + 1
+    once, again = without_keys(docs, twice, "doc_id"), docs.join(twice, "doc_id", "left_semi")
+    texts = again.select("doc_id", "text").distinct().repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    texts = stored(texts.withColumn("key", F.monotonically_increasing_id() + above), "texts")
+    both = once.select("doc_id", "text").unionByName(texts.select(F.col("key").alias("doc_id"), "text"))
+    of = similar_documents(both).select(F.col("doc_id").alias("key"), "n_shingles", "component_id")
+    of = of.join(texts.select("key", F.col("doc_id").alias("id")), "key", "left").withColumn("id", F.coalesce("id", "key"))
+    of = stored(of, "components")
+    first = of.groupBy("component_id").agg(F.min(F.struct("id", "key"))["key"].alias("first"))
+    stays = stored(of.join(first, "component_id").select("key", "n_shingles", (F.col("key") == F.col("first")).alias("stays")), "stays")
+    judged = texts.join(stays.where("stays"), "key")
+    judged = judged.select(F.col("doc_id").alias("of"), F.col("text").alias("its"), "n_shingles")
+    kept = again.join(judged, (F.col("doc_id") == F.col("of")) & F.col("text").eqNullSafe(F.col("its")))
+    whole = F.struct(*named(sorted(docs.columns)))
+    first = kept.where("n_shingles > 0").groupBy("of", "its").agg(F.min(whole).alias("kept")).select("kept.*")
+    wordless = kept.where("n_shingles = 0").select(named(docs.columns))
+    gone = stays.where("NOT stays").select(F.col("key").alias("doc_id"))
+    return without_keys(once, gone, "doc_id").unionByName(first.select(named(docs.columns))).unionByName(wordless)
+
+
+def _copies(components: DataFrame) -> DataFrame:
+    """The ids that are not the smallest of their component."""
+    return stored(components.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
