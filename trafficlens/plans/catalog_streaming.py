@@ -37,7 +37,7 @@ def request_stream(spark, sf):
         GROUP BY ip, session_no)
         WHERE (end_us + 1800000000) // 1000 <= (SELECT max(ts_us) FROM req) // 1000 - 600000"""
     ),
-    "S3 C3 S1",
+    "S3 C3",
 )
 def _(spark, sf):
     return drain(L.closed_sessions(request_stream(spark, sf)))

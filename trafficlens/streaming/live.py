@@ -149,10 +149,6 @@ def live_counters(decisions: DataFrame, bins=20) -> DataFrame:
     ).agg(F.count("*").alias("n"), F.sum("score").alias("score_sum"))
 
 
-def blocked_counts(decisions: DataFrame) -> DataFrame:
-    return decisions.filter(F.col("label") == "bot").groupBy("ip").agg(F.count("*").alias("blocked"))
-
-
 def deduplicated(decisions: DataFrame, lateness="10 minutes") -> DataFrame:
     """Each decision once, by its id."""
     return decisions.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["decision_id"])
