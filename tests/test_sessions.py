@@ -138,6 +138,18 @@ def test_retained_history_is_bounded_and_ordered(spark, dense):
     assert {r.history[-1].line_no: [h.line_no for h in r.history] for r in got} == expected
 
 
+def test_a_request_is_shuffled_once(spark, log):
+    log.many(50, every=20, url=lambda i: f"/p{i}.html")
+    entries = FT._entries(FT._flagged(log.table(spark), ["ip"]), ["ip"], 300)
+    assert entries.count() == 50 + 4  # four views follow the start of a slice within twelve seconds
+    smap = SS.sessions_of_slices(FT._slices(entries, ["ip"]), ["ip"])
+    counts = FT._session_counts(FT._with_bursts_and_gaps(entries, smap, ["ip"]), ["ip"])
+    # paths differ, the agent and the status come along with them; one more for the views of a slice
+    assert counts.filter("n > 0").count() == 50 and counts.count() == 50 + 4
+    row = FT.session_features(log.table(spark)).first()
+    assert (row.requests, row.endpoint_count, row.requests_per_minute_1m) == (50, 50.0, 4.0)
+
+
 def test_history_inputs_agree_with_session_inputs(spark, log):
     log.many(60, every=lambda i: i * 3 + i % 4, url=lambda i: f"/p/{i % 9}.html" if i % 3 else "/x.css",
              status=lambda i: 404 if i % 4 == 0 else 200)

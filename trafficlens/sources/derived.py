@@ -327,7 +327,8 @@ _START_US = f"{1_704_067_200_000_000} + (CASE WHEN s = 'NIGHT' THEN 10800 ELSE 4
 def scenario_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a client of its own that behaves as one rule describes; the source of the
     remaining rules, which the first mapping never reaches."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+    # an id gives many requests, so ids are dealt to all cores, however few parts the file has
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id").repartition("event_id")
     rare = "CASE event_id % 1000 WHEN 7 THEN '{}' WHEN 8 THEN '{}' END".format(*(n for n, _ in RARE))
     size = "CASE event_id % 1000 WHEN 7 THEN {} WHEN 8 THEN {} END".format(*(k for _, k in RARE))
     place = f"int(event_id % {len(SCENARIOS)})"
