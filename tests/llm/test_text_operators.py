@@ -9,6 +9,8 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from trafficlens.llm import chunk_bpe, interpolated_lm, packing, quality_rank, shingle_join, surrogates
 
@@ -175,6 +177,30 @@ def test_quality_of_odd_rows(spark, odd, none):
     assert quality_rank.quality_scores(none, labels).count() == 0
 
 
+def test_quality_is_learned_from_every_labelled_document(spark):
+    unit = lambda i: F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(1000)) / 1000
+    features = spark.range(24_000).withColumnRenamed("id", "doc_id")
+    features = features.select("doc_id", *[unit(i).alias(f) for i, f in enumerate(quality_rank.FEATURES)]).localCheckpoint()
+    labels = features.select("doc_id", (F.col("log_bytes") + F.col("upper") + unit(99) > 1.2).cast("int").alias("quality"))
+    model = quality_rank.fit_ranking(features, labels)
+    worth = sum(F.col(f) * w for f, w in zip(quality_rank.FEATURES, model.weights, strict=True))
+    poor = labels.where("quality = 0").count() / 24_000
+    assert model.cut == pytest.approx(features.agg(F.percentile(worth, F.lit(poor))).first()[0], abs=1e-9)
+
+
+def test_places_and_quantiles_of_ranked_rows(spark):
+    ids = [*range(300), 7, 7, 7]
+    rows = spark.createDataFrame([(i % 2, i, [float(k)]) for k, i in enumerate(ids)], "quality int, doc_id long, f array<double>")
+    want = F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "f")) - 1
+    got = quality_rank.with_places(rows).withColumn("want", want).collect()
+    assert len(got) == len(ids) and all(r["place"] == r["want"] for r in got)
+    values = [0.0, 0.0, 1e-9, 1.0, 1.0, 1.0, 2.5, 1e12, -3.0, -1e300]
+    for size in (1, 2, 9, 10):
+        table = spark.createDataFrame([(v,) for v in values[:size]], "v double")
+        for at in (0.0, 0.25, 0.5, 0.9, 1.0):
+            assert quality_rank.value_at(table, "v", at) == table.agg(F.percentile("v", F.lit(at))).first()[0]
+
+
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 

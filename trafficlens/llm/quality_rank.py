@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 
 from .common import mapped, stored, text_batches, word_hashes
 
-#: Labelled documents that the fit takes at most (about; chosen by hash), and rivals of each.
-MAX_LABELLED = 20_000
+#: Documents of the other label that each one is compared with at least.
 RIVALS = 4
+#: Ranges of hashes in which labelled documents are numbered, and bins of a round of ``value_at``.
+HASH_BITS = 10
+BINS = 4096
 
 FEATURES = [
     "log_bytes", "log_words", "word_length", "distinct_words", "short_words", "upper", "digits",
@@ -107,26 +109,62 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(features @ np.array(self.weights) - self.cut, -500, 500)))
 
 
-def fit_ranking(features: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Ranking:
+def with_places(rows: DataFrame) -> DataFrame:
+    """Add ``place``, from 0 within each ``quality``, by the hash of doc_id and then by ``f``.
+
+    Numbered within ranges of the hash, each of which counts on from the sizes of those before it.
+    """
+    bucket = F.shiftright(F.xxhash64("doc_id"), 64 - HASH_BITS)
+    ranged = rows.withColumn("bucket", bucket)
+    before = Window.partitionBy("quality").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("quality", "bucket").agg(F.count("*").alias("n"))
+    sizes = sizes.select("quality", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    inside = F.row_number().over(Window.partitionBy("quality", "bucket").orderBy(F.xxhash64("doc_id"), "f")) - 1
+    placed = ranged.withColumn("inside", inside).join(F.broadcast(sizes), ["quality", "bucket"])
+    return placed.withColumn("place", F.col("first") + F.col("inside")).drop("bucket", "inside", "first")
+
+
+def value_at(values: DataFrame, column: str, at: float) -> float:
+    """The exact quantile ``at`` of a column of finite doubles, interpolated as ``percentile`` does.
+
+    Each round counts the values of a range in BINS bins and goes on in the bin that holds the
+    rank, so the driver gets BINS rows a round and no task more than its own rows.
+    """
+    v = F.col(column)
+    n, low, high = values.agg(F.count(v), F.min(v), F.max(v)).first()
+    position = (n - 1) * at
+    rank, skipped = math.floor(position), 0
+    while low < high:
+        inside = F.floor((v - F.lit(low)) / F.lit(high - low) * BINS)
+        bins = values.where((v >= low) & (v <= high)).groupBy(inside.alias("bin"))
+        for _, count, low, high in sorted(bins.agg(F.count("*"), F.min(v), F.max(v)).collect()):
+            if skipped + count > rank:
+                break
+            skipped += count
+    upto, above = values.agg(F.count_if(v <= low), F.min(F.when(v > low, v))).first()
+    after = math.ceil(position)
+    if after < upto:
+        return low
+    return (after - position) * low + (position - rank) * above
+
+
+def fit_ranking(features: DataFrame, labels: DataFrame) -> Ranking:
     """Learn from ``features`` (doc_id, FEATURES) and ``labels`` (doc_id, quality 0 or 1).
 
-    A doc_id that is null, or whose labels are null or differ, is left out. At most about
-    ``max_labelled`` labelled ids are used, those of lowest hash. Without both labels nothing can
-    be ranked: all weights are 0 and all scores 0.5.
+    A doc_id that is null, or whose labels are null or differ, is left out; all other labelled
+    documents take part in the preferences and in the cut. Without both labels nothing can be
+    ranked: all weights are 0 and all scores 0.5.
     """
     labels = labels.where("doc_id is not null").groupBy("doc_id").agg(
         F.min("quality").alias("quality"), F.max("quality").alias("hi"), F.count("quality").alias("n"), F.count("*").alias("m")
     )
     labels = labels.where("quality = hi and n = m and quality in (0, 1)").select("doc_id", "quality")
-    share = max_labelled / max(max_labelled, labels.count())
-    labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     rows = stored(features.join(labels, "doc_id").select("quality", F.array(*FEATURES).alias("f"), "doc_id"), "labelled")
     counts = dict(rows.groupBy("quality").count().collect())
     if len(counts) < 2:
         return Ranking([0.0] * len(FEATURES), 0.0)
     # each document meets RIVALS of the other label: places by hash order, wrapped around
-    place = F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "f")) - 1
-    placed = rows.withColumn("place", place.cast("long"))
+    placed = with_places(rows)
     good, poor = placed.where("quality = 1"), placed.where("quality = 0")
     least, most = min(counts.values()), max(counts.values())
     many, few = (good, poor) if counts[1] == most else (poor, good)
@@ -143,8 +181,7 @@ def fit_ranking(features: DataFrame, labels: DataFrame, max_labelled: int = MAX_
     weights = [float(w) for w in model.coefficients]
     worth = sum((F.col("f")[i] * w for i, w in enumerate(weights)), F.lit(0.0))
     at = counts[0] / (counts[0] + counts[1])
-    cut = rows.agg(F.percentile(worth, F.lit(at))).first()[0]  # over the bounded sample
-    return Ranking(weights, float(cut))
+    return Ranking(weights, value_at(stored(rows.select(worth.alias("worth")), "worths"), "worth", at))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -> DataFrame:
