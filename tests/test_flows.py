@@ -7,6 +7,7 @@ from trafficlens.functions import scoring as S
 from trafficlens.operators import fingerprints as FP
 from trafficlens.operators import training as TR
 from trafficlens.operators.datasets import group_holdout, leakage, rule_labelled, top_up_size
+from trafficlens.plans.catalog_datasets import learnable
 from trafficlens.plans.scan import scan_sessions
 from trafficlens.schema import FEATURES
 from trafficlens.sources import archive, days, exports
@@ -157,6 +158,13 @@ def test_rule_labelled_needs_three_requests(spark, small):
     assert rule_labelled(requests_of(spark, small)).filter("requests < 3").isEmpty()
 
 
+def test_rows_to_learn_from_are_made_once(spark, small):
+    rows = learnable(spark, small)
+    assert rows.inputFiles() == []  # read from the checkpoint, not from the events again
+    want = rule_labelled(requests_of(spark, small)).select(*FEATURES, "label", "ip")
+    assert rows.select(*FEATURES, "label", "ip").exceptAll(want).isEmpty() and rows.count() == want.count() > 0
+
+
 def test_registry_is_complete():
     from trafficlens.plans.catalog import COVERS, ORACLES, QUERIES
 
