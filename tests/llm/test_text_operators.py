@@ -301,6 +301,36 @@ def test_words_are_the_librarys():
     chunk_bpe.WORDS = old
 
 
+def test_latin_words_need_no_call_of_the_library_each():
+    bpe = chunk_bpe.WordBpe(CLIP)
+    draw = np.random.default_rng(4)
+    letters = [chr(c) for c in range(33, 0x180) if not 127 <= c <= 160]
+    words = ["".join(draw.choice(letters[:94] if i % 2 else letters, draw.integers(1, 12))) for i in range(5000)]
+    words += [w + end for w in ("it's", "Été", "naïve", "x²") for end in ("", ",", "&&&", ".)", "12")]
+    words = [w for w in words if "<|" not in w]
+    want = [e.ids for e in bpe.library.encode_batch_fast(words, add_special_tokens=False)]
+    asked = []
+
+    class Library:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    library, bpe.library = bpe.library, Library()
+    assert bpe.encode_batch([w.encode() for w in words]) == want
+    # only words with a character that lower case or white space treat in a way of its own
+    assert len(asked) < len(words) / 10 and not any(w.isascii() for w in asked)
+
+
+def test_a_vocabulary_with_a_token_out_of_reach_is_left_to_the_library():
+    single = [*chunk_bpe._byte_of(), *(c + "</w>" for c in chunk_bpe._byte_of())]
+    decided = lambda *pairs: chunk_bpe.PlainWords._decided_by_tokens(
+        {t: i for i, t in enumerate([*single, *(a + b for a, b in pairs)])}, list(pairs)
+    )
+    assert decided(("a", "b"), ("ab", "c"), ("b", "c"))
+    assert not decided(("b", "c"), ("a", "b"), ("ab", "c"))
+
+
 def test_cuts_depend_on_content():
     draw = np.random.default_rng(2)
     passage = bytes(draw.integers(97, 123, 60_000).astype(np.uint8))

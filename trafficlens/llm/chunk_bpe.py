@@ -9,14 +9,17 @@ with the chunks' ids at both of its ends.
 """
 
 import hashlib
+import json
 import os
 import re
+import unicodedata
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import _BYTE, _powers, key_filter, maybe_in, mixed, once_per_worker, stored, text_batches, word_places
+from .packing import _byte_of
 
 #: Bytes that the rolling hash sees; mean, least and greatest size of a chunk.
 WINDOW, MEAN, LEAST, MOST = 32, 2048, 256, 16_384
@@ -67,6 +70,104 @@ def chunk_name(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=16).digest()
 
 
+class PlainWords:
+    """The vocabulary of a tokenizers file run by a faster library, for words of Latin characters.
+
+    Words are parted as the file's pattern says and each part gets a mark that stands for its end;
+    then a pair is joined by the rank of the token it gives. That equals the file's list of pairs
+    where every token is reached by its own pair, which ``of`` makes sure of.
+    """
+
+    MARK, BREAK, END = "\x01", "\n", "</w>"
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    NORMAL = [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    ]
+
+    @classmethod
+    def of(cls, path: str):
+        """For a file of the form it holds for, else None."""
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        model = spec["model"]
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}, {}])
+        split = {"type": "Split", "pattern": {"Regex": cls.SPLIT}, "behavior": "Removed", "invert": True}
+        bytewise = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+        off = ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")
+        fits = (
+            (spec["normalizer"] or {}).get("normalizers") == cls.NORMAL
+            and len(steps) == 2
+            and steps[0] == split
+            and bytewise.items() <= steps[1].items()
+            and model["type"] == "BPE"
+            and model.get("end_of_word_suffix") == cls.END
+            and not any(model.get(name) for name in off)
+        )
+        if not fits:
+            return None
+        special = {t["content"] for t in spec["added_tokens"]}
+        vocab = {t: i for t, i in model["vocab"].items() if t not in special}
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        mark = next(c for c, b in _byte_of().items() if b == ord(cls.MARK))
+        if any(len(t) > 1 and t.endswith(mark) for t in vocab):
+            return None
+        return cls(vocab) if cls._decided_by_tokens(vocab, pairs) else None
+
+    @classmethod
+    def _decided_by_tokens(cls, vocab: dict, pairs: list[tuple]) -> bool:
+        """Whether ids rank the pairs, bytes come first, and the pairs build every token from its bytes."""
+        single = [*_byte_of(), *(c + cls.END for c in _byte_of())]
+        made = [vocab.get(a + b, -1) for a, b in pairs]
+        if any(t not in vocab for t in single) or len(vocab) != len(single) + len(pairs):
+            return False
+        if made != sorted(set(made)) or (made and made[0] <= max(vocab[t] for t in single)):
+            return False
+        rank = {p: i for i, p in enumerate(pairs)}
+        none = len(pairs)
+        for a, b in pairs:
+            whole = a + b
+            inner = whole.removesuffix(cls.END)
+            parts = [*inner[:-1], inner[-1:] + whole[len(inner) :]]
+            while len(parts) > 1:
+                k = min(range(len(parts) - 1), key=lambda i: rank.get((parts[i], parts[i + 1]), none))
+                if (parts[k], parts[k + 1]) not in rank:
+                    return False
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        return True
+
+    def __init__(self, vocab: dict):
+        import tiktoken
+
+        byte_of, mark = _byte_of(), self.MARK.encode()
+        ranks = {}
+        for token, i in vocab.items():
+            inner = token.removesuffix(self.END)
+            ranks[bytes(map(byte_of.__getitem__, inner)) + (mark if inner != token else b"")] = i
+        self.break_id = ranks[self.BREAK.encode()]
+        pattern = f"[^{self.MARK}{self.BREAK}]+{self.MARK}|{self.BREAK}"
+        self.whole = tiktoken.Encoding("plain words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        # below U+0250 characters are composed already, and lower case is one character each but for U+0130
+        kinds = {"L": "", "N": "", "other": ""}
+        for code in range(33, 0x250):
+            c = chr(code)
+            kind = unicodedata.category(c)[0]
+            if kind not in "CZ" and len(c.lower()) == 1 and c.lower() < "\u0250":
+                kinds[kind if kind in kinds else "other"] += c
+        letters, numbers, others = (re.escape(k) for k in kinds.values())
+        self.fits = re.compile(f"[{letters}{numbers}{others}]+").fullmatch
+        self.parts = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[{others}]+")
+
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and the ids of all."""
+        text = "".join(f"{w}{self.BREAK}" for w in words).lower()
+        found = self.whole.encode_to_numpy(self.parts.sub(rf"\g<0>{self.MARK}", text), disallowed_special=())
+        last = found == self.break_id
+        ends = np.flatnonzero(last)
+        return np.diff(ends, prepend=-1) - 1, found[~last]
+
+
 class WordBpe:
     """A tokenizers file that takes A to Z as a to z and never joins what ASCII white space parts.
 
@@ -87,6 +188,7 @@ class WordBpe:
         self.special = [t.content.lower().encode() for t in self.library.get_added_tokens_decoder().values()]
         self.tokens = [self.library.id_to_token(i) for i in range(self.library.get_vocab_size())]
         self.ends = np.array([t.endswith("</w>") for t in self.tokens])
+        self.plain = PlainWords.of(path)
         self._forget()
 
     def _ids(self, text: str) -> list[int]:
@@ -145,18 +247,30 @@ class WordBpe:
 
     def _add(self, hashes, at, words: list[str]) -> None:
         """Put new words with their ids in the order of hashes."""
-        latin = [k for k, w in enumerate(words) if w.lower().isalpha() and max(w) < "\u0250"]
-        ids = dict(zip(latin, self._latin([words[k] for k in latin]), strict=True))
-        other = [k for k in range(len(words)) if k not in ids]
-        ids.update(zip(other, (e.ids for e in self.library.encode_batch_fast([words[k] for k in other], add_special_tokens=False)), strict=True))
-        sizes = np.array([len(ids[k]) for k in range(len(words))], dtype=np.int64)
-        flat = np.fromiter((i for k in range(len(words)) for i in ids[k]), dtype=np.uint32)
+        order, sizes, flat = self._word_ids(words)
+        row = np.empty(len(words), dtype=np.int64)
+        row[order] = len(self.sizes) + np.arange(len(words))
         self.hashes = np.insert(self.hashes, at, hashes)
-        self.rows = np.insert(self.rows, at, len(self.sizes) + np.arange(len(words)))
+        self.rows = np.insert(self.rows, at, row)
         self.begins = np.concatenate([self.begins, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.flat = np.concatenate([self.flat, flat])
 
+    def _word_ids(self, words: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """An order of the words and, in it, how many ids each has and the ids of all."""
+        if self.plain is None:
+            easy = [k for k, w in enumerate(words) if w.lower().isalpha() and max(w) < "\u0250"]
+            ids = self._latin([words[k] for k in easy])
+            sizes, flat = [len(i) for i in ids], np.fromiter((i for of in ids for i in of), dtype=np.uint32)
+        else:
+            easy = [k for k, w in enumerate(words) if self.plain.fits(w)]
+            sizes, flat = self.plain.ids([words[k] for k in easy])
+        have = set(easy)
+        other = [k for k in range(len(words)) if k not in have]
+        ids = [e.ids for e in self.library.encode_batch_fast([words[k] for k in other], add_special_tokens=False)]
+        sizes = np.concatenate([np.array(sizes, dtype=np.int64), np.array([len(i) for i in ids], dtype=np.int64)])
+        return easy + other, sizes, np.concatenate([flat, np.fromiter((i for of in ids for i in of), dtype=np.uint32)])
+
     def _latin(self, words: list[str]) -> list[list[int]]:
         """Ids of words of Latin letters: encoded in one text, in which the file marks their ends."""
         if not words:
