@@ -18,6 +18,7 @@ from trafficlens.schema import FEATURES
 from trafficlens.sources import derived as D
 from trafficlens.sources.adapters import requests_of
 from trafficlens.streaming import live as L
+from trafficlens.streaming import state as ST
 from trafficlens.streaming.run import drain
 from trafficlens.streaming.state import SessionTotals
 
@@ -64,6 +65,54 @@ def test_window_adds_and_takes_out(keep):
         assert window.inputs() == plain_inputs(items[max(0, k + 1 - keep) : k + 1], -1)
 
 
+class Kept:
+    """State and timers of one client."""
+
+    held, timers = None, ()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = value
+
+    def registerTimer(self, at):
+        self.timers = (*self.timers, at)
+
+    def deleteTimer(self, at):
+        self.timers = tuple(t for t in self.timers if t != at)
+
+
+def test_history_hands_a_client_over_as_few_rows(monkeypatch):
+    """Batches of a client come out as arrays, in order of time, as one window over all would have it."""
+    monkeypatch.setattr(ST, "CHUNK", 40)
+    items, kept, window = some_requests(100, 3), Kept(), R.RetainedWindow(7)
+    history = ST.History(7, 10**6)
+    history.init(kept)
+    given = []
+    for part in (range(50), range(50, 100)):
+        rows = [("x", None, "a", 0, i, *items[i]) for i in part]
+        random.Random(1).shuffle(rows)
+        given += history.handleInputRows(("x",), iter(rows), None)
+    assert [len(g["line_no"]) for g in given] == [40, 10, 40, 10]
+    got = [row for g in given for row in zip(*list(g)[1:])]
+    for i, item in enumerate(items):
+        window.add(*item)
+        assert got[i] == (i, *window.inputs())
+    assert len(kept.timers) == 1
+
+
+def test_rows_without_a_place_come_last():
+    rows = [("x", None, "a", 0, n, t) for n, t in ((3, 9), (None, 5), (2, 5), (1, None))]
+    assert [r[4] for r in ST._in_time(rows)] == [2, None, 3, 1]
+
+
 @pytest.mark.parametrize("cut", [1, 3, 60])
 def test_session_totals_survive_the_state(cut):
     """Totals stored and read back after every few requests, the counts merged apart."""

@@ -4,6 +4,8 @@ All of these are data, not logic.  Patterns stay within the syntax shared by Jav
 and Python so one text serves Spark and any SQL engine used to check it.
 """
 
+import re
+
 # --- user agents -----------------------------------------------------------------------
 # User agents of automated clients, as used by the session feature.
 BOT_AGENT_PATTERNS = (
@@ -207,6 +209,29 @@ def alternation(patterns):
     return "|".join(patterns)
 
 
+#: A pattern that is a text as it stands, apart from escaped dots and plus signs.
+_FIXED = re.compile(r"(?:[A-Za-z0-9 _/-]|\\[.+])+")
+
+
+def matches_sql(text: str, patterns) -> str:
+    """SQL: whether one of ``patterns`` matches somewhere in ``text``, whatever the case.
+
+    In text of ASCII alone nothing needs folding by Unicode, and fixed texts are looked for only where
+    their first characters occur, which is several times as fast.
+    """
+    fixed = minimal_fragments([p.replace("\\", "").lower() for p in patterns if _FIXED.fullmatch(p)])
+    others = [p for p in patterns if not _FIXED.fullmatch(p)]
+    quick = []
+    if fixed:
+        starts = [sorted({re.escape(f[i]) for f in fixed}) for i in range(min(3, *map(len, fixed)))]
+        ahead = "".join(f"[{''.join(s)}]" for s in starts)
+        quick.append(f"lower({text}) rlike r'(?={ahead})(?:{alternation(map(re.escape, fixed))})'")
+    if others:
+        quick.append(f"{text} rlike r'(?i){alternation(others)}'")
+    any_text = f"{text} rlike r'(?iu){alternation(patterns)}'"
+    return f"IF(octet_length({text}) = length({text}), {' OR '.join(quick)}, {any_text})"
+
+
 def credential_pattern():
     return "|".join(rf"[?&]{name}=" for name in CREDENTIAL_PARAMETERS)
 

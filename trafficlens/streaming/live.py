@@ -22,7 +22,7 @@ from ..plans.scan import with_score
 from ..schema import REQUEST, SOURCE_ORDER
 from ..sources.archive import archive_rows
 from ..sources.logs import parse_nginx
-from .state import HISTORY_OUT, Claims, History, Sessions, Sharing
+from .state import HISTORY_IN, HISTORY_OUT, Claims, History, Sessions, Sharing
 from .tail import tail_log_lines
 
 US = 1_000_000
@@ -69,10 +69,11 @@ def request_inputs(requests: DataFrame, keep=P.RETAINED_REQUESTS, timeout_s=P.SE
     """Streaming: every request with the inputs of its client's last ``keep`` ones."""
     rows = with_clock(requests).withWatermark("ts", lateness)
     items = rows.select("ip", "ts", *SOURCE_ORDER, *item_columns())
-    found = items.groupBy("ip").transformWithStateInPandas(
+    found = items.select(*HISTORY_IN).groupBy("ip").transformWithState(
         History(keep, timeout_s), HISTORY_OUT, "append", "EventTime"
     )
-    return completed(found)
+    columns = F.arrays_zip(*(c for c in found.columns if c != "ip"))
+    return completed(found.select("ip", F.inline(columns)))
 
 
 def decide(inputs: DataFrame, network, threshold=P.BLOCK_THRESHOLD, signals=None, promoted=None) -> DataFrame:

@@ -8,8 +8,10 @@ subclasses see every key in order of time however late rows arrive inside the al
 import math
 from collections import deque
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.features import CLICK_WINDOW_S
@@ -30,7 +32,22 @@ def _frames(rows, names) -> Iterator[pd.DataFrame]:
 # --- the last requests of a client ---------------------------------------------------------------
 
 HISTORY = "last_us long, " + ", ".join(f"{c.split()[0]} array<{c.split()[1]}>" for c in ITEM.split(", "))
-HISTORY_OUT = f"ip string, line_no long, {INPUTS}"
+#: Values of many requests at once: an array per column keeps what is handed over per client small.
+HISTORY_OUT = "ip string, " + ", ".join(f"{c.split()[0]} array<{c.split()[1]}>" for c in f"line_no long, {INPUTS}".split(", "))
+#: Places of the columns a request is ordered by, of its number and of ITEM, in a row of HISTORY_IN.
+HISTORY_IN = ["ip", "ts", *SOURCE_ORDER, *ITEM_COLUMNS]
+_IN_TIME = itemgetter(*(HISTORY_IN.index(c) for c in ("ts_us", *SOURCE_ORDER)))
+_NUMBERED = itemgetter(*(HISTORY_IN.index(c) for c in ("line_no", *ITEM_COLUMNS)))
+_GIVEN = Row("ip", "line_no", *INPUT_COLUMNS)
+
+
+def _in_time(rows) -> list:
+    """Rows of HISTORY_IN in order of time, then of the source; a missing value comes last."""
+    rows = list(rows)
+    try:
+        return sorted(rows, key=_IN_TIME)
+    except TypeError:  # raised where a missing value is compared
+        return sorted(rows, key=lambda row: [(v is None, 0 if v is None else v) for v in _IN_TIME(row)])
 
 
 class History(StatefulProcessor):
@@ -48,7 +65,6 @@ class History(StatefulProcessor):
         self.held = handle.getValueState("history", HISTORY)
 
     def handleInputRows(self, key, rows, timerValues):
-        found = pd.concat(list(rows)).sort_values(["ts_us", *SOURCE_ORDER], kind="stable")
         window, last_us = RetainedWindow(self.keep), None
         if self.held.exists():
             last_us, *columns = self.held.get()
@@ -56,15 +72,16 @@ class History(StatefulProcessor):
                 window.add(*item)
             self.handle.deleteTimer(self._ends(last_us))
         out = []
-        for line_no, ts_us, *rest in zip(found["line_no"].tolist(), *(found[c].tolist() for c in ITEM_COLUMNS), strict=True):
+        for line_no, ts_us, *rest in map(_NUMBERED, _in_time(rows)):
             if last_us is not None and ts_us - last_us > self.timeout_us:
                 window = RetainedWindow(self.keep)
             last_us = ts_us if last_us is None else max(last_us, ts_us)
             window.add(last_us, *rest)
-            out.append((key[0], line_no, *window.inputs()))
+            out.append((line_no, *window.inputs()))
         self.held.update((last_us, *map(list, zip(*window.items, strict=True))))
         self.handle.registerTimer(self._ends(last_us))
-        yield from _frames(out, ["ip", "line_no", *INPUT_COLUMNS])
+        for i in range(0, len(out), CHUNK):
+            yield _GIVEN(key[0], *zip(*out[i : i + CHUNK], strict=True))
 
     def _ends(self, last_us: int) -> int:
         """When no request in time can continue the session any more."""
