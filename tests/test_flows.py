@@ -7,6 +7,7 @@ from trafficlens.functions import scoring as S
 from trafficlens.operators import fingerprints as FP
 from trafficlens.operators import training as TR
 from trafficlens.operators.datasets import group_holdout, leakage, rule_labelled, top_up_size
+from trafficlens.plans.catalog import QUERIES
 from trafficlens.plans.catalog_datasets import learnable
 from trafficlens.plans.scan import scan_sessions
 from trafficlens.schema import FEATURES
@@ -42,6 +43,27 @@ def test_busy_address_binds_like_a_sequential_pass(spark):
     assert got == brute_bind(rows, 1_800_000_000)
 
 
+def test_ordinary_addresses_bind_without_leaps(spark, monkeypatch):
+    """Settled together, by leaps and in a sequential pass: times shared by several, one repeated."""
+    rows = [(f"ip{i % 7}", HASHES[i // 5 % 2], (i // 21) * 400_000_000, i) for i in range(420)]
+    schema = "ip string, hash string, ts_us bigint, seq bigint"
+    subs = spark.createDataFrame([*rows, rows[3], ("ip0", HASHES[0], 8_400_000_000, None)], schema)
+    requests = subs.select("ip", "ts_us")
+    monkeypatch.setattr(FP, "FOLDED", 5)
+    leapt = sorted(map(str, FP.bind(subs, requests).collect()))
+    monkeypatch.undo()
+    monkeypatch.setattr(FP, "_leap", lambda *_: pytest.fail("nothing busy here"))
+    folded = FP.bind(subs, requests).collect()
+    assert sorted(map(str, folded)) == leapt and len(leapt) == len(rows) + 2
+    assert {r.seq: r.outcome for r in folded if r.seq is not None} == brute_bind(rows, 1_800_000_000)
+
+
+def test_explaining_actors_drops_other_columns_of_a_session(spark, small):
+    plan = QUERIES["actor_explanations"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    # neither the reason's text nor its arguments
+    assert "max_by" in plan and "the address leaves the Tor network" not in plan and "night_pages" not in plan.split("max_by")[1].split("\n")[0]
+
+
 def test_refusals(spark):
     subs = spark.createDataFrame(
         [("a", "zz", 10, 1), ("a", HASHES[0], 20, 2), ("b", HASHES[0], 30, 3)],

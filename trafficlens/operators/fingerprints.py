@@ -14,35 +14,48 @@ from ..session import cut_lineage
 from .sessions import SLICE_S, session_map, slice_of
 
 US = 1_000_000
+#: Valid submissions of an address up to which they are settled together, in order of time.
+FOLDED = 1_000
 
 
 def with_last_request(submissions: DataFrame, requests: DataFrame, ttl_s: int) -> DataFrame:
     """Add ``has_session``: whether the address made a request at most ``ttl_s`` before.
 
     As-of join by merging both tables in time order within (ip, slice).  The last request
-    of earlier slices comes from one small row per slice.
+    of earlier slices comes from one small row per slice, made behind the same exchange.
     """
-    asks = requests.select("ip", "ts_us").withColumn("slice", slice_of(F.col("ts_us"), SLICE_S))
-    subs = submissions.withColumn("slice", slice_of(F.col("ts_us"), SLICE_S))
-    merged = asks.select(
-        "ip", "slice", "ts_us", F.lit(0).alias("kind"),
-        F.lit(None).cast("string").alias("hash"), F.lit(None).cast("long").alias("seq"),
-    ).unionByName(subs.select("ip", "slice", "ts_us", F.lit(1).alias("kind"), "hash", "seq"))
-    marks = merged.groupBy("ip", "slice").agg(
-        F.max(F.when(F.col("kind") == 0, F.col("ts_us"))).alias("last_ask")
+    nothing = F.struct(F.lit(0).alias("kind"), F.lit(None).cast("string").alias("hash"), F.lit(None).cast("long").alias("seq"))
+    asks = requests.select("ip", "ts_us", nothing.alias("item"))
+    subs = submissions.select("ip", "ts_us", F.struct(F.lit(1).alias("kind"), "hash", "seq").alias("item"))
+    merged = (
+        asks.unionByName(subs)
+        .withColumn("slice", slice_of(F.col("ts_us"), SLICE_S))
+        .where("ip IS NOT NULL AND slice IS NOT NULL")
+        .repartition("ip", "slice")
+    )
+    # reads the whole of ``item``, so that Spark shuffles the rows once for both branches
+    marks = (
+        merged.groupBy("ip", "slice")
+        .agg(
+            F.expr("max(IF(item.kind = 0, ts_us, NULL))").alias("last_ask"),
+            F.expr("count(IF(item.kind < 2, item, NULL))").alias("n"),
+        )
+        .where("n > 0")
     )
     earlier = Window.partitionBy("ip").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = marks.select("ip", "slice", F.max("last_ask").over(earlier).alias("carried"))
     inside = (
-        Window.partitionBy("slice", "ip")
+        Window.partitionBy("ip", "slice")
         .orderBy("ts_us", "kind", "seq")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     asked = F.max(F.when(F.col("kind") == 0, F.col("ts_us"))).over(inside)
     return (
-        merged.join(carried, ["ip", "slice"])
-        .withColumn("asked", F.coalesce(asked, F.col("carried")))
+        merged.select("ip", "slice", "ts_us", "item.*")
+        .withColumn("in_slice", asked)
         .filter(F.col("kind") == 1)
+        .join(carried, ["ip", "slice"])
+        .withColumn("asked", F.coalesce("in_slice", "carried"))
         .select(
             "ip",
             "hash",
@@ -120,9 +133,10 @@ def bind(
     """Every submission with ``outcome``: ACCEPTED, REPEAT, BAD_HASH, NO_SESSION or
     ALREADY_BOUND.
 
-    The valid submissions of an address fall into segments separated by pauses longer
-    than the claim; a segment always starts with an acceptance, so segments are
-    independent.  All are solved by doubling jumps, however long they are.
+    The valid submissions of an ordinary address are settled together (``_folded``).  Those of
+    a busy one fall into segments separated by pauses longer than the claim; a segment always
+    starts with an acceptance, so segments are independent.  All of them are solved by doubling
+    jumps, however long they are.
     """
     subs = submissions.select("ip", "hash", "ts_us", "seq")
     checked = with_last_request(subs, requests, session_ttl_s).withColumn(
@@ -131,8 +145,41 @@ def bind(
             ~F.col("has_session"), "NO_SESSION"
         ),
     )
-    checked = cut_lineage(checked)  # read four times below
+    checked = cut_lineage(checked.drop("has_session"))  # read several times below
     valid = checked.filter(F.col("reject").isNull())
+    refused = checked.filter(F.col("reject").isNotNull()).withColumnRenamed("reject", "outcome")
+    busy = cut_lineage(valid.groupBy("ip").agg(F.count("*").alias("n")).filter(F.col("n") > FOLDED).select("ip"))
+    if busy.isEmpty():
+        return refused.unionByName(_folded(valid, ttl_s * US))
+    settled = _folded(valid.join(busy, "ip", "left_anti"), ttl_s * US)
+    return refused.unionByName(settled).unionByName(_leapt(valid.join(busy, "ip", "left_semi"), ttl_s))
+
+
+def _folded(valid: DataFrame, ttl_us: int) -> DataFrame:
+    """Outcomes of valid submissions, an address at a time in order of time.
+
+    ``since`` is the last accepted time, ``seq`` the first submission in order at that time and
+    ``bound`` the hash that one claims.  One without ``seq`` comes before it and claims nothing.
+    """
+    rows = valid.groupBy("ip").agg(F.sort_array(F.collect_list(F.struct("ts_us", "seq", "hash"))).alias("rows"))
+    opens = f"coalesce(r.ts_us - s.since > {ttl_us}L, true)"
+    takes = f"r.seq IS NOT NULL AND ({opens} OR r.ts_us = s.since AND coalesce(r.seq = s.seq, true))"
+    state = "'since', {}, 'seq', {}, 'bound', {}, 'outcomes', {}"
+    start = state.format("CAST(NULL AS bigint)", "CAST(NULL AS bigint)", "CAST(NULL AS string)", "CAST(array() AS array<string>)")
+    step = state.format(
+        f"IF({opens}, r.ts_us, s.since)",
+        f"CASE WHEN {takes} THEN r.seq WHEN {opens} THEN NULL ELSE s.seq END",
+        f"IF({takes}, r.hash, s.bound)",
+        f"array_append(s.outcomes, CASE WHEN {takes} THEN 'ACCEPTED' WHEN s.bound = r.hash THEN 'REPEAT' ELSE 'ALREADY_BOUND' END)",
+    )
+    outcomes = f"aggregate(rows, named_struct({start}), (s, r) -> named_struct({step}), s -> s.outcomes)"
+    settled = rows.selectExpr("ip", "rows", f"{outcomes} AS outcomes").selectExpr("ip", "explode(arrays_zip(rows, outcomes)) AS x")
+    return settled.selectExpr("ip", "x.rows.hash", "x.rows.ts_us", "x.rows.seq", "x.outcomes AS outcome")
+
+
+def _leapt(valid: DataFrame, ttl_s: int) -> DataFrame:
+    """Outcomes of valid submissions of addresses with any number of them."""
+    valid = cut_lineage(valid)  # read four times below
     segments = session_map(valid, ("ip",), ttl_s).select("ip", "slice", F.col("session_no").alias("segment"))
     placed = valid.withColumn("slice", slice_of(F.col("ts_us"), min(SLICE_S, ttl_s))).join(
         segments, ["ip", "slice"]
@@ -145,14 +192,14 @@ def bind(
         .agg(F.min("seq").alias("seq"), F.min_by("hash", "seq").alias("bound"))
         .withColumn("claim_us", F.col("ts_us"))
     )
-    return _with_holder(checked, first, ttl_s)
+    return _with_holder(valid, first, ttl_s)
 
 
-def _with_holder(checked: DataFrame, claims: DataFrame, ttl_s: int) -> DataFrame:
+def _with_holder(valid: DataFrame, claims: DataFrame, ttl_s: int) -> DataFrame:
     """Compare each valid submission with the claim in force (as-of, in slices)."""
     length = min(SLICE_S, ttl_s)
-    rows = checked.select(
-        "ip", "hash", "ts_us", "seq", "reject", slice_of(F.col("ts_us"), length).alias("slice")
+    rows = valid.select(
+        "ip", "hash", "ts_us", "seq", slice_of(F.col("ts_us"), length).alias("slice")
     ).join(claims.select("ip", "ts_us", "seq", "claim_us", "bound"), ["ip", "ts_us", "seq"], "left")
     claim = F.when(F.col("claim_us").isNotNull(), F.struct("claim_us", "bound"))
     by_slice = rows.groupBy("ip", "slice").agg(F.max(claim).alias("last_claim"))
@@ -172,12 +219,10 @@ def _with_holder(checked: DataFrame, claims: DataFrame, ttl_s: int) -> DataFrame
             "hash",
             "ts_us",
             "seq",
-            F.coalesce(
-                "reject",
-                F.when(F.col("claim_us").isNotNull(), "ACCEPTED")
-                .when(F.col("held.bound") == F.col("hash"), "REPEAT")
-                .otherwise("ALREADY_BOUND"),
-            ).alias("outcome"),
+            F.when(F.col("claim_us").isNotNull(), "ACCEPTED")
+            .when(F.col("held.bound") == F.col("hash"), "REPEAT")
+            .otherwise("ALREADY_BOUND")
+            .alias("outcome"),
         )
     )
 
